@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from curata.llm import bpe, decontaminate, jaccard, quality, secrets, token_counts, topk
+from curata.llm import bpe, decontaminate, jaccard, language, lm, quality, secrets, token_counts, topk, urls
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
+    "op2_language_id": language.op2_language_id,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_topk": topk.op5_topk,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_url_filter": urls.op7_url_filter,
+    "op8_lm_score": lm.op8_lm_score,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_quality": quality.op10_quality,
 }

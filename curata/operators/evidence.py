@@ -38,7 +38,8 @@ def effect_value(effect: Column, direction: Column, cfg: GradeConfig) -> Column:
     """The effect, else a value for its direction, within -1 and 1; null if neither is known."""
     d = F.lower(direction)
     known = F.when(d == "increase", cfg.fallback).when(d == "decrease", -cfg.fallback).when(d.isin("no_effect", "uncertain"), 0.0)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(effect, known)))
+    value = F.coalesce(effect, known)
+    return F.when(value.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
 
 
 def pool(df: DataFrame, keys: list[str], cfg: GradeConfig = GradeConfig(), refs: int = 10) -> DataFrame:

@@ -20,7 +20,8 @@ def nearest(df: DataFrame, vector: str, query: list[float], k: int, bonus: Colum
 def bm25(df: DataFrame, key: str, text: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``key, score`` of rows that hold any of ``terms`` as lower-case words."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
-    counted = df.select(key, F.size(words).cast("double").alias("len"), *[F.size(F.filter(words, lambda x, t=t: x == t)).cast("double").alias(f"_{i}") for i, t in enumerate(terms)])
+    times = lambda term: F.size(F.filter(words, lambda x: x == term)).cast("double")
+    counted = df.select(key, F.size(words).cast("double").alias("len"), *[times(t).alias(f"_{i}") for i, t in enumerate(terms)])
     stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"_{i}") > 0).cast("double")).alias(f"d{i}") for i in range(len(terms))])
     total = F.lit(0.0)
     for i in range(len(terms)):

@@ -28,4 +28,4 @@ def bm25(df: DataFrame, key: str, text: str, terms: list[str], k1: float = 1.2,
         tf = F.col(f"_{i}")
         total = total + F.log(1 + (F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg")))
     hit = " OR ".join(f"_{i} > 0" for i in range(len(terms)))
-    return counted.where(hit).crossJoin(F.broadcast(stats)).select(key, F.round(total, 6).alias("score"))
+    return counted.where(hit).crossJoin(F.broadcast(stats)).select(key, total.alias("score"))

@@ -3,7 +3,7 @@ import re
 import corpus_pipeline as p
 from curata.llm import common
 
-DIR = "/root/testdata/sf0.001"
+DIR = "/root/testdata/sf0.01"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 

@@ -24,7 +24,7 @@ from curata.llm import pieces as pc
 from curata.llm.replay import PairTable, replay
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 6 << 20
 
 
 class Vocabulary:

@@ -7,6 +7,8 @@ single text, never on the partition.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a kernel takes at a time (a longer single text is taken whole).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 
@@ -82,6 +84,20 @@ def lower_table() -> np.ndarray:
 LOWER = lower_table()
 
 
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its row offsets (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -106,6 +122,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         end = min(max(end, row + 1), batch.num_rows)
         yield batch.slice(row, end - row)
         row = end
+    release()
 
 
 def spans(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

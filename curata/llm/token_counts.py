@@ -31,7 +31,7 @@ from curata.llm import pieces as pc
 from curata.llm.replay import PairTable, replay
 
 VOCABULARY = "word_bpe_49k.json"
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 6 << 20
 CHUNK = 128
 # States: fresh, in letters, in others, after a quote that began a piece, after its r, v and l.
 FRESH, IN_L, IN_O, QUOTE, Q_R, Q_V, Q_L = range(7)

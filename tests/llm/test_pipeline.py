@@ -3,7 +3,7 @@ import re
 import corpus_pipeline as p
 from curata.llm import common
 
-DIR = "/root/testdata/sf0.01"
+DIR = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -11,11 +11,13 @@ def test_stages(spark):
     from test_decontaminate import brute as windows
     from test_jaccard import brute as groups
 
-    docs = common.table(spark, DIR, "documents")
-    kept = common.cut(p.keep_quality(spark, docs, DIR))
+    more = DIR.replace("0.001", "0.01")  # enough labels to fit on
+    docs = common.table(spark, more, "documents")
+    kept = common.cut(p.keep_quality(spark, docs, more))
     assert kept.columns == COLUMNS
-    rejected = docs.join(kept, "doc_id", "left_anti").join(common.table(spark, DIR, "labels"), "doc_id").select("quality").collect()
-    assert all(r.quality == 0 for r in rejected)
+    rejected = docs.join(kept, "doc_id", "left_anti").join(common.table(spark, more, "labels"), "doc_id").select("quality").collect()
+    assert rejected and all(r.quality == 0 for r in rejected)
+    kept = common.table(spark, DIR, "documents")
     one = common.cut(p.keep_one_of_each(spark, kept, DIR))
     texts = [(r.doc_id, r.text) for r in kept.collect()]
     assert sorted(r.doc_id for r in one.collect()) == sorted({c for _, _, c in groups(texts)})

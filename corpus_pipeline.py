@@ -25,10 +25,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents without words and rows with a null id are in no group and stay.
     """
-    found = common.cut(jaccard.near_duplicates(docs))
-    by_id = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("component_id").alias("component_id"), F.count("*").alias("times"))
-    out = bitset.without(docs, by_id.where("component_id < doc_id"), "doc_id")
-    repeated = by_id.where("times > 1 AND component_id >= doc_id").select("doc_id")
+    by_id = jaccard.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("component_id").alias("component_id"), F.count("*").alias("times"))
+    marked = common.cut(by_id.where("component_id < doc_id OR times > 1"))
+    out = bitset.without(docs, marked.where("component_id < doc_id"), "doc_id")
+    repeated = marked.where("component_id >= doc_id").select("doc_id")
     if repeated.isEmpty():
         return out
     again = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])

@@ -235,8 +235,15 @@ def _tiles(rows: DataFrame, sided: bool = False) -> DataFrame:
     ordered = rows.select(*names, *(["side"] if sided else []), "rep", "s").repartition(*names).sortWithinPartitions(*names)
 
     def solve(reps: list[int], sets: list[np.ndarray], sides: list[int]) -> list[tuple[int, int]]:
+        """Each connected member with the smallest ``rep`` of its part, so that what meets later are stars."""
         found = forest(sets, np.array(sides) if sided else None) if len(sets) > 1 else []
-        return [(reps[x], reps[y]) for x, y in found]
+        root = list(range(len(reps)))
+        for x, y in found:
+            root[y] = root[x]
+        least = dict.fromkeys(root)
+        for k, r in enumerate(root):
+            least[r] = reps[k] if least[r] is None else min(least[r], reps[k])
+        return [(reps[k], least[r]) for k, r in enumerate(root) if reps[k] != least[r]]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, reps, sets, sides = None, [], [], []
@@ -284,11 +291,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     places = placed.select("h", F.col("a").alias("t1"), _block("h", "blocks").alias("t2")).unionByName(
         member.select(F.col("a").alias("h"), F.col("a").alias("t1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("t2"))
     )
-    edges = c.cut(_tiles(sets.join(places, "h").withColumn("t3", F.lit(-1).cast("long"))))
-    roots = components(edges)
+    roots = components(_tiles(sets.join(places, "h").withColumn("t3", F.lit(-1).cast("long"))))
     large = member.where("blocks > 1")
     if not large.isEmpty():
-        roots = components(edges.unionByName(_across(docs, doc_id, text, placed.join(large.select("a"), "a", "left_semi"), reps, roots)))
+        stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = components(stars.unionByName(_across(docs, doc_id, text, placed.join(large.select("a"), "a", "left_semi"), reps, roots)))
     classes = reps.join(roots, reps["rep"] == roots["node"], "left").select("h", F.coalesce("root", "rep").alias("component_id"))
     out = known.withColumn("k", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("h"))).join(classes.withColumnRenamed("h", "k"), "k", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -24,7 +24,7 @@ from curata.llm import pieces as pc
 from curata.llm.replay import PairTable, replay
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-FLUSH_BYTES = 6 << 20
+FLUSH_BYTES = 3 << 20
 
 
 class Vocabulary:
@@ -136,6 +136,7 @@ class _Pending:
 
 def _flush(pending: _Pending, v: Vocabulary, keep: list[str], with_ids: bool) -> Iterator[pa.RecordBatch]:
     ids, count = encode_pieces(pending.index.pieces, v)
+    pending.index = None
     begin = np.cumsum(count) - count
     if not with_ids:
         text, size = _ragged(v.text, v.text_begins, v.text_lengths, ids)
@@ -144,6 +145,7 @@ def _flush(pending: _Pending, v: Vocabulary, keep: list[str], with_ids: bool) ->
         data, size = _ragged(v.bytes, v.begins, v.lengths, ids)
         ends = np.concatenate([[0], np.cumsum(size)])
         plain = [data[a:b] for a, b in zip(ends[begin], ends[begin + count], strict=True)]
+        del text, data, ends, size
         sha = lambda x: hashlib.sha256(x).hexdigest()
     for batch, numbers, cuts in pending.runs:
         total = np.concatenate([[0], np.cumsum(count[numbers])])
@@ -173,8 +175,11 @@ def _run(docs: DataFrame, text: str, keep: list[str], path: str, with_ids: bool)
                 if pending.bytes >= FLUSH_BYTES:
                     yield from _flush(pending, v, keep, with_ids)
                     pending = _Pending()
+                    c.release()
         if pending.runs:
             yield from _flush(pending, v, keep, with_ids)
+        pending = None
+        c.release()
 
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(apply, schema)
 

@@ -20,12 +20,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where("predicted = 1").select(*docs.columns)
 
 
-def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = jaccard.SHINGLE, percent: int = jaccard.PERCENT) -> DataFrame:
     """The document with the smallest id of each near-duplicate group, and one of repeated rows.
 
-    Documents without words and rows with a null id are in no group and stay.
+    Groups link texts whose shingles of ``words`` words have a Jaccard of ``percent`` or
+    more. Documents without words and rows with a null id are in no group and stay.
     """
-    by_id = jaccard.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("component_id").alias("component_id"), F.count("*").alias("times"))
+    by_id = jaccard.near_duplicates(docs, words=words, percent=percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("component_id").alias("component_id"), F.count("*").alias("times"))
     marked = common.cut(by_id.where("component_id < doc_id OR times > 1"))
     out = bitset.without(docs, marked.where("component_id < doc_id"), "doc_id")
     repeated = marked.where("component_id >= doc_id").select("doc_id")
@@ -35,6 +36,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return bitset.without(out, repeated, "doc_id").unionByName(again)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``keep_one_of_each`` on shingles of five words, from a similarity of 0.8."""
+    return keep_one_of_each(spark, docs, sf_dir, words=5, percent=80)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
     found = decontaminate.occurrences(docs, common.table(spark, sf_dir, "benchmark"))
@@ -56,7 +62,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality", keep_quality),
-    ("near_duplicates", keep_one_of_each),
+    ("near_duplicates", drop_near_copies),
     ("decontamination", drop_contaminated),
     ("secrets", redact_secrets),
     ("tokens", tokenize),

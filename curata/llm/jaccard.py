@@ -1,8 +1,8 @@
 """N-gram Jaccard join over size-banded tiles with hashed bitmap signatures.
 
-Sets are the distinct word shingles of a text, as 64-bit hashes. Two sets of sizes
-a <= b with a Jaccard of 0.9 or more differ in at most (a + b) / 19 elements. Sizes
-fall into bands; a band cuts the hash space into more segments than its pairs can
+Sets are the distinct word shingles of a text, as 64-bit hashes. Words a shingle and
+least similarity are parameters. Two sets of sizes a <= b with a Jaccard of p per cent
+or more differ in at most (a + b) (100 - p) / (100 + p) elements. Sizes fall into bands; a band cuts the hash space into more segments than its pairs can
 have differing elements, so linked sets agree in a whole segment, and a set's keys
 are the hashes of its segments (those of its own band and, where its size reaches
 it, of the next). Keys that two different sets share give the tiles: the sets that
@@ -20,6 +20,7 @@ the members that this did not join to it against all others, block by block.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,31 +31,34 @@ from curata.llm import bitset
 from curata.llm import common as c
 from curata.llm.graph import components
 
-SHINGLE = 3
-#: Linked: 100 * intersection >= 90 * union.
-PERCENT = 90
+#: op1's contract: words a shingle; linked: 100 * intersection >= 90 * union.
+SHINGLE, PERCENT = 3, 90
 BAND = 1.45
 TILE = 256
 _VALUES = c.byte_values(1)
 U64 = c.U64
 
 
-def _bands() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the size bands, number of segments, and empty segments that are passed over."""
-    starts = [1, 10]
+@lru_cache
+def bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the size bands, number of segments, and empty segments that are passed over.
+
+    Different sets below the second start are never linked. A linked set's size is in
+    the same band or the next.
+    """
+    if not 0 < percent < 100:
+        raise ValueError("percent must be from 1 to 99")
+    starts, growth = [1, max(2, -(-100 // (100 - percent)))], max(BAND, 100 / percent)
     while starts[-1] < 1 << 40:
-        starts.append(max(starts[-1] + 1, int(np.ceil(starts[-1] * BAND))))
+        starts.append(max(starts[-1] + 1, int(np.ceil(starts[-1] * growth))))
     s = np.array(starts, np.int64)
-    differ = 2 * (s[1:] - 1) * (100 - PERCENT) // (100 + PERCENT)
+    differ = 2 * (s[1:] - 1) * (100 - percent) // (100 + percent)
     k = differ + 1
     spare = 1 + np.ceil(6 * k * np.exp(-0.9 * s[:-1] / (k + 1))).astype(np.int64)
     return s, k + spare, spare
 
 
-STARTS, SEGMENTS, SPARE = _bands()
-
-
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, words_each: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of each text's distinct shingles, sorted, in a row; rows' sizes and begins."""
     data, offsets = c.utf8(texts)
     low = c.LOWER[data]
@@ -63,10 +67,10 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(offsets) - 1
     count = c.row_counts(rows, n)
     left = np.arange(len(words)) - np.repeat(np.cumsum(count) - count, count)
-    size = np.minimum(count, SHINGLE)
+    size = np.minimum(count, words_each)
     at = np.flatnonzero(left + size[rows] <= count[rows])
     h = np.full(len(at), 0, U64)
-    for k in range(SHINGLE):
+    for k in range(words_each):
         more = k < size[rows[at]]
         h[more] = c.mix(h[more] * U64(0xD6E8FEB86659FD93) + words[at[more] + k] + U64(k + 1))
     h &= U64(0x7FFFFFFFFFFFFFFF)
@@ -91,23 +95,24 @@ def set_ids(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return c.mix(_sums(c.mix(h ^ U64(0x5851F42D4C957F2D)), sizes) ^ c.mix(sizes.astype(U64)))
 
 
-def segment_keys(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def segment_keys(h: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all sets in order of row, and the number of each row's keys.
 
     Of two sets that agree in a segment only as both are empty there, nothing is
-    learnt. There are ``SPARE`` segments more than needed, so a set with no more empty
+    learnt. There are ``spare`` segments more than needed, so a set with no more empty
     segments than that leaves them out; any other also gives the keys of empty ones.
     """
+    starts, segments, spare = bands(percent)
     rows = np.repeat(np.arange(len(sizes)), sizes)
-    band = np.searchsorted(STARTS, sizes, "right") - 1
+    band = np.searchsorted(starts, sizes, "right") - 1
     place, value = c.mix(h ^ U64(0x14057B7EF767814F)) >> U64(32), c.mix(h + U64(0x632BE59BD9B4E019))
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for step in (0, 1):
         config = band + step
         emits = (config >= 1) & (sizes > 0)
         if step:
-            emits &= sizes * 100 // PERCENT >= STARTS[np.minimum(config, len(STARTS) - 1)]
-        k = np.where(emits, SEGMENTS[config], 0)
+            emits &= sizes * 100 // percent >= starts[np.minimum(config, len(starts) - 1)]
+        k = np.where(emits, segments[config], 0)
         base = np.cumsum(k) - k
         sums, counts = np.zeros(k.sum(), U64), np.zeros(k.sum(), np.int64)
         some = emits[rows]
@@ -117,7 +122,7 @@ def segment_keys(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
         row = np.repeat(np.arange(len(sizes)), k)
         segment = np.arange(len(row)) - base[row]
         empty = np.bincount(row[counts == 0], minlength=len(sizes))
-        keep = (counts > 0) | (empty > SPARE[config])[row]
+        keep = (counts > 0) | (empty > spare[config])[row]
         key = c.mix(sums ^ c.mix((config[row].astype(U64) << U64(40)) + segment.astype(U64)))
         found.append((row[keep], key[keep]))
     row = np.concatenate([f[0] for f in found])
@@ -134,7 +139,7 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def _described(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+def _described(docs: DataFrame, text: str, keep: list[str], words: int, percent: int) -> DataFrame:
     """``keep``, ``n``, ``h`` (set id) and ``keys`` of every row."""
     schema = docs.select(*keep).schema.add("n", "long").add("h", "long")
     keys = docs.sparkSession.createDataFrame([], "keys array<long>").schema[0]
@@ -142,8 +147,8 @@ def _described(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in c.slices(whole, "_text"):
-                h, sizes, _ = shingle_sets(batch.column("_text"))
-                key, count = segment_keys(h, sizes)
+                h, sizes, _ = shingle_sets(batch.column("_text"), words)
+                key, count = segment_keys(h, sizes, percent)
                 yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array(sizes), _signed(set_ids(h, sizes)), _lists(key, count)], names=[*keep, "n", "h", "keys"])
 
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(apply, schema.add(keys))
@@ -165,7 +170,7 @@ def _shared_keys(known: DataFrame) -> DataFrame:
     return slots.mapInArrow(apply, "h long, key long").join(shared, "key").select("h", "a").where("h <> a").distinct()
 
 
-def _with_sets(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame) -> DataFrame:
+def _with_sets(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame, words: int) -> DataFrame:
     """``h, rep, s``: the sorted sets of ``nodes`` (``h, rep``), from the texts of the ids ``rep``."""
     bits = docs.sparkSession.sparkContext.broadcast(bitset.collected(nodes, "rep"))
 
@@ -173,7 +178,7 @@ def _with_sets(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame) -> Dat
         for whole in batches:
             whole = whole.filter(pa.array(bitset.holds(bits.value, np.asarray(whole.column("_slot")))))
             for batch in c.slices(whole, "_text"):
-                h, sizes, _ = shingle_sets(batch.column("_text"))
+                h, sizes, _ = shingle_sets(batch.column("_text"), words)
                 yield pa.RecordBatch.from_arrays([_signed(set_ids(h, sizes)), batch.column("rep"), _lists(h, sizes)], names=["h", "rep", "s"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("_text")).where("rep IS NOT NULL")
@@ -193,17 +198,17 @@ def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """The exact test on two sorted arrays of distinct elements."""
     if len(a) > len(b):
         a, b = b, a
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     both = int(np.count_nonzero(b[at] == a))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def forest(sets: list[np.ndarray], group: np.ndarray | None = None) -> list[tuple[int, int]]:
+def forest(sets: list[np.ndarray], group: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among ``sets``.
 
     ``group``: members of group 0 are compared with those of group 1 only.
@@ -218,25 +223,25 @@ def forest(sets: list[np.ndarray], group: np.ndarray | None = None) -> list[tupl
             x = queue.pop()
             y = np.flatnonzero(rest if group is None else rest & (group != group[x]))
             both = sizes[y] + sizes[x]
-            y = y[np.minimum(sizes[y], sizes[x]) * 100 >= PERCENT * np.maximum(sizes[y], sizes[x])]
+            y = y[np.minimum(sizes[y], sizes[x]) * 100 >= percent * np.maximum(sizes[y], sizes[x])]
             both = sizes[y] + sizes[x]
             differ = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)
-            for k in y[(100 + PERCENT) * (both - differ) >= 2 * PERCENT * both]:
-                if linked(sets[x], sets[k]):
+            for k in y[(100 + percent) * (both - differ) >= 2 * percent * both]:
+                if linked(sets[x], sets[k], percent):
                     edges.append((x, int(k)))
                     rest[k] = False
                     queue.append(int(k))
     return edges
 
 
-def _tiles(rows: DataFrame, sided: bool = False) -> DataFrame:
+def _tiles(rows: DataFrame, percent: int, sided: bool = False) -> DataFrame:
     """Edges ``u, v`` of the tiles ``t1, t2, t3``; rows hold ``rep, s`` and, if ``sided``, ``side``."""
     names = ["t1", "t2", "t3"]
     ordered = rows.select(*names, *(["side"] if sided else []), "rep", "s").repartition(*names).sortWithinPartitions(*names)
 
     def solve(reps: list[int], sets: list[np.ndarray], sides: list[int]) -> list[tuple[int, int]]:
         """Each connected member with the smallest ``rep`` of its part, so that what meets later are stars."""
-        found = forest(sets, np.array(sides) if sided else None) if len(sets) > 1 else []
+        found = forest(sets, np.array(sides) if sided else None, percent) if len(sets) > 1 else []
         root = list(range(len(reps)))
         for x, y in found:
             root[y] = root[x]
@@ -270,38 +275,39 @@ def _block(h: str, blocks: str) -> F.Column:
     return F.pmod(F.xxhash64(h, F.lit(5)), F.col(blocks))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``.
 
-    ``n_shingles`` is the number of distinct shingles of ``SHINGLE`` words (fewer words
-    are one shingle; none for a null or empty text). ``component_id`` is the smallest
+    ``n_shingles`` is the number of distinct shingles of ``words`` words (fewer words
+    are one shingle; none for a null or empty text). Texts of a Jaccard similarity of
+    ``percent`` or more are linked. ``component_id`` is the smallest
     doc_id reachable by links, the row's own included; rows without words link with
     nothing. Rows with a null doc_id link with nothing and have a null component.
     Repeated rows are answered each; rows that share a doc_id but not the text are
     judged by their own text. No rows give no rows.
     """
-    known = c.cut(_described(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"]))
+    known = c.cut(_described(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"], words, percent))
     usable = known.where("doc_id IS NOT NULL AND n > 0")
     pairs = c.cut(_shared_keys(usable))
     member = pairs.groupBy("a").agg(F.count("*").alias("members")).select("a", F.ceil(F.col("members") / TILE).cast("long").alias("blocks"))
     placed = pairs.join(member, "a")
     nodes = pairs.select("h").unionByName(pairs.select(F.col("a").alias("h"))).distinct()
     reps = usable.groupBy("h").agg(F.min("doc_id").alias("rep"))
-    sets = _with_sets(docs, doc_id, text, c.cut(reps.join(nodes, "h", "left_semi")))
+    sets = _with_sets(docs, doc_id, text, c.cut(reps.join(nodes, "h", "left_semi")), words)
     places = placed.select("h", F.col("a").alias("t1"), _block("h", "blocks").alias("t2")).unionByName(
         member.select(F.col("a").alias("h"), F.col("a").alias("t1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("t2"))
     )
-    roots = components(_tiles(sets.join(places, "h").withColumn("t3", F.lit(-1).cast("long"))))
+    roots = components(_tiles(sets.join(places, "h").withColumn("t3", F.lit(-1).cast("long")), percent))
     large = member.where("blocks > 1")
     if not large.isEmpty():
         stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        roots = components(stars.unionByName(_across(docs, doc_id, text, placed.join(large.select("a"), "a", "left_semi"), reps, roots)))
+        roots = components(stars.unionByName(_across(docs, doc_id, text, placed.join(large.select("a"), "a", "left_semi"), reps, roots, words, percent)))
     classes = reps.join(roots, reps["rep"] == roots["node"], "left").select("h", F.coalesce("root", "rep").alias("component_id"))
     out = known.withColumn("k", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("h"))).join(classes.withColumnRenamed("h", "k"), "k", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _across(docs: DataFrame, doc_id: str, text: str, placed: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
+def _across(docs: DataFrame, doc_id: str, text: str, placed: DataFrame, reps: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges of large tiles between members that blocks kept apart.
 
     Pairs that have one root need none. So members whose root is not the tile's main
@@ -316,9 +322,9 @@ def _across(docs: DataFrame, doc_id: str, text: str, placed: DataFrame, reps: Da
     blocks = apart.select("a", F.col("b").alias("t2")).distinct()
     one = apart.select("h", F.col("a").alias("t1"), F.col("b").alias("t2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("t3"), F.lit(0).alias("side")).where("t2 <> t3")
     two = known.join(blocks, "a").where("b <> t2").select("h", F.col("a").alias("t1"), "t2", F.col("b").alias("t3"), F.lit(1).alias("side"))
-    sets = _with_sets(docs, doc_id, text, c.cut(reps.join(known.select("h").distinct(), "h", "left_semi")))
-    return _tiles(sets.join(one.unionByName(two), "h"), sided=True)
+    sets = _with_sets(docs, doc_id, text, c.cut(reps.join(known.select("h").distinct(), "h", "left_semi")), words)
+    return _tiles(sets.join(one.unionByName(two), "h"), percent, sided=True)
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(c.table(spark, sf_dir, "documents"))
+    return near_duplicates(c.table(spark, sf_dir, "documents"), words=SHINGLE, percent=PERCENT)

@@ -184,7 +184,7 @@ def q_diversity_elimination(t: Tables) -> DataFrame:
     docs = _sized(t)
     order = [F.desc("reliability"), F.asc("doc_id")]
     kept = corpus.protected_ids(docs, "doc_id", "source", "lang", order, 2, 1)
-    return corpus.eliminate(docs, "doc_id", _COMBOS, "breadth", "reliability", kept, 150, 3).select("doc_id")
+    return corpus.eliminate(docs, "doc_id", _COMBOS, "breadth", "reliability", kept, 150, step=1000).select("doc_id")
 
 
 @query("SELECT d.doc_id FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id WHERE e.vec_id IS NULL AND length(d.text) > 0")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+QUERY_BLOCK = 256
+
 
 def distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two arrays of numbers."""
@@ -17,6 +21,44 @@ def nearest(df: DataFrame, vector: str, query: list[float], k: int, bonus: Colum
     return df.withColumn("distance", distance(F.col(vector), q)).withColumn("rank_score", F.round(F.col("distance") - bonus, 6)).orderBy("rank_score", tie).limit(k)
 
 
+def nearest_each(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, bonus: Column) -> DataFrame:
+    """``query_id, rank`` and the columns of ``df`` with ``rank_score``: the ``k`` nearest rows of each query row.
+
+    Queries go out in blocks of about ``QUERY_BLOCK`` rows, each against all rows; a
+    query row is among its own candidates. Rows without a vector take no part. Ties go
+    to the smaller ``key``, which is unique. No queries give no rows.
+    """
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query_id"), F.col(vector).alias("_q"))
+    base = df.where(F.col(vector).isNotNull()).withColumn("_bonus", bonus)
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    order = Window.partitionBy("query_id").orderBy("rank_score", key)
+
+    def block(b: int) -> DataFrame:
+        part = F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
+        scored = base.crossJoin(part).withColumn("rank_score", F.round(distance(F.col(vector), F.col("_q")) - F.col("_bonus"), 6))
+        return scored.select("query_id", *df.columns, "rank_score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionByName, map(block, range(blocks)))
+
+
+def bm25_each(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``query_key, rank, key, score``: the ``k`` best rows of ``df`` for the distinct words of each query text.
+
+    Scores are rounded to 6 places before they rank; ties go to the smaller ``key``, which is unique.
+    """
+    split = lambda x: F.filter(F.split(F.lower(F.coalesce(F.col(x), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+    asked = queries.select(query_key, F.explode(F.array_distinct(split(query_text))).alias("term"))
+    words = df.select(key, split(text).alias("_w")).withColumn("len", F.size("_w").cast("double"))
+    stats = words.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"))
+    tf = words.select(key, "len", F.explode("_w").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term").groupBy(key, "len", "term").agg(F.count("*").cast("double").alias("tf"))
+    held = tf.groupBy("term").agg(F.count("*").cast("double").alias("d"))
+    each = tf.join(F.broadcast(held), "term").crossJoin(F.broadcast(stats))
+    gain = F.log(1 + (F.col("n") - F.col("d") + 0.5) / (F.col("d") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
+    scores = each.select(key, "term", gain.alias("gain")).join(F.broadcast(asked), "term").groupBy(query_key, key).agg(F.round(F.sum("gain"), 6).alias("score"))
+    order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key))
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_key, "rank", key, "score")
+
+
 def bm25(df: DataFrame, key: str, text: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``key, score`` of rows that hold any of ``terms`` as lower-case words."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")

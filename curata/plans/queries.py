@@ -227,11 +227,19 @@ def q_rule_adjustments(t: Tables) -> DataFrame:
 SELECT vec_id, label, round(rank_score, 4) AS rank_score FROM s ORDER BY s.rank_score, vec_id LIMIT 20""")
 def q_vector_search(t: Tables) -> DataFrame:
     df = t("embeddings")
-    probe = df.where("vec_id = 0").select("embedding").first()[0]
-    near = search.nearest(df, "embedding", probe, 20, F.when(F.col("label") == 3, 0.05).otherwise(0.0), "vec_id")
+    probe = df.where("vec_id = 0").select("embedding").first()
+    near = search.nearest(df if probe else df.limit(0), "embedding", probe[0] if probe else [], 20, F.when(F.col("label") == 3, 0.05).otherwise(0.0), "vec_id")
     return near.select("vec_id", "label", F.round("rank_score", 4).alias("rank_score"))
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, label, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(v.embedding[i] AS DOUBLE) - CAST(q.e[i] AS DOUBLE)) ** 2))) - CASE WHEN label = 3 THEN 0.05 ELSE 0.0 END, 6) AS rank_score FROM embeddings v, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_score, vec_id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, label, round(rank_score, 4) AS rank_score FROM r WHERE rank <= 20""")
+def q_vector_search_each(t: Tables) -> DataFrame:
+    df = t("embeddings")
+    near = search.nearest_each(df, df.where("vec_id % 20 = 0"), "vec_id", "embedding", 20, F.when(F.col("label") == 3, 0.05).otherwise(0.0))
+    return near.select("query_id", "rank", "vec_id", "label", F.round("rank_score", 4).alias("rank_score"))
+
+
 @query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
 c AS (SELECT doc_id, CAST(len(w) AS DOUBLE) AS n, CAST(len(list_filter(w, lambda x: x = 'the')) AS DOUBLE) AS a, CAST(len(list_filter(w, lambda x: x = 'que')) AS DOUBLE) AS b FROM w),
 s AS (SELECT CAST(count(*) AS DOUBLE) AS t, avg(n) AS m, CAST(sum(CASE WHEN a > 0 THEN 1 ELSE 0 END) AS DOUBLE) AS da, CAST(sum(CASE WHEN b > 0 THEN 1 ELSE 0 END) AS DOUBLE) AS db FROM c)
@@ -240,6 +248,17 @@ def q_keyword_search(t: Tables) -> DataFrame:
     return search.bm25(t("documents"), "doc_id", "text", ["the", "que"]).select("doc_id", F.round("score", 4).alias("score"))
 
 
+@query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+q AS (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> ''))) AS term FROM benchmark),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(w)) AS m FROM w), e AS (SELECT doc_id, CAST(len(w) AS DOUBLE) AS l, unnest(w) AS term FROM w),
+f AS (SELECT doc_id, l, term, CAST(count(*) AS DOUBLE) AS tf FROM e WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3), d AS (SELECT term, CAST(count(*) AS DOUBLE) AS d FROM f GROUP BY 1),
+s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))), 6) AS score FROM q JOIN f USING (term) JOIN d USING (term), n GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 4) AS score FROM r WHERE rank <= 20""")
+def q_keyword_search_each(t: Tables) -> DataFrame:
+    found = search.bm25_each(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text", 20)
+    return found.select("item_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+
+
 @query("""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>[^<]*(<[^/][^<]*|</[^s][^<]*)*</script>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\n\\t]+', ' ', 'g')) AS x FROM pages)
 SELECT page_id, CAST(length(x) AS BIGINT) AS n_chars, length(x) >= 1200 AS kept FROM p""")
 def q_html_gate(t: Tables) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Entities that pages hold often, ampersands last.
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+
 
 def windows(df: DataFrame, text: str, size: int, overlap: int, keep: list[str]) -> DataFrame:
     """``keep, start, end, chunk`` of overlapping windows; an empty text has none."""
@@ -22,6 +25,39 @@ def lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return parts.select(*keep, F.posexplode(F.aggregate("_l", state, step, lambda a: a["out"])).alias("line_no", "x")).select(*keep, F.col("line_no").cast("long").alias("line_no"), F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), F.col("x.line").alias("line"))
 
 
+def article_gate(html: Column, tags: list[str], words: list[str], least: int, hits: int) -> tuple[Column, Column]:
+    """The plain text of a page, its elements ``tags`` left out, and whether it passes.
+
+    It passes with ``least`` characters or more that hold at least ``hits`` of ``words``.
+    """
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", " ")
+    for tag in tags:
+        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+    text = F.regexp_replace(text, "<[^>]*>", " ")
+    for entity, plain in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(plain))
+    text = F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " "))
+    found = sum((F.lower(text).contains(w).cast("int") for w in words), F.lit(0))
+    return text, (F.length(text) >= least) & (found >= hits)
+
+
+def headers(each: DataFrame, common: list[str], target: str, stop: str, colon: str, longest: int = 140, capitals: float = 0.6) -> DataFrame:
+    """``each`` (``lines``) with ``title`` and ``is_stop``: the lines that are headers.
+
+    A candidate has at most ``longest`` characters, and ends in a colon, or starts with a
+    number as a word, or is in capitals for the share ``capitals`` of four letters or more,
+    or is one of ``common``. It is a header if it fits ``stop`` or ``target`` as a whole,
+    or names a conclusion before a colon. Patterns ignore case.
+    """
+    s = F.col("title")
+    letters, upper = F.length(F.regexp_replace(s, r"\P{L}", "")), F.length(F.regexp_replace(s, r"\P{Lu}", ""))
+    candidate = s.rlike(f"{colon}$") | s.rlike(r"^[0-9]+\.*( |$)") | ((letters >= 4) & (upper >= capitals * letters)) | F.lower(s).isin(common)
+    fits = lambda pattern: s.rlike(rf"(?i)^(?:{pattern})$")
+    is_stop = F.when(s.endswith(":") & F.lower(s).contains("conclusion"), False).when(fits(stop), True).when(fits(target), False)
+    titled = each.withColumn("title", F.regexp_replace("line", r"^\s+|\s+$", ""))
+    return titled.where((F.length(s) > 0) & (F.length(s) <= longest) & candidate).withColumn("is_stop", is_stop).where("is_stop IS NOT NULL")
+
+
 def sections(headers: DataFrame, key: str, length: str) -> DataFrame:
     """``headers`` (with ``start``) and ``section_end``: the next header's start, or the text's length."""
     return headers.withColumn("section_end", F.coalesce(F.lead("start").over(Window.partitionBy(key).orderBy("start")), F.col(length)))

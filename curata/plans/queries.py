@@ -267,6 +267,23 @@ def q_html_gate(t: Tables) -> DataFrame:
     return t("pages").select("page_id", F.length(x).cast("long").alias("n_chars"), (F.length(x) >= 1200).alias("kept"))
 
 
+_BOILERPLATE = ["script", "style", "nav", "footer", "header"]
+_SECTION_WORDS = ["introduction", "methods", "results", "discussion", "materials and methods"]
+_STRIPPED = "regexp_replace(coalesce(html, ''), '<!--.*?-->', ' ', 'gs')"
+for _tag in _BOILERPLATE:
+    _STRIPPED = rf"regexp_replace({_STRIPPED}, '<{_tag}\b[^>]*>.*?</{_tag}\s*>', ' ', 'gis')"
+_STRIPPED = f"regexp_replace({_STRIPPED}, '<[^>]*>', ' ', 'g')"
+for _entity, _plain in chunks.ENTITIES:
+    _STRIPPED = f"replace({_STRIPPED}, '{_entity}', '{_plain.replace(chr(39), chr(39) * 2)}')"
+
+
+@query(rf"""WITH p AS (SELECT page_id, trim(regexp_replace({_STRIPPED}, '[ \t\n\r]+', ' ', 'g')) AS x FROM pages)
+SELECT page_id, CAST(length(x) AS BIGINT) AS n_chars, length(x) >= 1200 AND {" + ".join(f"contains(lower(x), '{w}')::INT" for w in _SECTION_WORDS)} >= 2 AS kept FROM p""")
+def q_article_gate(t: Tables) -> DataFrame:
+    text, kept = chunks.article_gate(F.col("html"), _BOILERPLATE, _SECTION_WORDS, 1200, 2)
+    return t("pages").select("page_id", F.length(text).cast("long").alias("n_chars"), kept.alias("kept"))
+
+
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def q_latest_wins(t: Tables) -> DataFrame:
     return tables.latest(t("events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "value")
@@ -333,6 +350,26 @@ def q_sections(t: Tables) -> DataFrame:
     return chunks.sections(heads, "doc_id", "n").select("doc_id", "line_no", "start", "section_end")
 
 
+_COLON = "[:\uff1a\ufe55\ua789]"
+_COMMON = ["introduction", "background", "methods", "results", "discussion", "conclusion", "conclusions", "findings", "participants"]
+_CORE = r"ABSTRACT|INTRODUCTION|BACKGROUND|AIMS?|OBJECTIVES?|MATERIALS\s+AND\s+METHODS|(?:SUBJECTS|PATIENTS)\s+AND\s+METHODS|STUDY\s+DESIGN|PARTICIPANTS|METHODS|METHODOLOGY|RESULTS?|FINDINGS|DISCUSSION|CONCLUSIONS?|DISCUSSION\s+AND\s+CONCLUSIONS?|COMPLICATIONS"
+#: Core terms, lines without letters and title words; the last two need a colon. As case is ignored, a title word is any of two letters or more.
+_TARGET = rf"(?:\d+\.?\s*)?(?:{_CORE})\s*{_COLON}?|(?:\d+\.?\s*)?[0-9\s()\[\]{{}}&/\\+,:;.-]{{1,160}}{_COLON}|(?:\d+\.?\s*)?[A-Za-z]{{2,}}(?:\s+[A-Za-z]{{2,}}){{0,6}}\s*{_COLON}"
+_STOP = rf"(?:TITLE|ABBREVIATIONS|ACKNOWLEDGE?MENTS?|FUNDING|AUTHORS?\s+AND\s+AFFILIATIONS|AUTHOR\s+INFORMATION|CONTRIBUTIONS|CORRESPONDING\s+AUTHORS?|ETHICS(?:\s+DECLARATIONS?)?|ETHICAL\s+APPROVAL.*|CONSENT\s+FOR\s+PUBLICATION|CLINICAL\s+TRIALS?\s+REGISTRATION|TRIAL\s+REGISTRATION|SUPPLEMENTARY\s+INFORMATION|RIGHTS\s+AND\s+PERMISSIONS|ABOUT\s+THIS\s+ARTICLE|DATA\s+AVAILABILITY|SIMILAR\s+CONTENT\s+BEING\s+VIEWED\s+BY\s+OTHERS|REFERENCES)\s*{_COLON}?"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p, length(text) AS n FROM documents), e AS (SELECT doc_id, n, unnest(p) AS line, unnest(range(0, len(p))) AS k FROM l),
+o AS (SELECT doc_id, n, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s, k, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM e),
+c AS (SELECT *, CASE WHEN ends_with(s, ':') AND contains(lower(s), 'conclusion') THEN false WHEN regexp_full_match(s, '{_STOP}', 'i') THEN true WHEN regexp_full_match(s, '{_TARGET}', 'i') THEN false END AS is_stop FROM o
+  WHERE length(s) BETWEEN 1 AND 140 AND (regexp_matches(s, '{_COLON}$') OR regexp_matches(s, '^[0-9]+\.*( |$)') OR (length(regexp_replace(s, '\P{{L}}', '', 'g')) >= 4 AND length(regexp_replace(s, '\P{{Lu}}', '', 'g')) >= 0.6 * length(regexp_replace(s, '\P{{L}}', '', 'g'))) OR lower(s) IN ({", ".join(f"'{w}'" for w in _COMMON)}))),
+h AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), n) AS section_end FROM c WHERE is_stop IS NOT NULL)
+SELECT doc_id, k AS line_no, s AS title, start, section_end FROM h WHERE NOT is_stop""")
+def q_article_sections(t: Tables) -> DataFrame:
+    docs = t("documents").withColumn("n", F.length("text").cast("long"))
+    heads = chunks.headers(chunks.lines(docs, "text", ["doc_id", "n"]), _COMMON, _TARGET, _STOP, _COLON)
+    return chunks.sections(heads, "doc_id", "n").where("NOT is_stop").select("doc_id", "line_no", "title", "start", "section_end")
+
+
 @query("""WITH c AS (SELECT conv_id, turn, role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS u, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, turn, CASE WHEN u = 1 AND n >= 3 THEN 'single' ELSE role END AS label FROM c""")
 def q_group_relabel(t: Tables) -> DataFrame:
     w = Window.partitionBy("conv_id")

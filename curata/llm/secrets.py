@@ -2,8 +2,8 @@
 
 Base kinds are regular expressions; positions in code points come from splitting a
 text at its matches and summing the lengths of pieces and matches. The method adds
-spans of kind ``entropy``: a candidate is a run of ``CANDIDATE`` characters outside
-the base spans, of at least ``WINDOW`` characters. A window of ``WINDOW``
+spans of kind ``entropy``: a candidate is a run of ``CANDIDATE`` characters, or what
+base spans leave of it, of at least ``WINDOW`` characters. A window of ``WINDOW``
 characters slides over each of its character classes' alphabets; its Shannon
 entropy comes from counts that change with the character that enters and the one
 that leaves. Windows at or above the class's limit, merged, are a span, unless an
@@ -30,15 +30,15 @@ BASE = [
 
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: A quick test: a candidate of interest mixes digits and letters within one run.
-MIXED = r"(?=[A-Za-z+/_=-]{0,64}[0-9])(?=[0-9+/_=-]{0,64}[A-Za-z])[A-Za-z0-9+/_=-]{20}"
+#: A quick test, once a run: a candidate of interest mixes digits and letters within one run.
+MIXED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20}"
 #: Character classes: alphabet of the whole candidate, least bits per character in a window.
 CLASSES = [("hex", r"^[0-9a-fA-F]+$", 3.0), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.7)]
 #: Allow list: canonical UUIDs, dates and versions, paths of plain words, placeholders, counting runs.
 ALLOW = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9=/_+-]+$",
-    r"^[A-Za-z]*(?:[/_=+-]+[A-Za-z]*)*[/_=+-]*[0-9]{0,4}$",
+    r"^[A-Za-z/_=+-]*+[0-9]{0,4}$",
     r"(?i)example|sample|placeholder|dummy|xxxx|changeme|your[-_]?",
     r"(?i)0123456789|abcdefghij|qwertyuiop",
 ]
@@ -100,18 +100,26 @@ def _hot_windows(run: Column, limit: float) -> Column:
 
 def _entropy_spans(text: Column, taken: Column) -> Column:
     runs = _positions(text, CANDIDATE, 0, WINDOW, "entropy")
+    piece = lambda s, e: F.when(e - s >= WINDOW, F.array(F.struct(s.alias("start"), e.alias("end"), F.lit("entropy").alias("kind")))).otherwise(_none())
+
+    def pieces(r: Column) -> Column:
+        """What the base spans, which come by start, leave of a run."""
+        over = F.filter(taken, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+        step = lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), F.concat(a["out"], piece(a["at"], b["start"])).alias("out"))
+        return F.aggregate(over, F.struct(r["start"].alias("at"), _none().alias("out")), step, lambda a: F.concat(a["out"], piece(a["at"], r["end"])))
+
+    runs = F.when(F.size(taken) > 0, F.flatten(F.transform(runs, pieces))).otherwise(runs)
 
     def judged(r: Column) -> Column:
         s = F.substring(text, (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int"))
         allowed = F.lit(False)
         for pattern in ALLOW:
             allowed = allowed | s.rlike(pattern)
-        overlap = F.exists(taken, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
         windows = F.array().cast("array<struct<s:int,e:int>>")
         for _, alphabet, limit in reversed(CLASSES):
             windows = F.when(s.rlike(alphabet), _hot_windows(F.split(s, ""), limit)).otherwise(windows)
         found = F.transform(windows, lambda w: F.struct((r["start"] + w["s"]).alias("start"), (r["start"] + w["e"]).alias("end"), F.lit("entropy").alias("kind")))
-        return F.when(overlap | allowed | ~s.rlike("[0-9]") | ~s.rlike("[A-Za-z]"), _none()).otherwise(found)
+        return F.when(allowed | ~s.rlike("[0-9]") | ~s.rlike("[A-Za-z]"), _none()).otherwise(found)
 
     return F.flatten(F.transform(runs, judged))
 
@@ -132,19 +140,23 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
 
     Positions are code points, end exclusive. ``_base`` holds the three base kinds,
     ``_spans`` these and the ``entropy`` spans, both by start and kind. Null and empty
-    texts have none. Rows are kept as they are, repeated ones and null ids included.
+    texts have none. Rows are kept as they are, repeated ones and null ids included;
+    columns of the two names are replaced.
     """
-    keep = docs.columns if keep is None else keep
-    df = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    df = df.withColumn("_base", _ordered(F.concat(*[F.when(F.col("_text").rlike(quick), _positions(F.col("_text"), p, g, least, kind)).otherwise(_none()) for kind, p, g, least, quick in BASE])))
-    more = F.when(F.col("_text").rlike(MIXED), _entropy_spans(F.col("_text"), F.col("_base"))).otherwise(_none())
-    return df.withColumn("_more", more).withColumn("_spans", F.when(F.size("_more") > 0, _ordered(F.concat("_base", "_more"))).otherwise(F.col("_base"))).drop("_more", "_text")
+    keep = [x for x in (docs.columns if keep is None else keep) if x.lower() not in ("_base", "_spans")]
+    plain, more = c.unused([*keep, "_base", "_spans"], "_text"), c.unused([*keep, "_base", "_spans"], "_more")
+    t = F.col(plain)
+    df = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(plain))
+    df = df.withColumn("_base", _ordered(F.concat(*[F.when(t.rlike(quick), _positions(t, p, g, least, kind)).otherwise(_none()) for kind, p, g, least, quick in BASE])))
+    df = df.withColumn(more, F.when(t.rlike(MIXED), _entropy_spans(t, F.col("_base"))).otherwise(_none()))
+    return df.withColumn("_spans", F.when(F.size(more) > 0, _ordered(F.concat("_base", more))).otherwise(F.col("_base"))).drop(more, plain)
 
 
 def digest(df: DataFrame) -> DataFrame:
+    """``find``'s result with counts, ``base_sha256`` and ``spans`` in place of its two arrays."""
     count = lambda k: F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long")
     return df.select(
-        *[x for x in df.columns if not x.startswith("_")],
+        *[x for x in df.columns if x not in ("_base", "_spans")],
         *[count(k).alias(f"n_{k}") for k, *_ in BASE],
         F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"),
         _joined(F.col("_spans")).alias("spans"),
@@ -152,8 +164,13 @@ def digest(df: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """``docs`` with every span of ``find`` replaced by ``mark`` (overlapping spans as one); null stays null."""
-    found = find(docs)
+    """``docs`` with every span of ``find`` replaced by ``mark`` (overlapping spans as one); null stays null.
+
+    All columns stay, whatever their names.
+    """
+    base, spans = c.unused(docs.columns, "base_spans"), c.unused(docs.columns, "all_spans")
+    names = {x: c.unused(docs.columns, f"kept_{k}") for k, x in enumerate(docs.columns) if x.lower() in ("_base", "_spans")}
+    found = find(docs.withColumnsRenamed(names), text).withColumnsRenamed({"_base": base, "_spans": spans}).withColumnsRenamed({v: k for k, v in names.items()})
     state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
@@ -163,9 +180,10 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> Dat
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(fresh, F.concat(a["out"], piece)).otherwise(a["out"]).alias("out"))
 
     tail = lambda a: F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), F.length(text)))
-    cleaned = F.when(F.size("_spans") > 0, F.aggregate("_spans", state, step, tail)).otherwise(F.col(text))
-    return found.withColumn(text, cleaned).drop("_base", "_spans")
+    cleaned = F.when(F.size(spans) > 0, F.aggregate(spans, state, step, tail)).otherwise(F.col(text))
+    return found.withColumn(text, cleaned).select(*docs.columns)
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document; a null text counts as empty, ids and repeated rows stay as they are."""
     return digest(find(c.table(spark, sf_dir, "documents"), keep=["doc_id"]))

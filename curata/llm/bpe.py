@@ -163,15 +163,15 @@ def _flush(pending: _Pending, v: Vocabulary, keep: list[str], with_ids: bool) ->
 
 
 def _run(docs: DataFrame, text: str, keep: list[str], path: str, with_ids: bool) -> DataFrame:
-    schema = docs.select(*keep).schema
+    schema, plain = docs.select(*keep).schema, c.unused(keep, "_text")
     schema = schema.add("ids", T.ArrayType(T.IntegerType())) if with_ids else schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, pending = vocabulary(path), _Pending()
         for whole in batches:
-            for batch in c.slices(whole, "_text"):
-                texts = ["" if t is None else t for t in batch.column("_text").to_pylist()]
-                pending.add(batch.select(keep), texts, int(c.utf8(batch.column("_text"))[1][-1]))
+            for batch in c.slices(whole, plain):
+                texts = ["" if t is None else t for t in batch.column(plain).to_pylist()]
+                pending.add(batch.select(keep), texts, int(c.utf8(batch.column(plain))[1][-1]))
                 if pending.bytes >= FLUSH_BYTES:
                     yield from _flush(pending, v, keep, with_ids)
                     pending = _Pending()
@@ -181,7 +181,7 @@ def _run(docs: DataFrame, text: str, keep: list[str], path: str, with_ids: bool)
         pending = None
         c.release()
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(apply, schema)
+    return docs.select(*keep, F.col(text).alias(plain)).mapInArrow(apply, schema)
 
 
 def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
@@ -209,10 +209,14 @@ def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", path: str | Non
 
 
 def digests(docs: DataFrame, text: str = "text", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
-    """Encode and decode each text; ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of the results."""
-    keep = docs.columns if keep is None else keep
+    """Encode and decode each text; ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of the results.
+
+    They follow the ``keep`` columns (all, if None; columns of the three names are replaced).
+    """
+    keep = [x for x in docs.columns if x not in ("n_tokens", "ids_sha256", "decoded_sha256")] if keep is None else keep
     return _run(docs, text, keep, path or public_tokenizers.path(VOCABULARY), False)
 
 
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes, as digests, of every document; a null text counts as empty."""
     return digests(c.table(spark, sf_dir, "documents"), keep=["doc_id"])

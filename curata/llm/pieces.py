@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import functools
 import sys
-import unicodedata
 
 import numpy as np
+from tokenizers import Regex, pre_tokenizers
 
 from curata.llm import common as c
 
@@ -17,9 +17,13 @@ WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 
 @functools.cache
 def classes() -> np.ndarray:
-    """The class of every code point: letters, numbers, white space, anything else."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    t = np.fromiter((kinds.get(unicodedata.category(chr(i))[0], OTHER) for i in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    """The class of every code point, by the pattern engine's own tables: letters, numbers, white space, anything else."""
+    t = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    every = [i for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+    text, place = "".join(map(chr, every)), np.array(every)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for _, (start, end) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+            t[place[start:end]] = kind
     t[WHITE_SPACE] = SPACE
     return t
 

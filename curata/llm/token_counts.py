@@ -6,10 +6,10 @@ character classes and seven states. A text is cut in chunks; a chunk's state map
 once, and the maps of all chunks compose through a parallel prefix scan. With the
 state before each chunk known, a second run emits where pieces start.
 
-Counting: byte-pair merges look ahead without bound, so no small automaton gives
-their counts. The machine's arcs for whole pieces are therefore compiled as pieces
-come: the distinct pieces of up to ``FLUSH_BYTES`` of text are merged together and
-their arcs annotated with the number of tokens emitted.
+Counting: the merges compile to an automaton whose transitions carry the number of
+tokens (see ``automaton``). The distinct pieces of up to ``FLUSH_BYTES`` of text are read
+side by side, long ones in chunks; a text's count is a difference of the prefix sums of
+its pieces' counts. Merge replay only counts words whose chunks do not come together.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import normalizers
 
 from curata.llm import common as c
 from curata.llm import pieces as pc
-from curata.llm.replay import PairTable, replay
+from curata.llm.automaton import Automaton
+from curata.llm.replay import replay
 
 VOCABULARY = "word_bpe_49k.json"
 FLUSH_BYTES = 6 << 20
@@ -120,13 +122,14 @@ class Words:
         vocab, suffix = d["model"]["vocab"], d["model"]["end_of_word_suffix"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in d["model"]["merges"]]
         self.special = [t["content"] for t in d["added_tokens"]]
-        self.table = PairTable({(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in reversed(list(enumerate(merges)))})
         # Bytes as printable characters: themselves where printable, else from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
         chars = [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
         self.inner = np.array([vocab[x] for x in chars], np.int32)
         self.last = np.array([vocab[x + suffix] for x in chars], np.int32)
+        pairs = {(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in reversed(list(enumerate(merges)))}
+        self.automaton = Automaton(pairs, np.concatenate([self.inner, self.last]))
 
     def count(self, found: list[str]) -> np.ndarray:
         raw = [p.encode("utf-8", "replace") for p in found]
@@ -135,7 +138,10 @@ class Words:
         symbols = self.inner[data]
         end = np.cumsum(sizes) - 1
         symbols[end] = self.last[data[end]]
-        return replay(symbols, sizes, self.table)[1]
+        counts, bad = self.automaton.counts(symbols, sizes)
+        if bad.any():
+            counts[bad] = replay(symbols[np.repeat(bad, sizes)], sizes[bad], self.automaton.table)[1]
+        return counts
 
 
 @functools.cache
@@ -144,10 +150,17 @@ def words(path: str) -> Words:
     return Words(path)
 
 
+@functools.cache
+def _newer() -> dict[int, str]:
+    """Lower case of letters that Python's tables don't know yet, by the library's."""
+    lower = normalizers.Lowercase().normalize_str
+    return {i: lower(chr(i)) for i in np.flatnonzero(pc.classes() == pc.LETTER).tolist() if unicodedata.category(chr(i)) == "Cn"}
+
+
 def normal(text: str) -> str:
     """NFC, then each character in lower case; white space needs no folding, as pieces hold none."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(_newer())
     return text.lower()
 
 
@@ -156,10 +169,12 @@ def count(docs: DataFrame, text: str = "text", keep: list[str] | None = None, li
 
     ``n_tokens`` is what the tokenizers library gives for the whole text without
     begin and end tokens; a special token's string inside a text is that one token.
-    Null and empty texts have no bytes and no tokens. Rows are kept as they are.
+    Null and empty texts have no bytes and no tokens. Rows are kept as they are; columns
+    of the three names are replaced.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     keep = [x for x in docs.columns if x not in ("n_bytes", "n_tokens", "over_limit")] if keep is None else keep
+    plain = c.unused(keep, "_text")
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
     def flush(index: pc.PieceIndex, runs: list, w: Words) -> Iterator[pa.RecordBatch]:
@@ -175,9 +190,9 @@ def count(docs: DataFrame, text: str = "text", keep: list[str] | None = None, li
         special = re.compile("|".join(map(re.escape, w.special)) or "(?!)")
         index, runs, waiting = pc.PieceIndex(), [], 0
         for whole in batches:
-            for batch in c.slices(whole, "_text"):
-                size = np.diff(c.utf8(batch.column("_text"))[1])
-                texts = ["" if t is None else t for t in batch.column("_text").to_pylist()]
+            for batch in c.slices(whole, plain):
+                size = np.diff(c.utf8(batch.column(plain))[1])
+                texts = ["" if t is None else t for t in batch.column(plain).to_pylist()]
                 extra = np.zeros(len(texts), np.int64)
                 for k, t in enumerate(texts):
                     if "<|" in t:
@@ -198,8 +213,9 @@ def count(docs: DataFrame, text: str = "text", keep: list[str] | None = None, li
         if runs:
             yield from flush(index, runs, w)
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(apply, schema)
+    return docs.select(*keep, F.col(text).alias(plain)).mapInArrow(apply, schema)
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Token counts of every document; a null text counts as empty, ids and repeated rows stay as they are."""
     return count(c.table(spark, sf_dir, "documents"), keep=["doc_id"])

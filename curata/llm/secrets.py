@@ -110,14 +110,20 @@ def _entropy_spans(text: Column, taken: Column) -> Column:
 
     runs = F.when(F.size(taken) > 0, F.flatten(F.transform(runs, pieces))).otherwise(runs)
 
+    def once(x: Column, f) -> Column:
+        """``f`` of a value that is computed once, however often ``f`` reads it."""
+        return F.element_at(F.transform(F.array(x), f), 1)
+
     def judged(r: Column) -> Column:
-        s = F.substring(text, (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int"))
+        return once(F.substring(text, (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")), lambda s: weighed(r, s))
+
+    def weighed(r: Column, s: Column) -> Column:
         allowed = F.lit(False)
         for pattern in ALLOW:
             allowed = allowed | s.rlike(pattern)
         windows = F.array().cast("array<struct<s:int,e:int>>")
         for _, alphabet, limit in reversed(CLASSES):
-            windows = F.when(s.rlike(alphabet), _hot_windows(F.split(s, ""), limit)).otherwise(windows)
+            windows = F.when(s.rlike(alphabet), once(F.split(s, ""), lambda run: _hot_windows(run, limit))).otherwise(windows)
         found = F.transform(windows, lambda w: F.struct((r["start"] + w["s"]).alias("start"), (r["start"] + w["e"]).alias("end"), F.lit("entropy").alias("kind")))
         return F.when(allowed | ~s.rlike("[0-9]") | ~s.rlike("[A-Za-z]"), _none()).otherwise(found)
 

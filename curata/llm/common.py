@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that a kernel takes at a time (a longer single text is taken whole).
 SLICE_BYTES = 1 << 20
@@ -27,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; one of our own only where unset."""
+    """The cluster's shared checkpoint folder; one of our own only where unset and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="curata-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -46,6 +49,39 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column has it (names differ by more than case)."""
+    taken = {x.lower() for x in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key is hot with more than one in ``HOT_PART`` rows, so fewer than that many keys are.
+HOT_PART = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left.join(right, key, how)`` (inner or left) where keys of ``left`` may be very frequent.
+
+    ``right`` has one row a key, of bounded size. Hot keys and null ones meet a broadcast of
+    their fewer than ``HOT_PART`` rows of ``right``; the others are shuffled. ``left`` is read
+    three times: cut it before if it is costly.
+    """
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    total = left.count()
+    hot = counts.where((F.col("n") > total / HOT_PART) & (F.col("n") > 1)).select(key)
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    hot = cut(hot)
+    near = F.broadcast(right.join(F.broadcast(hot), key))
+    mark = unused([*left.columns, *right.columns], "is_hot")
+    marked = left.join(F.broadcast(hot.withColumn(mark, F.lit(True))), key, "left")
+    many = marked.where(F.col(mark) | F.col(key).isNull()).drop(mark).join(near, key, how)
+    few = marked.where(F.col(mark).isNull() & F.col(key).isNotNull()).drop(mark).join(right, key, how)
+    return many.unionByName(few)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, a bijection of 64-bit words."""
     x = np.asarray(x, U64)

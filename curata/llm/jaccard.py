@@ -5,16 +5,19 @@ least similarity are parameters. Two sets of sizes a <= b with a Jaccard of p pe
 or more differ in at most (a + b) (100 - p) / (100 + p) elements. Sizes fall into bands; a band cuts the hash space into more segments than its pairs can
 have differing elements, so linked sets agree in a whole segment, and a set's keys
 are the hashes of its segments (those of its own band and, where its size reaches
-it, of the next). Keys that two different sets share give the tiles: the sets that
-share any key with the smallest set of that key's holders.
-
-Within a tile, a set's bitmap holds the parity of its elements by hash; the count
-of bits in which two bitmaps differ is at most the number of differing elements,
-which bounds the overlap from above. Pairs that pass are compared exactly, as
-sorted arrays. A tile links its members by a search that leaves out members
-reached already, and yields a spanning forest, not all pairs. A tile of more than
-``TILE`` members is dealt out: first as blocks beside the tile's smallest set, then
-the members that this did not join to it against all others, block by block.
+it, of the next). A key's first holder names a
+tile: the sets that share any key with it. Keys travel packed, 4 bytes each and a
+reference to their set.
+
+A set's bitmap holds the parity of its elements by hash; the count of bits in which
+two bitmaps differ is at most the number of differing elements, which bounds the
+overlap from above. A tile first only gets bitmaps, and falls into the parts that
+pairs within the bound connect; only the sets of such parts travel whole. Within a
+part, pairs that pass the bound are compared exactly, as sorted arrays. A part links
+its members by a search that leaves out members reached already, and yields a spanning
+forest, not all pairs. A part of more than ``TILE`` members is dealt out: first as
+blocks beside the part's smallest set, then the members that this did not join to it
+against all others, block by block.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +38,8 @@ from curata.llm.graph import components
 #: op1's contract: words a shingle; linked: 100 * intersection >= 90 * union.
 SHINGLE, PERCENT = 3, 90
 BAND = 1.45
-TILE = 256
+#: Members of an exact tile; sets of a tile whose bitmaps are compared; keys a task holds at a time.
+TILE, SKETCH_TILE, FLUSH_KEYS = 256, 2048, 1 << 20
 _VALUES = c.byte_values(1)
 U64 = c.U64
 
@@ -139,50 +144,239 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def _described(docs: DataFrame, text: str, keep: list[str], words: int, percent: int) -> DataFrame:
-    """``keep``, ``n``, ``h`` (set id) and ``keys`` of every row."""
-    schema = docs.select(*keep).schema.add("n", "long").add("h", "long")
-    keys = docs.sparkSession.createDataFrame([], "keys array<long>").schema[0]
+def bitmaps(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's parity bitmap, in a row as bytes, and its width in bits: 64, doubled to the set's size."""
+    width = 64 << np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1) / 64))).astype(np.int64)
+    base = np.cumsum(width) - width
+    at = np.repeat(base, sizes) + (h & np.repeat(width - 1, sizes).astype(U64)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(width.sum())) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little"), width
+
+
+def _described(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id, n, h, bits``: size, set id and bitmap of every row."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in c.slices(whole, "text"):
+                h, sizes, _ = shingle_sets(batch.column("text"), words)
+                bits, width = bitmaps(h, sizes)
+                ends = pa.py_buffer(np.concatenate([[0], np.cumsum(width // 8)]).astype(np.int32))
+                maps = pa.Array.from_buffers(pa.binary(), len(sizes), [None, ends, pa.py_buffer(bits)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), _signed(set_ids(h, sizes)), maps], names=["doc_id", "n", "h", "bits"])
+
+    return docs.mapInArrow(apply, "doc_id long, n long, h long, bits binary")
+
+
+def _key_blocks(docs: DataFrame, words: int, percent: int, log_buckets: int) -> DataFrame:
+    """``bucket, task, made, marks, of, sets``: keys by their leading bits, packed.
+
+    Of a key only 32 further bits travel (``marks``), with the number of its set (``of``) in
+    the block's list ``sets``. Keys that agree by chance cost a comparison and change no result.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            key, of = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
+            bucket = (key >> U64(64 - log_buckets)).astype(np.int64) if log_buckets else np.zeros(len(key), np.int64)
+            order = np.argsort(bucket, kind="stable")
+            key, of, bucket = key[order], of[order], bucket[order]
+            cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(key)]])
+            marks, number, sets = [], [], []
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                new = np.concatenate([[True], of[s + 1 : e] != of[s : e - 1]])
+                marks.append(key[s:e].astype(np.uint32).tobytes())
+                number.append((np.cumsum(new) - 1).astype(np.uint32 if new.sum() > 1 << 16 else np.uint16).tobytes())
+                sets.append(of[s:e][new].tobytes())
+            n = len(cuts) - 1
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array([task] * n, pa.int64()), pa.array([made] * n, pa.int64()), pa.array(marks, pa.binary()), pa.array(number, pa.binary()), pa.array(sets, pa.binary())], names=["bucket", "task", "made", "marks", "of", "sets"])
+
         for whole in batches:
-            for batch in c.slices(whole, "_text"):
-                h, sizes, _ = shingle_sets(batch.column("_text"), words)
+            for batch in c.slices(whole, "text"):
+                h, sizes, _ = shingle_sets(batch.column("text"), words)
                 key, count = segment_keys(h, sizes, percent)
-                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array(sizes), _signed(set_ids(h, sizes)), _lists(key, count)], names=[*keep, "n", "h", "keys"])
+                waiting.append((key, np.repeat(set_ids(h, sizes).view(np.int64), count)))
+                held += len(key)
+                if held >= FLUSH_KEYS:
+                    yield flush()
+                    waiting.clear()
+                    held, made = 0, made + 1
+        if held:
+            yield flush()
+        waiting.clear()
+        c.release()
+
+    return docs.select("text").mapInArrow(apply, "bucket long, task long, made long, marks binary, of binary, sets binary")
+
+
+def _anchored(blocks: DataFrame, partitions: int) -> DataFrame:
+    """``h, a``: the sets that hold a key which other sets hold, each with the key's first holder.
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(apply, schema.add(keys))
+    A bucket's blocks pass one after the other; of each key only its first holder is
+    kept, so a key that very many sets hold needs no more room than any other.
+    """
+    ordered = blocks.repartition(partitions, "bucket").sortWithinPartitions("bucket", "task", "made")
+
+    def merged(first: tuple[np.ndarray, np.ndarray], waiting: list[tuple[np.ndarray, np.ndarray]]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        mark, h = (np.concatenate([first[k], *(w[k] for w in waiting)]) for k in (0, 1))
+        order = np.argsort(mark, kind="stable")
+        mark, h = mark[order], h[order]
+        new = np.concatenate([[True], mark[1:] != mark[:-1]])
+        a = h[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        pairs = np.unique(np.stack([h[h != a], a[h != a]], 1), axis=0)
+        return (mark[new], h[new]), pairs
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        first, waiting, held, now = none, [], 0, None
+
+        def out(pairs: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["h", "a"])
+
+        for batch in batches:
+            bucket = batch.column("bucket").to_pylist()
+            for k, b in enumerate(bucket):
+                if b != now or held >= FLUSH_KEYS:
+                    if waiting:
+                        first, pairs = merged(first, waiting)
+                        yield out(pairs)
+                    waiting, held = [], 0
+                    if b != now:
+                        first, now = none, b
+                mark = np.frombuffer(batch.column("marks")[k].as_buffer(), np.uint32).copy()
+                sets = np.frombuffer(batch.column("sets")[k].as_buffer(), np.int64)
+                of = batch.column("of")[k].as_buffer()
+                waiting.append((mark, sets[np.frombuffer(of, np.uint16 if of.size == 2 * len(mark) else np.uint32)]))
+                held += len(mark)
+        if waiting:
+            yield out(merged(first, waiting)[1])
+
+    return ordered.mapInArrow(apply, "h long, a long").distinct()
+
+
+def _folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps folded to ``width`` bits, as 64-bit words: parities of a narrower hash."""
+    out = np.empty((len(bits), width // 64), U64)
+    for k, raw in enumerate(bits):
+        x = np.frombuffer(raw, U64)
+        out[k] = np.bitwise_xor.reduce(x.reshape(-1, width // 64), 0)
+    return out
 
 
-def _shared_keys(known: DataFrame) -> DataFrame:
-    """``key, h, a``: the sets that hold a key which another set holds, and the smallest of them."""
-    all_keys = known.select("h", F.explode("keys").alias("key"))
-    shared = c.cut(all_keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key", "a"))
-    bits = known.sparkSession.sparkContext.broadcast(bitset.collected(shared, "key"))
-    slots = known.select("h", "keys", F.transform("keys", lambda k: F.pmod(F.xxhash64(k, F.lit(77)), F.lit(bitset.BITS)) + 1).alias("slots"))
+def _close(sizes: np.ndarray, size: int, differ: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs the bound lets pass, from sizes and numbers of differing bits."""
+    both = sizes + size
+    return (np.minimum(sizes, size) * 100 >= percent * np.maximum(sizes, size)) & ((100 + percent) * (both - differ) >= 2 * percent * both)
+
+
+def possible(sizes: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
+    """The part of each member, by its first member, of the graph of pairs that the bitmaps' bound lets pass."""
+    n, root = len(sizes), np.arange(len(sizes))
+    width = np.array([8 * len(x) for x in bits])
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = int(root[x])
+        return x
+
+    for w in np.unique(width):
+        members = np.flatnonzero(width >= w)
+        folded, own = _folded([bits[k] for k in members], int(w)), sizes[members]
+        rest = np.ones(len(members), bool)
+        for start in np.flatnonzero(width[members] == w):
+            queue = [int(start)] if rest[start] else []
+            rest[start] = False
+            while queue:
+                x = queue.pop()
+                # Wider sets compare among themselves at their own width.
+                y = np.flatnonzero(rest if width[members[x]] == w else rest & (width[members] == w))
+                y = y[_close(own[y], own[x], np.bitwise_count(folded[y] ^ folded[x]).sum(1, dtype=np.int64), percent)]
+                rest[y] = False
+                for k in y.tolist():
+                    p, q = find(int(members[x])), find(int(members[k]))
+                    root[max(p, q)] = min(p, q)
+                    queue.append(k)
+    return np.array([find(k) for k in range(n)], np.int64)
+
+
+def _parts(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``g, h, a``: the parts of two or more sets of each tile ``t1, t2, t3``, with a name and the smallest set of each."""
+    names = ["t1", "t2", "t3"]
+    rows = places.join(sets.select("h", "n", "bits"), "h").select(*names, "h", "n", "bits").repartition(*names).sortWithinPartitions(*names, "h")
+
+    def solve(hs: list[int], ns: list[int], bits: list[bytes]) -> tuple[np.ndarray, ...]:
+        h = np.array(hs, np.int64)
+        part = possible(np.array(ns, np.int64), bits, percent)
+        size = np.bincount(part, minlength=len(part))
+        # Tiles that hold the same members give one part.
+        name = np.zeros(len(part), U64)
+        np.add.at(name, part, c.mix(h.view(U64)))
+        keep = size[part] > 1
+        return name[part][keep].view(np.int64), h[keep], h[part][keep]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, hs, ns, bits = None, [], [], []
         for batch in batches:
-            hit = bitset.holds(bits.value, np.asarray(batch.column("slots").flatten()))
-            sizes = np.asarray(pa.compute.list_value_length(batch.column("keys")))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("h")), sizes)[hit]), pa.array(np.asarray(batch.column("keys").flatten())[hit])], names=["h", "key"])
+            out = []
+            columns = (batch.column(x).to_pylist() for x in (*names, "h", "n", "bits"))
+            for *mark, h, n, b in zip(*columns, strict=True):
+                if mark != tile:
+                    out.append(solve(hs, ns, bits))
+                    tile, hs, ns, bits = mark, [], [], []
+                hs.append(h)
+                ns.append(n)
+                bits.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out] or [np.zeros(0, np.int64)])) for k in range(3)], names=["g", "h", "a"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(hs, ns, bits)], names=["g", "h", "a"])
+
+    return rows.mapInArrow(apply, "g long, h long, a long").distinct()
 
-    return slots.mapInArrow(apply, "h long, key long").join(shared, "key").select("h", "a").where("h <> a").distinct()
 
+def _groups(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``g, h, a``: groups of sets that may be linked, each set's group and the group's smallest set.
 
-def _with_sets(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame, words: int) -> DataFrame:
-    """``h, rep, s``: the sorted sets of ``nodes`` (``h, rep``), from the texts of the ids ``rep``."""
+    The sets of a tile (those with one first holder, and it) fall into the parts that
+    their bitmaps allow; parts of one set go. A tile of more than ``SKETCH_TILE`` sets is
+    dealt in blocks, each pair of which is a tile; what connects across them is one group.
+    """
+    zero = F.lit(0).cast("long")
+    count = pairs.groupBy("a").agg(F.count("*").alias("members")).select("a", F.ceil(2 * F.col("members") / SKETCH_TILE).cast("long").alias("blocks"))
+    placed = pairs.join(count, "a")
+    placed = placed.select("h", "a", "blocks").unionByName(count.select(F.col("a").alias("h"), "a", "blocks"))
+    small = placed.where("blocks <= 2").select("h", F.col("a").alias("t1"), zero.alias("t2"), zero.alias("t3"))
+    found = _parts(small, sets, percent)
+    large = placed.where("blocks > 2")
+    if large.isEmpty():
+        return found
+    own = _block("h", "blocks")
+    large = large.select("h", F.col("a").alias("t1"), own.alias("b"), _all_blocks(F.col("blocks")).alias("other"))
+    edges = _parts(large.select("h", "t1", F.least("b", "other").alias("t2"), F.greatest("b", "other").alias("t3")), sets, percent)
+    whole = components(edges.select(F.col("h").alias("u"), F.col("a").alias("v")))
+    return found.unionByName(whole.select(F.col("root").alias("g"), F.col("node").alias("h"), F.col("root").alias("a")))
+
+
+def _with_sets(docs: DataFrame, nodes: DataFrame, places: DataFrame, words: int) -> DataFrame:
+    """``places`` (by ``h``) with ``s``, the sorted set, from the texts of the ids ``rep`` of ``nodes`` (``h, rep, times``)."""
     bits = docs.sparkSession.sparkContext.broadcast(bitset.collected(nodes, "rep"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            whole = whole.filter(pa.array(bitset.holds(bits.value, np.asarray(whole.column("_slot")))))
-            for batch in c.slices(whole, "_text"):
-                h, sizes, _ = shingle_sets(batch.column("_text"), words)
-                yield pa.RecordBatch.from_arrays([_signed(set_ids(h, sizes)), batch.column("rep"), _lists(h, sizes)], names=["h", "rep", "s"])
+            whole = whole.filter(pa.array(bitset.holds(bits.value, np.asarray(whole.column("slot")))))
+            for batch in c.slices(whole, "text"):
+                h, sizes, _ = shingle_sets(batch.column("text"), words)
+                yield pa.RecordBatch.from_arrays([_signed(set_ids(h, sizes)), batch.column("doc_id"), _lists(h, sizes)], names=["h", "rep", "s"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("_text")).where("rep IS NOT NULL")
-    return bitset.with_slot(source, "rep").mapInArrow(apply, "h long, rep long, s array<long>").join(nodes, ["h", "rep"])
+    source = bitset.with_slot(docs.where("doc_id IS NOT NULL"), "doc_id", "slot")
+    sets = source.mapInArrow(apply, "h long, rep long, s array<long>")
+    if not nodes.where("times > 1").isEmpty():  # a row that repeats gives its set once
+        sets = sets.dropDuplicates(["h"])
+    placed = c.cut(places.join(nodes.select("h", "rep"), "h"))
+    return sets.join(placed, ["h", "rep"]).drop("rep")
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -235,37 +429,37 @@ def forest(sets: list[np.ndarray], group: np.ndarray | None = None, percent: int
 
 
 def _tiles(rows: DataFrame, percent: int, sided: bool = False) -> DataFrame:
-    """Edges ``u, v`` of the tiles ``t1, t2, t3``; rows hold ``rep, s`` and, if ``sided``, ``side``."""
+    """Edges ``u, v`` of the tiles ``t1, t2, t3``; rows hold ``h, s`` and, if ``sided``, ``side``."""
     names = ["t1", "t2", "t3"]
-    ordered = rows.select(*names, *(["side"] if sided else []), "rep", "s").repartition(*names).sortWithinPartitions(*names)
+    ordered = rows.select(*names, *(["side"] if sided else []), "h", "s").repartition(*names).sortWithinPartitions(*names)
 
-    def solve(reps: list[int], sets: list[np.ndarray], sides: list[int]) -> list[tuple[int, int]]:
-        """Each connected member with the smallest ``rep`` of its part, so that what meets later are stars."""
+    def solve(ids: list[int], sets: list[np.ndarray], sides: list[int]) -> list[tuple[int, int]]:
+        """Each connected member with the smallest id of its part, so that what meets later are stars."""
         found = forest(sets, np.array(sides) if sided else None, percent) if len(sets) > 1 else []
-        root = list(range(len(reps)))
+        root = list(range(len(ids)))
         for x, y in found:
             root[y] = root[x]
         least = dict.fromkeys(root)
         for k, r in enumerate(root):
-            least[r] = reps[k] if least[r] is None else min(least[r], reps[k])
-        return [(reps[k], least[r]) for k, r in enumerate(root) if reps[k] != least[r]]
+            least[r] = ids[k] if least[r] is None else min(least[r], ids[k])
+        return [(ids[k], least[r]) for k, r in enumerate(root) if ids[k] != least[r]]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, reps, sets, sides = None, [], [], []
+        tile, ids, sets, sides = None, [], [], []
         for batch in batches:
             edges: list[tuple[int, int]] = []
             marks = list(zip(*(batch.column(x).to_pylist() for x in names), strict=True))
             flat, off = np.asarray(batch.column("s").flatten()), np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(batch.column("s"))))])
-            rep, side = batch.column("rep").to_pylist(), batch.column("side").to_pylist() if sided else None
+            h, side = batch.column("h").to_pylist(), batch.column("side").to_pylist() if sided else None
             for k, mark in enumerate(marks):
                 if mark != tile:
-                    edges += solve(reps, sets, sides)
-                    tile, reps, sets, sides = mark, [], [], []
-                reps.append(rep[k])
+                    edges += solve(ids, sets, sides)
+                    tile, ids, sets, sides = mark, [], [], []
+                ids.append(h[k])
                 sets.append(flat[off[k] : off[k + 1]].copy())
                 sides.append(side[k] if sided else 0)
             yield pa.RecordBatch.from_pydict({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
-        edges = solve(reps, sets, sides)
+        edges = solve(ids, sets, sides)
         yield pa.RecordBatch.from_pydict({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
 
     return ordered.mapInArrow(apply, "u long, v long")
@@ -275,6 +469,10 @@ def _block(h: str, blocks: str) -> F.Column:
     return F.pmod(F.xxhash64(h, F.lit(5)), F.col(blocks))
 
 
+def _all_blocks(blocks: F.Column) -> F.Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``.
 
@@ -286,44 +484,51 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Repeated rows are answered each; rows that share a doc_id but not the text are
     judged by their own text. No rows give no rows.
     """
-    known = c.cut(_described(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"], words, percent))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    known = c.cut(_described(docs, words))
     usable = known.where("doc_id IS NOT NULL AND n > 0")
-    pairs = c.cut(_shared_keys(usable))
-    member = pairs.groupBy("a").agg(F.count("*").alias("members")).select("a", F.ceil(F.col("members") / TILE).cast("long").alias("blocks"))
-    placed = pairs.join(member, "a")
-    nodes = pairs.select("h").unionByName(pairs.select(F.col("a").alias("h"))).distinct()
-    reps = usable.groupBy("h").agg(F.min("doc_id").alias("rep"))
-    sets = _with_sets(docs, doc_id, text, c.cut(reps.join(nodes, "h", "left_semi")), words)
-    places = placed.select("h", F.col("a").alias("t1"), _block("h", "blocks").alias("t2")).unionByName(
-        member.select(F.col("a").alias("h"), F.col("a").alias("t1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("t2"))
-    )
-    roots = components(_tiles(sets.join(places, "h").withColumn("t3", F.lit(-1).cast("long")), percent))
+    by_row = usable.groupBy("h", "doc_id").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    least = F.min_by(F.struct("times", "n", "bits"), "doc_id")
+    sets = c.cut(by_row.groupBy("h").agg(F.min("doc_id").alias("rep"), least.alias("x")).select("h", "rep", "x.*"))
+    elements = sets.agg(F.sum("n")).first()[0] or 0
+    log_buckets = max(0, int(np.ceil(np.log2(1 + 4 * elements * (100 - percent) / (100 + percent) / FLUSH_KEYS))))
+    partitions = max(1 << max(0, log_buckets - 1), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = c.cut(_anchored(_key_blocks(docs.where("doc_id IS NOT NULL"), words, percent, log_buckets), partitions))
+    placed = c.cut(_groups(pairs, sets, percent))
+    member = placed.groupBy("g").agg(F.min("a").alias("a"), F.count("*").alias("members")).select("g", "a", F.ceil((F.col("members") - 1) / TILE).cast("long").alias("blocks"))
+    member = c.cut(member)
+    nodes = c.cut(sets.select("h", "rep", "times").join(placed.select("h").distinct(), "h", "left_semi"))
+    inner = placed.where("h <> a").join(member.select("g", "blocks"), "g")
+    places = inner.select("h", F.col("g").alias("t1"), _block("h", "blocks").alias("t2")).unionByName(member.select(F.col("a").alias("h"), F.col("g").alias("t1"), _all_blocks(F.col("blocks")).alias("t2")))
+    roots = components(_tiles(_with_sets(docs, nodes, places.withColumn("t3", F.lit(-1).cast("long")), words), percent))
     large = member.where("blocks > 1")
     if not large.isEmpty():
         stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        roots = components(stars.unionByName(_across(docs, doc_id, text, placed.join(large.select("a"), "a", "left_semi"), reps, roots, words, percent)))
-    classes = reps.join(roots, reps["rep"] == roots["node"], "left").select("h", F.coalesce("root", "rep").alias("component_id"))
-    out = known.withColumn("k", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("h"))).join(classes.withColumnRenamed("h", "k"), "k", "left")
+        roots = components(stars.unionByName(_across(docs, placed.select("g", "h").join(large, "g"), nodes, roots, words, percent)))
+    linked = roots.join(sets.select("h", "rep"), roots["node"] == sets["h"]).select("h", "root", "rep")
+    least = linked.groupBy("root").agg(F.min("rep").alias("component"))
+    classes = sets.select("h", "rep").join(linked.join(least, "root").select("h", "component"), "h", "left").select("h", F.coalesce("component", "rep").alias("component_id"))
+    out = known.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("h")).alias("h")).join(classes, "h", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _across(docs: DataFrame, doc_id: str, text: str, placed: DataFrame, reps: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges of large tiles between members that blocks kept apart.
+def _across(docs: DataFrame, placed: DataFrame, nodes: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges of large groups (``g, h, a, blocks``) between members that blocks kept apart.
 
-    Pairs that have one root need none. So members whose root is not the tile's main
+    Pairs that have one root need none. So members whose root is not the group's main
     one (that of its smallest set) meet all members of the other blocks.
     """
-    root_of = reps.join(roots, reps["rep"] == roots["node"], "left").select("h", F.coalesce("root", "rep").alias("root"))
+    root_of = nodes.select("h").join(roots, F.col("h") == F.col("node"), "left").select("h", F.coalesce("root", "h").alias("root"))
     known = placed.join(root_of, "h").join(root_of.select(F.col("h").alias("a"), F.col("root").alias("main")), "a")
-    known = c.cut(known.select("a", "h", "blocks", (F.col("root") != F.col("main")).alias("apart"), _block("h", "blocks").alias("b")))
+    known = c.cut(known.select("g", "h", "blocks", (F.col("root") != F.col("main")).alias("apart"), _block("h", "blocks").alias("b")))
     apart = known.where("apart")
     if apart.isEmpty():
         return docs.sparkSession.createDataFrame([], "u long, v long")
-    blocks = apart.select("a", F.col("b").alias("t2")).distinct()
-    one = apart.select("h", F.col("a").alias("t1"), F.col("b").alias("t2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("t3"), F.lit(0).alias("side")).where("t2 <> t3")
-    two = known.join(blocks, "a").where("b <> t2").select("h", F.col("a").alias("t1"), "t2", F.col("b").alias("t3"), F.lit(1).alias("side"))
-    sets = _with_sets(docs, doc_id, text, c.cut(reps.join(known.select("h").distinct(), "h", "left_semi")), words)
-    return _tiles(sets.join(one.unionByName(two), "h"), percent, sided=True)
+    blocks = apart.select("g", F.col("b").alias("t2")).distinct()
+    one = apart.select("h", F.col("g").alias("t1"), F.col("b").alias("t2"), _all_blocks(F.col("blocks")).alias("t3"), F.lit(0).alias("side")).where("t2 <> t3")
+    two = known.join(blocks, "g").where("b <> t2").select("h", F.col("g").alias("t1"), "t2", F.col("b").alias("t3"), F.lit(1).alias("side"))
+    needed = c.cut(nodes.join(known.select("h").distinct(), "h", "left_semi"))
+    return _tiles(_with_sets(docs, needed, one.unionByName(two), words), percent, sided=True)
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     share = min(1.0, SAMPLE / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(10)), F.lit(1_000_000)) < int(share * 1_000_000))
+    drawn = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(10)), F.lit(1 << 52)) < int(share * (1 << 52)))
     # The draw bounds this side at about SAMPLE rows of 12 bytes.
     sample = c.cut(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").repartition(FIT_TASKS))
 
@@ -185,23 +185,26 @@ def classify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     """``keep`` columns (all, if None) with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
 
     Only the text enters a score; null and empty texts get the score of a text without
-    words. Rows are kept as they are, repeated ones and null ids included.
+    words. Rows are kept as they are, repeated ones and null ids included; columns of the
+    two names are replaced. A score that equals the threshold is predicted 1.
     """
-    keep = [x for x in docs.columns if x not in ("score", "predicted")] if keep is None else keep
+    keep = [x for x in docs.columns if x.lower() not in ("score", "predicted")] if keep is None else keep
     schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
+    plain = c.unused(schema.names, "_text")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for whole in batches:
-            for batch in c.slices(whole, "_text"):
-                s = m.score(features(batch.column("_text"), m.vectors))
+            for batch in c.slices(whole, plain):
+                s = m.score(features(batch.column(plain), m.vectors))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(apply, schema)
+    return docs.select(*keep, F.col(text).alias(plain)).mapInArrow(apply, schema)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
+    """Scores of every document; null ids are never held out, null texts score as empty."""
     docs = c.table(spark, sf_dir, "documents")
     scored = classify(docs, fit(docs, c.table(spark, sf_dir, "labels")), keep=["doc_id"])
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")

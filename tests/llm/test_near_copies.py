@@ -63,3 +63,32 @@ def test_keys_reach_every_linked_pair(words, percent):
         for b in range(a):
             if same(sets[a], sets[b]):
                 assert keys[a] & keys[b] or set(sets[a].tolist()) == set(sets[b].tolist())
+
+
+def test_rows_of_one_id_go_by_their_own_texts(spark):
+    a, b = (" ".join(f"{k}{n}" for n in range(60)) for k in "ab")
+    rows = [(0, a + " y"), (1, a), (1, b), (5, a + " z"), (6, b + " z"), (6, b + " z"), (7, None)]
+    got = j.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=90).collect()
+    assert sorted((r[0], r[2]) for r in got) == [(0, 0), (1, 0), (1, 1), (5, 0), (6, 1), (6, 1), (7, 7)]
+
+
+def test_bitmaps_let_every_linked_pair_pass():
+    docs = corpus(13, 60, 9)
+    h, sizes, begin = j.shingle_sets(pa.array([t for _, t in docs]), 2)
+    bits, width = j.bitmaps(h, sizes)
+    ends = (width // 8).cumsum()
+    maps = [bits[e - n : e].tobytes() for e, n in zip(ends, width // 8)]
+    part = j.possible(sizes, maps, 60)
+    sets = [h[b : b + n] for b, n in zip(begin, sizes)]
+    pairs = [(a, b) for a in range(len(docs)) for b in range(a) if j.linked(sets[a], sets[b], 60)]
+    assert all(part[a] == part[b] for a, b in pairs)
+    assert len(set(part.tolist())) > 20
+
+
+def test_small_steps_give_the_same(spark, monkeypatch):
+    docs = corpus(17, 40, 12)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = brute(docs, 5, 80)
+    for name, value in (("SKETCH_TILE", 4), ("FLUSH_KEYS", 50), ("TILE", 2)):
+        monkeypatch.setattr(j, name, value)
+        assert sorted(map(tuple, j.near_duplicates(frame, words=5, percent=80).collect())) == want

@@ -127,7 +127,7 @@ def identify(rows: DataFrame, names: list[str], table: np.ndarray, keep: list[st
     by_host = c.cut(df.where("_host <> ''").groupBy("_host").agg(*sums, F.count("*").alias("_n")).withColumn("_domain", domain))
     by_domain = by_host.groupBy("_domain").agg(*[F.sum(x).alias(f"{x}d") for x in post], F.sum("_n").alias("_nd"))
     prior = by_host.join(by_domain, "_domain").select("_host", *[((F.col(x) + ALPHA * (F.col(f"{x}d") + ALPHA * b) / (F.col("_nd") + ALPHA)) / (F.col("_n") + ALPHA)).alias(f"{x}h") for x, b in zip(post, base, strict=True)])
-    df = df.join(prior, "_host", "left")
+    df = c.hot_join(df, c.cut(prior), "_host", "left")
     for key in ("_declared", "_suffix"):  # P(value | language), against the value's share
         seen = c.cut(df.where(F.col(key) != "").groupBy(key).agg(*sums))
         totals = [float(x or 0) for x in seen.agg(*sums, F.count("*")).first()]

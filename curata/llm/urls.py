@@ -20,8 +20,8 @@ from curata.llm import common as c
 
 # Fixed values of the contract.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-#: Longest word that the segmentation looks up; a label over 63 characters is no DNS label and stays whole.
-WORD, LABEL = 20, 63
+#: Substrings up to this length are looked up whole, longer words by their first characters.
+PREFIX = 20
 SMOOTHING = 0.5
 
 
@@ -43,14 +43,20 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Col
 
 
 def viterbi(label: str, known: dict[tuple[int, int], float], total: float) -> list[str]:
-    """The likeliest split; ``known`` maps (start, length) to a word's log probability."""
+    """The likeliest split; ``known`` maps (start, length) to a word's log probability.
+
+    An unknown word of n characters has log(10 / total) - n log 10. Of equal splits, the one
+    with the shortest last word, and so on to the left.
+    """
+    ending: dict[int, list[tuple[int, float]]] = {}
+    for (start, size), p in known.items():
+        ending.setdefault(start + size, []).append((start, p))
     best: list[tuple[float, int]] = [(0.0, 0)]
+    unknown = (-math.inf, 0)
     for end in range(1, len(label) + 1):
-        options = []
-        for size in range(1, min(end, WORD) + 1):
-            p = known.get((end - size, size), math.log(10 / total) - size * math.log(10))
-            options.append((best[end - size][0] + p, end - size))
-        best.append(max(options))
+        unknown = max(unknown, (best[end - 1][0] + (end - 1) * math.log(10), end - 1))
+        options = [(unknown[0] - end * math.log(10) + math.log(10 / total), unknown[1])]
+        best.append(max(options + [(best[start][0] + p, start) for start, p in ending.get(end, ())]))
     out, end = [], len(label)
     while end:
         out.append(label[best[end][1] : end])
@@ -59,16 +65,23 @@ def viterbi(label: str, known: dict[tuple[int, int], float], total: float) -> li
 
 
 def segmented(labels: DataFrame, words: DataFrame, total: float) -> DataFrame:
-    """``label, words`` of distinct ``label``; ``words`` holds ``word, count``."""
-    short = labels.where(F.length("label") <= LABEL)
-    grid = F.expr(f"flatten(transform(sequence(1, length(label)), s -> transform(sequence(1, least({WORD}, length(label) - s + 1)), n -> struct(s - 1 AS start, n AS size, substring(label, s, n) AS word))))")
-    found = short.select("label", F.explode(grid).alias("x")).select("label", "x.*").join(words, "word")
-    known = found.groupBy("label").agg(F.collect_list(F.struct("start", "size", F.log(F.col("count") / total).alias("p"))).alias("known"))
+    """``label, words`` of distinct ``label``; ``words`` holds ``word, count``.
+
+    Substrings of up to ``PREFIX`` characters are looked up themselves, longer words by their
+    first ``PREFIX`` characters, so rows grow with a label's length, whatever that is.
+    """
+    at = labels.select("label", F.explode(F.sequence(F.lit(1), F.length("label"))).alias("s"))
+    grid = at.select("label", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(PREFIX), F.length("label") - F.col("s") + 1))).alias("n"))
+    short = grid.select("label", (F.col("s") - 1).alias("start"), F.col("n").alias("size"), F.expr("substring(label, s, n)").alias("word")).join(words, "word").drop("word")
+    more = words.where(F.length("word") > PREFIX).withColumn("head", F.substring("word", 1, PREFIX))
+    heads = at.select("label", "s", F.expr(f"substring(label, s, {PREFIX})").alias("head")).where(F.length("head") == PREFIX)
+    long = heads.join(more, "head").where(F.expr("substring(label, s, length(word)) = word")).select("label", (F.col("s") - 1).alias("start"), F.length("word").alias("size"), "count")
+    known = short.unionByName(long).groupBy("label").agg(F.collect_list(F.struct("start", "size", F.log(F.col("count") / total).alias("p"))).alias("known"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column("label").to_pylist(), batch.column("known").to_pylist(), strict=True)
-            out = [[x] if len(x) > LABEL else viterbi(x, {(k["start"], k["size"]): k["p"] for k in known or []}, total) for x, known in rows]
+            out = [viterbi(x, {(k["start"], k["size"]): k["p"] for k in known or []}, total) for x, known in rows]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.list_(pa.string()))], names=["label", "words"])
 
     return labels.join(known, "label", "left").mapInArrow(apply, "label string, words array<string>")
@@ -92,11 +105,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_i
     words = pages.select(F.explode(F.split(F.lower(plain), "[^a-z0-9]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("count"))
     words = c.cut(words)
     total = float(words.agg(F.sum("count")).first()[0] or 1)
-    by_label = df.select("host").distinct().select("host", F.posexplode(F.split("host", r"\.")).alias("place", "label")).where("label <> ''")
-    split = segmented(by_label.select("label").distinct(), words, total)
-    hosts = by_label.join(split, "label").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "words"))), lambda x: x["words"])).alias("host_words"))
-    df = df.join(c.cut(hosts), "host", "left").withColumn("host_words", F.coalesce("host_words", F.array().cast("array<string>")))
+    by_label = c.cut(df.select("host").distinct().select("host", F.posexplode(F.split("host", r"\.")).alias("place", "label")).where("label <> ''"))
+    split = c.cut(segmented(by_label.select("label").distinct(), words, total))
+    hosts = c.hot_join(by_label, split, "label").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "words"))), lambda x: x["words"])).alias("host_words"))
+    df = c.hot_join(df, c.cut(hosts), "host", "left").withColumn("host_words", F.coalesce("host_words", F.array().cast("array<string>")))
 
+    df = c.cut(df)
     each = df.select("_row", "ruled", F.explode(F.concat(F.transform("host_words", lambda x: F.concat(F.lit("h:"), x)), F.transform("tokens", lambda x: F.concat(F.lit("p:"), x)))).alias("token"))
     is_block, is_allow = (F.col("ruled") == "block").cast("long"), (F.col("ruled") == "allow").cast("long")
     counts = c.cut(each.where("ruled IS NOT NULL").groupBy("token").agg(F.sum(is_block).alias("b"), F.sum(is_allow).alias("a")))
@@ -107,11 +121,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_i
     log = lambda k, n: F.log((F.col(k) + SMOOTHING) / (n + SMOOTHING * (v + 1)))
     weight = counts.select("token", (log("b", b) - log("a", a) if blocked and allowed else F.lit(0.0)).alias("w"))
     unseen = math.log((a + SMOOTHING * (v + 1)) / (b + SMOOTHING * (v + 1))) if blocked and allowed else 0.0
-    scores = each.join(weight, "token", "left").groupBy("_row").agg(F.sum(F.coalesce("w", F.lit(unseen))).alias("w"))
+    scores = c.hot_join(each, c.cut(weight), "token", "left").groupBy("_row").agg(F.sum(F.coalesce("w", F.lit(unseen))).alias("w"))
     out = df.join(scores, "_row", "left").withColumn("score", F.round(F.lit(prior) + F.coalesce("w", F.lit(0.0)), 9))
     verdict = F.coalesce("ruled", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", F.array_join("host_words", " ").alias("host_words"))
 
 
 def op7_url_filter(spark, sf_dir: str) -> DataFrame:
+    """The judgement of every page; null ids and repeated rows are judged like others."""
     return judge(c.table(spark, sf_dir, "pages"), RULES)

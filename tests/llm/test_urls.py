@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 from curata.llm import urls
@@ -50,3 +51,34 @@ def test_viterbi_is_the_likeliest_split():
     for s in ("therein", "inthere", "xin", "aaa"):
         known = {(i, n): logp(s[i : i + n]) for i in range(len(s)) for n in range(1, len(s) - i + 1) if s[i : i + n] in counts}
         assert abs(sum(map(logp, urls.viterbi(s, known, total))) - best(s)[0]) < 1e-9
+
+
+def test_long_labels_and_long_words(spark):
+    import math
+
+    r = random.Random(3)
+    words = {"the": 9, "pneumonoultramicroscopicsilicovolcano": 4, "x" * 25: 3, "ab": 5, "a": 2, "b": 2}
+    total = float(sum(words.values()))
+    labels = ["the" * 40 + "ab", "ab" + "pneumonoultramicroscopicsilicovolcano" * 3 + "the", "x" * 60, "q" * 70, "a"] + ["".join(r.choice(list(words)) for _ in range(30)) for _ in range(5)]
+
+    def best(x):
+        cost = lambda w: math.log(words[w] / total) if w in words else math.log(10 / total) - len(w) * math.log(10)
+        p = [0.0]
+        for end in range(1, len(x) + 1):
+            p.append(max(p[s] + cost(x[s:end]) for s in range(end)))
+        return p[-1], cost
+
+    rows = urls.segmented(spark.createDataFrame([(x,) for x in labels], "label string"), spark.createDataFrame(list(words.items()), "word string, count long"), total).collect()
+    assert sorted(x.label for x in rows) == sorted(labels)
+    for x in rows:
+        p, cost = best(x.label)
+        assert "".join(x.words) == x.label and abs(sum(map(cost, x.words)) - p) < 1e-9
+
+
+def test_hot_keys_and_null_keys_join_like_others(spark):
+    from curata.llm import common
+
+    left = spark.createDataFrame([("hot", k) for k in range(3000)] + [(f"k{k}", k) for k in range(40)] + [(None, 1), ("none", 2)], "key string, n int")
+    right = spark.createDataFrame([("hot", 1)] + [(f"k{k}", k) for k in range(30)], "key string, v int")
+    for how in ("inner", "left"):
+        assert sorted(map(str, common.hot_join(left, right, "key", how).collect())) == sorted(map(str, left.join(right, "key", how).collect()))

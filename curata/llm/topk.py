@@ -1,6 +1,7 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
-Queries go out in blocks of at most about ``QUERY_BLOCK`` rows. A task turns its
+Queries go out in blocks of about ``QUERY_BYTES``; what each block finds is written, so
+that the plan and the driver's load don't grow with their number. A task turns its
 candidates into postings by component and, for each query row's non-zero terms,
 scatters weighted postings into a dense score array of a bounded tile; the best k
 of each query are kept while tiles pass, and the tasks' lists merge by one window.
@@ -8,6 +9,7 @@ of each query are kept while tiles pass, and the tasks' lists merge by one windo
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 
 from curata.llm import common as c
 
-QUERY_BLOCK = 1024
+#: Bytes of query vectors sent out at a time.
+QUERY_BYTES = 32 << 20
 TILE_QUERIES, TILE_ROWS = 128, 1024
 
 
@@ -86,16 +89,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id
     spark = vectors.sparkSession
     pick = lambda d: d.select(F.col(vec_id).cast("long").alias("id"), integers(F.col(vector)).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     base, asked = pick(vectors), pick(queries)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    schema = "block int, number int, query_id long, id long, score long"
-    out = None
+    size = asked.agg(F.sum(F.size("v"))).first()[0] or 0
+    blocks = max(1, -(-8 * size // QUERY_BYTES))
+    schema = "number int, query_id long, id long, score long"
+    folder = f"{c.shared_dir(spark)}/curata-{uuid.uuid4().hex}"
     for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == b).collect()
-        block.sort(key=lambda r: (r[0], r[1]))
-        width = max([1, *(len(r[1]) for r in block)])
-        sent = spark.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), _dense([np.array(r[1], np.int64) for r in block], width)))
+        block = asked.where(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == b).toArrow().sort_by([("id", "ascending")])
+        vectors_of = [x.values.to_numpy() for x in block.column("v")]
+        width = max([1, *map(len, vectors_of)])
+        sent = spark.sparkContext.broadcast((block.column("id").to_numpy(), _dense(vectors_of, width)))
 
-        def apply(batches: Iterator[pa.RecordBatch], sent=sent, b=b, width=width) -> Iterator[pa.RecordBatch]:
+        def apply(batches: Iterator[pa.RecordBatch], sent=sent, width=width) -> Iterator[pa.RecordBatch]:
             query_ids, q = sent.value
             kept = (np.zeros(0, np.int64),) * 3
             worst = np.full(len(q), np.iinfo(np.int64).min)
@@ -120,16 +124,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id
                     full = np.flatnonzero(count >= k)
                     worst[full] = kept[2][np.cumsum(count)[full] - 1]
             number, ids, scores = kept
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(number), b), pa.int32()), pa.array(number, pa.int32()), pa.array(query_ids[number], pa.int64()), pa.array(ids), pa.array(scores)], names=["block", "number", "query_id", "id", "score"])
-
-        df = base.mapInArrow(apply, schema)
-        out = df if out is None else out.unionByName(df)
-    order = Window.partitionBy("block", "number").orderBy(F.desc("score"), F.asc("id"))
-    ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(query_ids[number], pa.int64()), pa.array(ids), pa.array(scores)], names=["number", "query_id", "id", "score"])
+
+        order = Window.partitionBy("number").orderBy(F.desc("score"), F.asc("id"))
+        ranked = base.mapInArrow(apply, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if blocks > 1:
+            ranked.write.parquet(f"{folder}/block={b}")
+    if blocks > 1:
+        ranked = spark.read.schema(ranked.schema).parquet(folder)
     return ranked.select(F.col("query_id").alias(columns[0]), F.col("rank").alias(columns[1]), F.col("id").alias(columns[2]), F.col("score").alias(columns[3]))
 
 
 def op5_topk(spark, sf_dir: str) -> DataFrame:
+    """The ten best rows for each row whose vec_id is divisible by 100; null ids and bad vectors take no part."""
     vectors = c.table(spark, sf_dir, "embeddings")
     return search(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
 

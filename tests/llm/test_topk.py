@@ -17,7 +17,7 @@ def test_against_brute_force(spark, monkeypatch):
     r = random.Random(5)
     rows = [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(260)] + [(i, [0.5] * 8) for i in range(300, 430)]
     rows += [(500, None), (600, [None] * 8), (700, [float("nan")] * 8), (None, [0.5] * 8), (800, [0.25] * 3), (801, [0.25] * 3), (0, rows[0][1])]
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 32)
     monkeypatch.setattr(topk, "TILE_ROWS", 50)
     df = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<double>, score int").repartition(3)
     got = topk.search(df, df.where("vec_id % 100 = 0"), 10).collect()

@@ -30,22 +30,6 @@ WINDOW = 10
 BLOCK_BYTES = 32 << 20
 LANE = 256
 _VALUES = c.byte_values(6)
-_TABLE_BITS = 18
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """The words of one text, as the kernels split them."""
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    low = c.LOWER[data]
-    starts, ends, _ = c.spans(c.ALNUM_WORD[low], np.array([0, len(low)]))
-    raw = low.tobytes()
-    return [raw[s:e] for s, e in zip(starts, ends, strict=True)]
-
-
-def _hash(words: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b"".join(words), np.uint8)
-    ends = np.cumsum([len(w) for w in words])
-    return c.span_hashes(data, np.concatenate([[0], ends[:-1]]), ends, _VALUES)
 
 
 def _window_hash(hashes: np.ndarray, ends: np.ndarray, m: int) -> np.ndarray:
@@ -56,27 +40,41 @@ def _window_hash(hashes: np.ndarray, ends: np.ndarray, m: int) -> np.ndarray:
 
 
 class Machine:
-    """SHIFT table and buckets of the patterns of one length."""
+    """SHIFT table and buckets of the patterns of one length.
 
-    def __init__(self, m: int, patterns: dict[tuple[bytes, ...], set[str]]):
+    A pattern is ``m`` words of an item: rows of ``starts`` and ``ends`` in ``raw``, the items' lower-cased bytes.
+    """
+
+    def __init__(self, m: int, raw: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, last: np.ndarray, item: np.ndarray, ids: np.ndarray):
         self.m, self.block = m, min(2, m)
-        self.patterns = {b" ".join(p): sorted(items) for p, items in patterns.items()}
-        h = _hash([w for p in patterns for w in p]).reshape(-1, m)
-        self.shift = np.full(1 << _TABLE_BITS, m - self.block + 1, np.uint8)
-        flat = h.reshape(-1)
+        self.bits = int(np.clip(np.ceil(np.log2(8 * m * max(1, len(last)))), 12, 24))
+        self.shift = np.full(1 << self.bits, m - self.block + 1, np.uint8)
         for q in range(self.block - 1, m):
-            at = np.arange(len(h)) * m + q
-            np.minimum.at(self.shift, self._block_index(flat, at), m - 1 - q)
-        last = np.arange(len(h)) * m + m - 1
-        #: Suffix-hash buckets: the patterns' whole hashes, sorted within the order of their suffix blocks.
-        self.bucket = np.sort(_window_hash(flat, last, m))
+            slot = self._block_index(hashes, last - (m - 1 - q))
+            self.shift[slot] = np.minimum(self.shift[slot], m - 1 - q)
+        #: Suffix-hash buckets: patterns by their whole hash, which their suffix block leads to.
+        self.bucket = _window_hash(hashes, last, m)
+        order = np.argsort(self.bucket, kind="stable")
+        self.bucket, self.last, self.item = self.bucket[order], last[order], item[order]
+        self.raw, self.starts, self.ends, self.ids = raw, starts, ends, ids
+
+    def items_of(self, h: int, words: list[bytes]) -> set[str]:
+        """The items that have just these words as a pattern, compared directly."""
+        out: set[str] = set()
+        k = int(np.searchsorted(self.bucket, h))
+        while k < len(self.bucket) and self.bucket[k] == h:
+            own = range(int(self.last[k]) - self.m + 1, int(self.last[k]) + 1)
+            if str(self.ids[self.item[k]]) not in out and all(self.raw[self.starts[i] : self.ends[i]].tobytes() == w for i, w in zip(own, words, strict=True)):
+                out.add(str(self.ids[self.item[k]]))
+            k += 1
+        return out
 
     def _block_index(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
         x = hashes[at] if self.block == 1 else hashes[at] + hashes[at - 1] * c.U64(0xD6E8FEB86659FD93)
-        return (c.mix(x) >> c.U64(64 - _TABLE_BITS)).astype(np.int64)
+        return (c.mix(x) >> c.U64(64 - self.bits)).astype(np.int64)
 
-    def find(self, hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Positions of last words of windows that are, by their hashes, patterns."""
+    def find(self, hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of last words of windows that are, by their hashes, patterns, and these hashes."""
         lanes = np.maximum(0, count - self.m + 1)
         parts = -(-lanes // LANE)
         row = np.repeat(np.arange(len(first)), parts)
@@ -93,24 +91,29 @@ class Machine:
             live = at < stop
             at, stop = at[live], stop[live]
         if not found:
-            return np.zeros(0, np.int64)
-        at = np.concatenate(found)
+            return np.zeros(0, np.int64), np.zeros(0, c.U64)
+        at = np.sort(np.concatenate(found))
         h = _window_hash(hashes, at, self.m)
         k = np.minimum(np.searchsorted(self.bucket, h), len(self.bucket) - 1)
-        return at[self.bucket[k] == h]
-
-
-def build(items: list[tuple[object, str | None]]) -> list[Machine]:
-    """The machines of a block of (item_id, text); items without words or id add nothing."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-    for item, text in items:
-        words = words_of(text)
-        if not words or item is None:
-            continue
-        m = min(WINDOW, len(words))
-        for i in range(len(words) - m + 1):
-            by_length.setdefault(m, {}).setdefault(tuple(words[i : i + m]), set()).add(str(item))
-    return [Machine(m, p) for m, p in sorted(by_length.items())]
+        hit = self.bucket[k] == h
+        return at[hit], h[hit]
+
+
+def build(items: pa.Table) -> list[Machine]:
+    """The machines of a block of items (``i``, ``t``); items without words add nothing."""
+    data, offsets = c.utf8(items.column("t"))
+    raw = c.LOWER[data]
+    starts, ends, rows = c.spans(c.ALNUM_WORD[raw], offsets)
+    hashes = c.span_hashes(raw, starts, ends, _VALUES)
+    count = c.row_counts(rows, items.num_rows)
+    size = np.minimum(WINDOW, count)[rows]
+    place = np.arange(len(rows)) - (np.cumsum(count) - count)[rows]
+    ids = np.array([str(x) for x in items.column("i").to_pylist()], object)
+    out = []
+    for m in np.unique(size).tolist():
+        last = np.flatnonzero((size == m) & (place >= m - 1))
+        out.append(Machine(m, raw, hashes, starts, ends, last, rows[last], ids))
+    return out
 
 
 def scan(texts: pa.Array, machines: list[Machine]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]:
@@ -126,10 +129,10 @@ def scan(texts: pa.Array, machines: list[Machine]) -> tuple[np.ndarray, list[lis
     hits: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     items: list[set[str]] = [set() for _ in range(n)]
     for x in machines:
-        for at in np.sort(x.find(hashes, first, count)):
+        for at, h in zip(*x.find(hashes, first, count), strict=True):
             i = int(at) - x.m + 1
-            words = b" ".join(raw[s:e] for s, e in zip(starts[i : i + x.m], ends[i : i + x.m], strict=True))
-            if (of := x.patterns.get(words)) is not None:
+            words = [raw[s:e] for s, e in zip(starts[i : i + x.m], ends[i : i + x.m], strict=True)]
+            if of := x.items_of(h, words):
                 row = rows[at]
                 hits[row].append((i - int(first[row]), i - int(first[row]) + x.m))
                 items[row].update(of)
@@ -156,22 +159,24 @@ def occurrences(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
     exclusive) and ``_items`` (sorted ids, as strings, of the items of which a window
     occurs). Null and empty texts have no words and no hits. Items with a null id or
     no words take no part; repeated items count once; with no items nothing is hit.
+    Columns of the three names are replaced.
     """
     spark = docs.sparkSession
-    keep = docs.columns if keep is None else keep
+    keep = [x for x in (docs.columns if keep is None else keep) if x.lower() not in ("_words", "_hits", "_items")]
+    plain = c.unused([*keep, "_words", "_hits", "_items"], "_text")
     items = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
     empty = "array<struct<start:bigint,end:bigint>>"
-    df = docs.select(*keep, F.col(text).alias("_text"), F.lit(0).cast("long").alias("_words"), F.array().cast(empty).alias("_hits"), F.array().cast("array<string>").alias("_items"))
+    df = docs.select(*keep, F.col(text).alias(plain), F.lit(0).cast("long").alias("_words"), F.array().cast(empty).alias("_hits"), F.array().cast("array<string>").alias("_items"))
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        machines = spark.sparkContext.broadcast(build([tuple(r) for r in part.collect()]))
+        machines = spark.sparkContext.broadcast(build(part.toArrow()))
 
         def apply(batches: Iterator[pa.RecordBatch], machines=machines) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in c.slices(batch, "_text"):
-                    count, hits, found = scan(part.column("_text"), machines.value)
+                for part in c.slices(batch, plain):
+                    count, hits, found = scan(part.column(plain), machines.value)
                     if blocks > 1:
                         hits = [merged(h + [(x["start"], x["end"]) for x in old]) for h, old in zip(hits, part.column("_hits").to_pylist(), strict=True)]
                         found = [f | set(old) for f, old in zip(found, part.column("_items").to_pylist(), strict=True)]
@@ -183,14 +188,14 @@ def occurrences(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
                     yield pa.RecordBatch.from_arrays([new.get(x, part.column(x)) for x in part.schema.names], names=part.schema.names)
 
         df = df.mapInArrow(apply, df.schema)
-    return df.drop("_text")
+    return df.drop(plain)
 
 
 def hit_counts(df: DataFrame) -> DataFrame:
     """``occurrences`` reduced to counts, the digest of the item ids and the verdict."""
     n_hit = F.aggregate("_hits", F.lit(0).cast("long"), lambda a, h: a + h["end"] - h["start"])
     return df.select(
-        *[x for x in df.columns if not x.startswith("_")],
+        *[x for x in df.columns if x not in ("_words", "_hits", "_items")],
         F.col("_words").alias("n_words"),
         n_hit.alias("n_hit"),
         F.size("_items").cast("long").alias("n_items"),
@@ -200,5 +205,6 @@ def hit_counts(df: DataFrame) -> DataFrame:
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Hits of benchmark windows in every document; null ids and repeated rows are answered like others."""
     docs = c.table(spark, sf_dir, "documents")
     return hit_counts(occurrences(docs, c.table(spark, sf_dir, "benchmark"), keep=["doc_id"]))

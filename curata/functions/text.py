@@ -33,8 +33,8 @@ def first_match(text: Column, rules: list[tuple[str, str]], default: str | None)
 
 
 def all_numbers(text: Column, pattern: str) -> Column:
-    """Integers in group 1 of every match."""
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x.cast("bigint"))
+    """Integers in group 1 of every match; null for more digits than a long holds."""
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x.try_cast("bigint"))
 
 
 def largest_number(text: Column, patterns: list[str]) -> Column:

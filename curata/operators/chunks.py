@@ -19,10 +19,12 @@ def windows(df: DataFrame, text: str, size: int, overlap: int, keep: list[str])
 
 def lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep, line_no, start, end, line`` of each line, with offsets in the text."""
-    parts = df.select(*keep, F.split(text, "\n").alias("_l")).where("_l IS NOT NULL")
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,line:string>>").alias("out"))
-    step = lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(x)).alias("end"), x.alias("line")))).alias("out"))
-    return parts.select(*keep, F.posexplode(F.aggregate("_l", state, step, lambda a: a["out"])).alias("line_no", "x")).select(*keep, F.col("line_no").cast("long").alias("line_no"), F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), F.col("x.line").alias("line"))
+    rows = df.select(*keep, F.col(text).alias("_l"), F.monotonically_increasing_id().alias("_row"))
+    parts = rows.select(*keep, "_row", F.posexplode(F.split("_l", "\n")).alias("line_no", "line"))
+    before = Window.partitionBy("_row").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0).cast("long"))
+    at = parts.select(*keep, F.col("line_no").cast("long").alias("line_no"), start.alias("start"), "line")
+    return at.select(*keep, "line_no", "start", (F.col("start") + F.length("line")).alias("end"), "line")
 
 
 def article_gate(html: Column, tags: list[str], words: list[str], least: int, hits: int) -> tuple[Column, Column]:

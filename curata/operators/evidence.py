@@ -26,12 +26,12 @@ class GradeConfig:
 
 
 def study_weight(design: Column, n: Column, cfg: GradeConfig) -> Column:
-    """Design weight times ln(1 + n); hyphens count as underscores, no n as zero."""
+    """Design weight times ln(1 + n), n a whole number; hyphens count as underscores, no n as zero."""
     name = F.replace(F.lower(F.coalesce(design, F.lit(""))), F.lit("-"), F.lit("_"))
     base = F.lit(cfg.other_design)
     for k, v in cfg.designs.items():
         base = F.when(name == k, F.lit(v)).otherwise(base)
-    return base * F.log1p(F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).cast("double"))
+    return base * F.log1p(F.floor(F.greatest(F.coalesce(n, F.lit(0)), F.lit(0))).cast("double"))
 
 
 def effect_value(effect: Column, direction: Column, cfg: GradeConfig) -> Column:
@@ -46,11 +46,12 @@ def pool(df: DataFrame, keys: list[str], cfg: GradeConfig = GradeConfig(), refs:
     """One row per group of ``design, n, effect, direction, paper_id``: pooled effect, consistency, grade.
 
     Sums of weights by sign come along with the pooled sum, so consistency needs no
-    second pass. ``top_refs`` are the smallest paper ids, joined.
+    second pass. ``top_refs`` are the smallest paper ids, joined. A group with fewer than
+    two usable effects, or none, has grade D and no refs.
     """
-    e = df.withColumn("_w", study_weight(F.col("design"), F.col("n"), cfg)).withColumn("_e", effect_value(F.col("effect"), F.col("direction"), cfg)).where("_e IS NOT NULL")
+    e = df.withColumn("_w", study_weight(F.col("design"), F.col("n"), cfg)).withColumn("_e", effect_value(F.col("effect"), F.col("direction"), cfg))
     part = lambda c: F.sum(F.when(c, F.col("_w")).otherwise(0.0))
-    g = e.groupBy(*keys).agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_e")).alias("we"), part(F.col("_e") > 0).alias("up"), part(F.col("_e") < 0).alias("down"), F.count("*").alias("n_effects"))
+    g = e.groupBy(*keys).agg(part(F.col("_e").isNotNull()).alias("w"), F.coalesce(F.sum(F.col("_w") * F.col("_e")), F.lit(0.0)).alias("we"), part(F.col("_e") > 0).alias("up"), part(F.col("_e") < 0).alias("down"), F.count("_e").alias("n_effects"))
     few = (F.col("w") <= 0) | (F.col("n_effects") < 2)
     pooled = F.when(few, 0.0).otherwise(F.col("we") / F.col("w"))
     same = F.when(few, 0.0).when(pooled > 0, F.col("up") / F.col("w")).when(pooled < 0, F.col("down") / F.col("w")).otherwise(0.5)
@@ -65,10 +66,10 @@ def pool(df: DataFrame, keys: list[str], cfg: GradeConfig = GradeConfig(), refs:
         .when(((size >= cfg.small) & (size < 0.15)) | ((size >= 0.15) & ~steady), "C")
         .otherwise("D")
     )
-    ids = e.select(*keys, "paper_id").distinct().withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("paper_id"))).where(F.col("_k") <= refs)
+    ids = e.where("_e IS NOT NULL").select(*keys, "paper_id").distinct().withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("paper_id"))).where(F.col("_k") <= refs)
     top = ids.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("paper_id")), lambda x: x.cast("string")), ",").alias("top_refs"))
-    out = g.select(*keys, "n_effects", F.round("w", 6).alias("weight"), F.round("pooled_effect", 6).alias("pooled_effect"), F.round("consistency", 6).alias("consistency"), F.round(confidence, 6).alias("confidence"), grade.alias("grade"))
-    return out.join(top, keys, "left")
+    out = g.select(*keys, "n_effects", F.round("w", 6).alias("weight"), F.round("pooled_effect", 6).alias("pooled_effect"), F.round("consistency", 6).alias("consistency"), F.round(confidence, 6).alias("confidence"), grade.alias("grade"), few.alias("_few"))
+    return out.join(top, keys, "left").withColumn("top_refs", F.when(~F.col("_few"), F.col("top_refs"))).drop("_few")
 
 
 def adjust_grades(items: DataFrame, rules: DataFrame, grade: str = "grade") -> DataFrame:

@@ -47,7 +47,7 @@ _CARDS = """cards AS (
 
 
 @query(f"""WITH {_CARDS}, g AS (
-  SELECT supplement, goal, CAST(count(*) AS BIGINT) AS n_effects, sum(w) AS w, sum(w * e) AS we, sum(CASE WHEN e > 0 THEN w ELSE 0 END) AS up, sum(CASE WHEN e < 0 THEN w ELSE 0 END) AS down FROM eff GROUP BY 1, 2
+  SELECT supplement, goal, CAST(count(*) FILTER (WHERE known) AS BIGINT) AS n_effects, coalesce(sum(w) FILTER (WHERE known), 0.0) AS w, coalesce(sum(w * e0) FILTER (WHERE known), 0.0) AS we, coalesce(sum(w) FILTER (WHERE known AND e0 > 0), 0.0) AS up, coalesce(sum(w) FILTER (WHERE known AND e0 < 0), 0.0) AS down FROM cards GROUP BY 1, 2
 ), p AS (SELECT *, CASE WHEN w <= 0 OR n_effects < 2 THEN 0.0 ELSE we / w END AS pe FROM g
 ), s AS (SELECT *, CASE WHEN w <= 0 OR n_effects < 2 THEN 0.0 WHEN pe > 0 THEN up / w WHEN pe < 0 THEN down / w ELSE 0.5 END AS s FROM p
 ), c AS (SELECT *, least(1.0, 0.35 + 0.4 * (w / (3.0 + 1e-9)) + 0.25 * s) AS c FROM s
@@ -55,7 +55,7 @@ _CARDS = """cards AS (
 ), refs AS (SELECT supplement, goal, string_agg(CAST(paper_id AS VARCHAR), ',' ORDER BY paper_id) AS top_refs FROM r WHERE k <= 10 GROUP BY 1, 2)
 SELECT c.supplement, c.goal, n_effects, round(w, 6) AS weight, round(pe, 6) AS pooled_effect, round(s, 6) AS consistency, round(c, 6) AS confidence,
   CASE WHEN w <= 0 OR n_effects < 2 OR w < 3.0 THEN 'D' WHEN s >= 0.6 AND (abs(pe) < 0.05 OR pe <= -0.10) THEN 'F' WHEN abs(pe) >= 0.45 AND c >= 0.7 THEN 'A' WHEN abs(pe) >= 0.25 AND c >= 0.5 THEN 'B'
-    WHEN (abs(pe) >= 0.05 AND abs(pe) < 0.15) OR (abs(pe) >= 0.15 AND s < 0.6) THEN 'C' ELSE 'D' END AS grade, top_refs
+    WHEN (abs(pe) >= 0.05 AND abs(pe) < 0.15) OR (abs(pe) >= 0.15 AND s < 0.6) THEN 'C' ELSE 'D' END AS grade, CASE WHEN w > 0 AND n_effects >= 2 THEN top_refs END AS top_refs
 FROM c LEFT JOIN refs USING (supplement, goal)""")
 def q_pooled_grades(t: Tables) -> DataFrame:
     return evidence.pool(_cards(t), ["supplement", "goal"])
@@ -203,7 +203,8 @@ SELECT r_name, g.p_brand, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'D' WHEN
 def q_profile_grid(t: Tables) -> DataFrame:
     brands = t("part").select("p_brand").distinct()
     counts = t("part").where("p_size > 45").groupBy("p_brand").agg(F.count("*").alias("n"))
-    grid = brands.withColumn("r_name", F.explode(F.array(*[F.lit(r[0]) for r in t("region").select("r_name").orderBy("r_name").collect()])))  # the goals: a fixed list
+    goals = t("region").agg(F.collect_set("r_name").alias("goals"))  # one row: a fixed list
+    grid = brands.crossJoin(F.broadcast(goals)).select("p_brand", F.explode("goals").alias("r_name"))
     return grid.join(counts, "p_brand", "left").select("r_name", "p_brand", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), "D").when(F.col("n") >= 10, "B").otherwise("C").alias("grade"))
 
 
@@ -262,7 +263,7 @@ def q_keyword_search_each(t: Tables) -> DataFrame:
 @query("""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>[^<]*(<[^/][^<]*|</[^s][^<]*)*</script>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\n\\t]+', ' ', 'g')) AS x FROM pages)
 SELECT page_id, CAST(length(x) AS BIGINT) AS n_chars, length(x) >= 1200 AS kept FROM p""")
 def q_html_gate(t: Tables) -> DataFrame:
-    x = F.regexp_replace("html", "<script[^>]*>[^<]*(<[^/][^<]*|</[^s][^<]*)*</script>", " ")
+    x = F.regexp_replace("html", "<script[^>]*+>[^<]*+(?:<[^/][^<]*+|</[^s][^<]*+)*+</script>", " ")  # possessive: no recursion
     x = F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), "[ \\n\\t]+", " "))
     return t("pages").select("page_id", F.length(x).cast("long").alias("n_chars"), (F.length(x) >= 1200).alias("kept"))
 

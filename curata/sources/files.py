@@ -2,11 +2,42 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; one of our own only where unset and all run on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="curata-checkpoint-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, written in the shared folder and read again."""
+    path = f"{shared_dir(df.sparkSession)}/curata-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _filesystem(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _filesystem(spark, path)
+    return fs.exists(where)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = False) -> DataFrame:
     """Rows of JSON lines, plain or gzipped. Bad lines are dropped, or an error if ``strict``."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
@@ -36,3 +67,12 @@ def expired(runs: DataFrame, keep: int = 8) -> DataFrame:
     """Run ids beyond the newest ``keep``."""
     newest = runs.select("run_id").distinct().orderBy(F.desc("run_id")).limit(keep)
     return runs.select("run_id").distinct().join(newest, "run_id", "left_anti")
+
+
+def prune(spark: SparkSession, path: str, keep: int = 8) -> list[str]:
+    """Delete the partitions of all but the newest ``keep`` runs of the table at ``path``; returns their ids."""
+    old = sorted(str(r[0]) for r in expired(spark.read.parquet(path).select(F.col("run_id").cast("string").alias("run_id")), keep).collect())
+    for run in old:
+        fs, where = _filesystem(spark, f"{path}/run_id={run}")
+        fs.delete(where, True)
+    return old

@@ -19,7 +19,7 @@ WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 def classes() -> np.ndarray:
     """The class of every code point, by the pattern engine's own tables: letters, numbers, white space, anything else."""
     t = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    every = [i for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+    every = [i for i in range(0x40000) if not 0xD800 <= i < 0xE000]  # no letters or numbers lie above
     text, place = "".join(map(chr, every)), np.array(every)
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
         for _, (start, end) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):

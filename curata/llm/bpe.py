@@ -163,10 +163,11 @@ def _flush(pending: _Pending, v: Vocabulary, keep: list[str], with_ids: bool) ->
 
 
 def _run(docs: DataFrame, text: str, keep: list[str], path: str, with_ids: bool) -> DataFrame:
-    schema, plain = docs.select(*keep).schema, c.unused(keep, "_text")
+    schema, plain, table = docs.select(*keep).schema, c.unused(keep, "_text"), pc.packed()
     schema = schema.add("ids", T.ArrayType(T.IntegerType())) if with_ids else schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pc.unpack(table)
         v, pending = vocabulary(path), _Pending()
         for whole in batches:
             for batch in c.slices(whole, plain):

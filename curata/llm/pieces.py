@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import sys
+import zlib
 
 import numpy as np
 from tokenizers import Regex, pre_tokenizers
@@ -15,17 +16,35 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
-@functools.cache
+#: Letters and numbers lie below this code point.
+TOP = 0x40000
+_classes: list[np.ndarray] = []
+
+
 def classes() -> np.ndarray:
     """The class of every code point, by the pattern engine's own tables: letters, numbers, white space, anything else."""
-    t = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    every = [i for i in range(0x40000) if not 0xD800 <= i < 0xE000]  # no letters or numbers lie above
-    text, place = "".join(map(chr, every)), np.array(every)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-        for _, (start, end) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
-            t[place[start:end]] = kind
-    t[WHITE_SPACE] = SPACE
-    return t
+    if not _classes:
+        t = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+        every = [i for i in range(TOP) if not 0xD800 <= i < 0xE000]
+        text, place = "".join(map(chr, every)), np.array(every)
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+            for _, (start, end) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+                t[place[start:end]] = kind
+        t[WHITE_SPACE] = SPACE
+        _classes.append(t)
+    return _classes[0]
+
+
+def packed() -> bytes:
+    """``classes`` as the driver sends it to tasks, which need not work it out again."""
+    return zlib.compress(classes()[:TOP].tobytes())
+
+
+def unpack(raw: bytes) -> None:
+    if not _classes:
+        t = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+        t[:TOP] = np.frombuffer(zlib.decompress(raw), np.uint8)
+        _classes.append(t)
 
 
 @functools.cache

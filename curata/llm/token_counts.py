@@ -174,7 +174,7 @@ def count(docs: DataFrame, text: str = "text", keep: list[str] | None = None, li
     """
     path = path or public_tokenizers.path(VOCABULARY)
     keep = [x for x in docs.columns if x not in ("n_bytes", "n_tokens", "over_limit")] if keep is None else keep
-    plain = c.unused(keep, "_text")
+    plain, table = c.unused(keep, "_text"), pc.packed()
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
     def flush(index: pc.PieceIndex, runs: list, w: Words) -> Iterator[pa.RecordBatch]:
@@ -186,6 +186,7 @@ def count(docs: DataFrame, text: str = "text", keep: list[str] | None = None, li
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pc.unpack(table)
         w = words(path)
         special = re.compile("|".join(map(re.escape, w.special)) or "(?!)")
         index, runs, waiting = pc.PieceIndex(), [], 0

@@ -25,6 +25,8 @@ from curata.llm.replay import PairTable, replay
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 FLUSH_BYTES = 3 << 20
+#: A worker remembers the ids of up to ``MEMO`` merged pieces of up to ``MEMO_BYTES`` bytes; then it starts anew.
+MEMO, MEMO_BYTES = 1 << 18, 64
 
 
 class Vocabulary:
@@ -52,6 +54,7 @@ class Vocabulary:
                 if a is not None and b is not None:
                     pairs[a, b] = (k, k)
         self.table = PairTable(pairs)
+        self.memo: dict[bytes, bytes] = {}
 
 
 @functools.cache
@@ -108,7 +111,16 @@ def encode_pieces(found: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarr
     raw = [p.encode("utf-8", "replace") for p in found]
     whole = np.array([v.ids.get(p, -1) for p in raw], np.int32)
     rest = np.flatnonzero(whole < 0)
-    ids, sizes = replay(v.first[np.frombuffer(b"".join(raw[k] for k in rest), np.uint8)], np.array([len(raw[k]) for k in rest], np.int64), v.table)
+    if len(v.memo) > MEMO:
+        v.memo.clear()
+    known = [v.memo.get(raw[k]) for k in rest]
+    fresh = [raw[k] for k, x in zip(rest, known, strict=True) if x is None]
+    ids, sizes = replay(v.first[np.frombuffer(b"".join(fresh), np.uint8)], np.array([len(p) for p in fresh], np.int64), v.table)
+    flat, ends = ids.astype(np.int32).tobytes(), (np.cumsum(sizes) * 4).tolist()
+    merged = iter([flat[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+    known = [next(merged) if x is None else x for x in known]
+    v.memo.update((raw[k], x) for k, x in zip(rest, known, strict=True) if len(raw[k]) <= MEMO_BYTES)
+    ids, sizes = np.frombuffer(b"".join(known), np.int32), np.array([len(x) // 4 for x in known], np.int64)
     count = np.ones(len(raw), np.int64)
     count[rest] = sizes
     begin = np.cumsum(count) - count

@@ -26,7 +26,35 @@ from curata.llm.replay import PairTable, replay
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 FLUSH_BYTES = 3 << 20
 #: A worker remembers the ids of up to ``MEMO`` merged pieces of up to ``MEMO_BYTES`` bytes; then it starts anew.
-MEMO, MEMO_BYTES = 1 << 18, 64
+MEMO, MEMO_BYTES = 1 << 19, 64
+
+
+class Memo:
+    """Ids of merged pieces by the pieces' hashes, in arrays; who takes them compares their bytes."""
+
+    def __init__(self) -> None:
+        self.hashes, self.begins, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.sizes[at]
+        return self.flat[np.repeat(self.begins[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        if len(self.hashes) + len(hashes) > MEMO:
+            self.__init__()
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.begins = np.insert(self.begins, at, (np.cumsum(sizes) - sizes + len(self.flat))[order])
+        self.sizes = np.insert(self.sizes, at, sizes[order])
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
 
 
 class Vocabulary:
@@ -54,7 +82,7 @@ class Vocabulary:
                 if a is not None and b is not None:
                     pairs[a, b] = (k, k)
         self.table = PairTable(pairs)
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = Memo()
 
 
 @functools.cache
@@ -106,27 +134,36 @@ def _ragged(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, ids: np.n
     return flat[at].tobytes(), size
 
 
-def encode_pieces(found: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all pieces in a row, and the number of ids of each."""
-    raw = [p.encode("utf-8", "replace") for p in found]
+def _put(out: np.ndarray, begins: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+    out[np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))] = ids
+
+
+def encode_pieces(index: pc.PieceIndex, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pieces of an index in a row, and the number of ids of each."""
+    raw = [p.encode("utf-8", "replace") for p in index.pieces]
     whole = np.array([v.ids.get(p, -1) for p in raw], np.int32)
     rest = np.flatnonzero(whole < 0)
-    if len(v.memo) > MEMO:
-        v.memo.clear()
-    known = [v.memo.get(raw[k]) for k in rest]
-    fresh = [raw[k] for k, x in zip(rest, known, strict=True) if x is None]
-    ids, sizes = replay(v.first[np.frombuffer(b"".join(fresh), np.uint8)], np.array([len(p) for p in fresh], np.int64), v.table)
-    flat, ends = ids.astype(np.int32).tobytes(), (np.cumsum(sizes) * 4).tolist()
-    merged = iter([flat[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-    known = [next(merged) if x is None else x for x in known]
-    v.memo.update((raw[k], x) for k, x in zip(rest, known, strict=True) if len(raw[k]) <= MEMO_BYTES)
-    ids, sizes = np.frombuffer(b"".join(known), np.int32), np.array([len(x) // 4 for x in known], np.int64)
+    length = np.array([len(raw[k]) for k in rest.tolist()], np.int64)
+    hashes = np.fromiter((h & 0xFFFFFFFFFFFFFFFF for h in index.number), np.uint64, len(raw))[rest]
+    at = v.memo.find(hashes)
+    known = np.flatnonzero(at >= 0)
+    known_ids, known_sizes = v.memo.take(at[known])
+    same = np.array_equal(np.bincount(np.repeat(np.arange(len(known)), known_sizes), weights=v.lengths[known_ids], minlength=len(known)).astype(np.int64), length[known])
+    if not same or _ragged(v.bytes, v.begins, v.lengths, known_ids)[0] != b"".join([raw[k] for k in rest[known].tolist()]):
+        known, known_ids, known_sizes = known[:0], known_ids[:0], known_sizes[:0]
+    new = np.ones(len(rest), bool)
+    new[known] = False
+    fresh = np.flatnonzero(new)
+    ids, sizes = replay(v.first[np.frombuffer(b"".join([raw[k] for k in rest[fresh].tolist()]), np.uint8)], length[fresh], v.table)
+    short = length[fresh] <= MEMO_BYTES
+    v.memo.add(hashes[fresh][short], ids[np.repeat(short, sizes)], sizes[short])
     count = np.ones(len(raw), np.int64)
-    count[rest] = sizes
+    count[rest[known]], count[rest[fresh]] = known_sizes, sizes
     begin = np.cumsum(count) - count
     out = np.empty(count.sum(), np.int32)
     out[begin[whole >= 0]] = whole[whole >= 0]
-    out[np.repeat(begin[rest] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))] = ids
+    _put(out, begin[rest[known]], known_ids, known_sizes)
+    _put(out, begin[rest[fresh]], ids, sizes)
     return out, count
 
 
@@ -147,7 +184,7 @@ class _Pending:
 
 
 def _flush(pending: _Pending, v: Vocabulary, keep: list[str], with_ids: bool) -> Iterator[pa.RecordBatch]:
-    ids, count = encode_pieces(pending.index.pieces, v)
+    ids, count = encode_pieces(pending.index, v)
     pending.index = None
     begin = np.cumsum(count) - count
     if not with_ids:

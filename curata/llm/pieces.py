@@ -66,11 +66,11 @@ class PieceIndex:
     def add(self, text: str, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         hashes = c.span_hashes(cps, starts, ends, _values())
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.empty(len(unique), np.int64)
-        for k, (h, f) in enumerate(zip(unique.tolist(), first.tolist(), strict=True)):
-            n = self.number.get(h)
-            if n is None:
-                n = self.number[h] = len(self.pieces)
-                self.pieces.append(text[starts[f] : ends[f]])
-            at[k] = n
+        unique, get = unique.tolist(), self.number.get
+        at = np.array([get(h, -1) for h in unique], np.int64)
+        new = np.flatnonzero(at < 0)
+        where = first[new]
+        at[new] = np.arange(len(self.pieces), len(self.pieces) + len(new))
+        self.number.update((unique[k], n) for k, n in zip(new.tolist(), at[new].tolist(), strict=True))
+        self.pieces.extend(text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True))
         return at[inverse].astype(np.int32)

@@ -108,6 +108,30 @@ HEADINGS = [
     (r"\b(aim|aims|objective|objectives)\b", "introduction"), (r"method|\b(subjects|patients)\s+and\s+methods\b|study design|participants", "methods"), (r"\bresults\b|findings", "results"), ("complications|adverse", "complications"), ("discussion", "discussion"),
 ]
 
+# Signs of studies on animals or cells, of surveys, of the outcomes that keep a survey, and of what keeps the tag nitric-oxide.
+NOT_HUMAN = [
+    r"\brat(s)?\b", r"\bmice\b", r"\bmouse\b", r"\bmurine\b", r"\bin vitro\b", r"\bcell culture\b", r"\bcellular\b", r"\bfish\b", r"\bzebrafish\b", r"\bporcine\b",
+    r"\bbovine\b", r"\bcanine\b", r"\bfeline\b", r"\bprimate(s)?\b", r"\bpetri dish\b", r"\btissue culture\b", r"\bmitochondrial\b",
+]
+SURVEY = [r"\b(prevalence|survey|questionnaire|knowledge|attitude|usage|consumption pattern)s?\b", r"\bcross[-\s]?sectional\b"]
+MEASURED = {
+    "strength": [
+        r"\b1\s?rm\b", r"\b(one|1|3|5|10)(-|\s)?repetition max(imum)?\b", r"\brm\b", r"\bmax(imum)? strength\b", r"\bmvc\b", r"\bmaximal voluntary contraction\b", r"\bbench press\b", r"\bsquat\b",
+        r"\bdeadlift\b", r"\bleg press\b", r"\bisokinetic\b", r"\bhandgrip\b", r"\bgrip strength\b", r"\breps? to failure\b", r"\btraining volume\b", r"\bvolume load\b",
+    ],
+    "muscle_gain": [r"\bhypertroph(y|ic)\b", r"\bmuscle (size|thickness|volume|cross[-\s]?sectional area|csa)\b", r"\blean mass\b", r"\bfat[-\s]?free mass\b", r"\bffm\b", r"\bfat free mass\b"],
+    "endurance": [
+        r"\bvo2( ?max| ?peak)?\b", r"\bpeak oxygen uptake\b", r"\btime[-\s]to[-\s]exhaustion\b", r"\btime trial\b", r"\bcycling time trial\b", r"\brunning time trial\b", r"\btt\b",
+        r"\b6[-\s]?minute walk\b", r"\b6mwt\b", r"\byo[-\s]?yo\b", r"\brepeated sprint ability\b", r"\bshuttle run\b",
+    ],
+    "performance": [
+        r"\bathletic performance\b", r"\bsport performance\b", r"\bfunctional performance\b", r"\bsprint( 10| 20| 30)? ?m?\b", r"\bagility\b", r"\bjump\b", r"\bcmj\b", r"\bvertical jump\b",
+        r"\bpower\b", r"\bpeak power\b", r"\bmean power\b", r"\bwingate\b", r"\bsit[-\s]?to[-\s]?stand\b", r"\bsppb\b", r"\bgait speed\b", r"\btug test\b",
+    ],
+    "weight_loss": [r"\bweight (loss|reduction)\b", r"\bfat mass\b", r"\bpercent body fat\b", r"\bbody composition\b", r"\bbmi\b", r"\bwaist (circumference|to[-\s]?hip)\b", r"\bvisceral fat\b"],
+}
+NITRIC_OXIDE = [r"\bnitrate(s)?\b", r"\bbeet(root)?\b", r"\bcitrulline\b", r"\bl-?arginine\b", r"\barginine akg\b"]
+
 
 def any_of(patterns: list[str]) -> str:
     return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
@@ -246,3 +270,21 @@ def shard(key: Column) -> Column:
     """Two levels of folders from a key's digest."""
     h = F.sha1(key)
     return F.concat_ws("/", F.substring(h, 1, 2), F.substring(h, 3, 2))
+
+
+def on_humans(text: Column) -> Column:
+    """No sign of a study on animals or cells; a null text has none."""
+    return ~F.coalesce(text, F.lit("")).rlike(any_of(NOT_HUMAN))
+
+
+def usage_survey(text: Column) -> Column:
+    """A survey that measures no outcome of training."""
+    t = F.coalesce(text, F.lit(""))
+    return t.rlike(any_of(SURVEY)) & ~t.rlike(any_of([p for table in MEASURED.values() for p in table]))
+
+
+def gated_tags(tags: Column, text: Column) -> Column:
+    """Tags in lower case with hyphens, distinct and sorted; nitric-oxide only where the text speaks of its sources."""
+    plain = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda x: F.replace(F.lower(F.trim(x)), F.lit(" "), F.lit("-")))
+    kept = F.filter(plain, lambda x: (x != "nitric-oxide") | F.coalesce(text, F.lit("")).rlike(any_of(NITRIC_OXIDE)))
+    return F.array_sort(F.array_distinct(kept))

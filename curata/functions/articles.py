@@ -287,4 +287,4 @@ def gated_tags(tags: Column, text: Column) -> Column:
     """Tags in lower case with hyphens, distinct and sorted; nitric-oxide only where the text speaks of its sources."""
     plain = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda x: F.replace(F.lower(F.trim(x)), F.lit(" "), F.lit("-")))
     kept = F.filter(plain, lambda x: (x != "nitric-oxide") | F.coalesce(text, F.lit("")).rlike(any_of(NITRIC_OXIDE)))
-    return F.array_sort(F.array_distinct(kept))
+    return F.array_sort(F.array_distinct(F.array_compact(kept)))

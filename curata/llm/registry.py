@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curata.llm import bpe, decontaminate, jaccard, language, lm, quality, secrets, token_counts, topk, urls, whitening
+from curata.llm import bpe, decontaminate, jaccard, language, lexical, licenses, lm, quality, secrets, token_counts, topk, urls, whitening
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_lm_score": lm.op8_lm_score,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_quality": quality.op10_quality,
+    "op11_lexical_search": lexical.op11_lexical_search,
     "op12_whitening": whitening.op12_whitening,
+    "op13_license_scan": licenses.op13_license_scan,
 }
-ORACLES: dict[str, str] = {"op5_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op5_topk": topk.ORACLE, "op11_lexical_search": lexical.ORACLE}

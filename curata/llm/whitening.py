@@ -28,13 +28,13 @@ _LONG, LIMB = 1 << 63, 40
 
 @dataclass
 class Whitening:
-    """Row count, exact sums, right vectors (rows) and eigenvalues by falling value, and their total."""
+    """Row count, exact sums, right vectors (rows) and eigenvalues by falling value, and these as shares (NaN if all are 0)."""
 
     n: int
     sums: list[int]
     vectors: np.ndarray
     values: np.ndarray
-    trace: float
+    shares: np.ndarray
 
     @property
     def rank(self) -> int:
@@ -165,7 +165,7 @@ def fit(rows: DataFrame) -> Whitening:
     n, sums = totals(rows)
     width = len(sums)
     if not width:
-        return Whitening(n, sums, np.zeros((0, 0)), np.zeros(0), 0.0)
+        return Whitening(n, sums, np.zeros((0, 0)), np.zeros(0), np.zeros(0))
 
     def stacked(blocks: list[np.ndarray]) -> np.ndarray:
         r = np.linalg.qr(np.concatenate(blocks), mode="r")
@@ -184,8 +184,8 @@ def fit(rows: DataFrame) -> Whitening:
     r = merge_tree(parts, lambda found: stacked([x.reshape(width, width) for x in found]).ravel())
     _, s, vectors = np.linalg.svd(r.reshape(width, width))
     s[s <= s.max() * max(n, width) * np.finfo(float).eps] = 0
-    values = s**2 / n
-    return Whitening(n, sums, vectors, values, float(values.sum()))
+    shares = (s / s[0]) ** 2 if s[0] else np.full(width, np.nan)
+    return Whitening(n, sums, vectors, (s / np.sqrt(n)) ** 2, shares / shares.sum())
 
 
 def _projected(d: np.ndarray, model: Whitening, k: int) -> np.ndarray:
@@ -263,7 +263,7 @@ def op12_whitening(spark, sf_dir: str) -> DataFrame:
     rows = usable(c.table(spark, sf_dir, "embeddings"))
     model = fit(rows)
     error = identity_error(rows, model)
-    shares = F.array(*[F.lit(float(v / model.trace) if model.trace else None).cast("double") for v in model.values[:COMPONENTS]]).cast("array<double>")
+    shares = F.array(*[F.lit(None if np.isnan(x) else float(x)).cast("double") for x in model.shares[:COMPONENTS]]).cast("array<double>")
     each = transform(rows, model).select("id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
     return each.select(
         F.col("id").alias("vec_id"),

@@ -44,7 +44,8 @@ TYPE_POINTS = [("meta-analysis", 12.0), ("RCT", 10.0), ("crossover", 7.0), ("coh
 SIZE_POINTS = [(1000, 5.0), (500, 4.0), (100, 3.0), (50, 2.0), (20, 1.0)]
 TITLE_WORDS = ["systematic review", "meta-analysis", "double-blind", "placebo-controlled", "randomized", "controlled trial", "crossover", "longitudinal"]
 JOURNALS = ["J Appl Physiol", "Med Sci Sports Exerc", "J Strength Cond Res", "Eur J Appl Physiol", "Int J Sport Nutr Exerc Metab", "Sports Med", "Am J Clin Nutr", "Nutrients", "J Int Soc Sports Nutr"]
-RARE = [("tribulus", 3.0), ("d-aspartic-acid", 3.0), ("deer-antler", 3.0), ("ecdysteroids", 3.0), ("betaine", 2.5), ("taurine", 2.5), ("carnitine", 2.0), ("zma", 2.0), ("glutamine", 1.5), ("cla", 1.5), ("hmb", 1.0), ("citrulline", 1.0), ("nitrate", 1.0), ("beta-alanine", 0.5)]
+RARE_TOPICS = {"tribulus": 3.0, "d-aspartic-acid": 3.0, "deer-antler": 3.0, "ecdysteroids": 3.0, "betaine": 2.5, "taurine": 2.5, "carnitine": 2.0, "zma": 2.0, "glutamine": 1.5, "cla": 1.5, "hmb": 1.0}
+MEDIUM_TOPICS = {"citrulline": 1.0, "nitrate": 1.0, "beta-alanine": 0.5}
 # Fixed values of the design score.
 DESIGN_POINTS = [("meta-analysis", 3.0), ("RCT", 2.5), ("crossover", 2.0), ("cohort", 1.5)]
 # Outcome labels of each goal, with their patterns.
@@ -200,7 +201,9 @@ def reliability(study: Column, n: Column, title: Column, journal: Column, year:
     known = F.lit(False)
     for j in JOURNALS:
         known = known | F.coalesce(journal, F.lit("")).contains(j)
-    bonus = F.greatest(F.lit(0.0), *[F.when(both.contains(k) | both.contains(k.replace("-", " ") if v > 1.0 or k == "hmb" else k), v).otherwise(0.0) for k, v in RARE])
+    rare = [F.when(both.contains(k) | both.contains(k.replace("-", " ")), v).otherwise(0.0) for k, v in RARE_TOPICS.items()]
+    medium = [F.when(both.contains(k), v).otherwise(0.0) for k, v in MEDIUM_TOPICS.items()]
+    bonus = F.greatest(F.lit(0.0), *rare, *medium)
     recent = F.when(year >= 2020, 1.0).when(year >= 2015, 0.5).otherwise(0.0)
     nudge = F.when(category == "intervention", 0.25).when(category == "observational_usage", -0.25).otherwise(0.0)
     return _lookup(study, TYPE_POINTS, F.lit(1.0)) + tx.bracket(n, SIZE_POINTS, 0.0) + words + F.when(known, 2.0).otherwise(0.0) + recent + bonus + nudge

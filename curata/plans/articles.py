@@ -85,7 +85,8 @@ def typed(t: Tables) -> DataFrame:
 
 
 _BOTH = "lower(title || chr(10) || content)"
-_BONUS = "greatest(0.0e0, " + ", ".join(f"CASE WHEN contains({_BOTH}, '{k}') OR contains({_BOTH}, '{k.replace('-', ' ') if v > 1.0 or k == 'hmb' else k}') THEN {v}e0 ELSE 0.0e0 END" for k, v in a.RARE) + ")"
+_TOPICS = [(k, k.replace("-", " "), v) for k, v in a.RARE_TOPICS.items()] + [(k, k, v) for k, v in a.MEDIUM_TOPICS.items()]
+_BONUS = "greatest(0.0e0, " + ", ".join(f"CASE WHEN contains({_BOTH}, '{k}') OR contains({_BOTH}, '{other}') THEN {v}e0 ELSE 0.0e0 END" for k, other, v in _TOPICS) + ")"
 _RELIABILITY = f"""{_case("by_type", a.TYPE_POINTS, "1.0e0")} + CASE {' '.join(f"WHEN n >= {k} THEN {v}e0" for k, v in a.SIZE_POINTS)} ELSE 0.0e0 END + {' + '.join(f"contains(lower(title), '{w}')::INT::DOUBLE" for w in a.TITLE_WORDS)}
   + CASE WHEN {' OR '.join(f"contains(journal, '{j}')" for j in a.JOURNALS)} THEN 2.0e0 ELSE 0.0e0 END + CASE WHEN year >= 2020 THEN 1.0e0 WHEN year >= 2015 THEN 0.5e0 ELSE 0.0e0 END + {_BONUS}
   + CASE category WHEN 'intervention' THEN 0.25e0 WHEN 'observational_usage' THEN -0.25e0 ELSE 0.0e0 END"""

@@ -225,20 +225,20 @@ def q_rule_adjustments(t: Tables) -> DataFrame:
 
 
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(v.embedding[i] AS DOUBLE) - CAST(q.e[i] AS DOUBLE)) ** 2))) - CASE WHEN label = 3 THEN 0.05 ELSE 0.0 END, 6) AS rank_score FROM embeddings v, q)
-SELECT vec_id, label, round(rank_score, 4) AS rank_score FROM s ORDER BY s.rank_score, vec_id LIMIT 20""")
+SELECT vec_id, label, rank_score FROM s ORDER BY s.rank_score, vec_id LIMIT 20""")
 def q_vector_search(t: Tables) -> DataFrame:
     df = t("embeddings")
     probe = df.where("vec_id = 0").select("embedding").first()
     near = search.nearest(df if probe else df.limit(0), "embedding", probe[0] if probe else [], 20, F.when(F.col("label") == 3, 0.05).otherwise(0.0), "vec_id")
-    return near.select("vec_id", "label", F.round("rank_score", 4).alias("rank_score"))
+    return near.select("vec_id", "label", "rank_score")
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, label, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(v.embedding[i] AS DOUBLE) - CAST(q.e[i] AS DOUBLE)) ** 2))) - CASE WHEN label = 3 THEN 0.05 ELSE 0.0 END, 6) AS rank_score FROM embeddings v, q),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_score, vec_id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, label, round(rank_score, 4) AS rank_score FROM r WHERE rank <= 20""")
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_score, vec_id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, label, rank_score FROM r WHERE rank <= 20""")
 def q_vector_search_each(t: Tables) -> DataFrame:
     df = t("embeddings")
     near = search.nearest_each(df, df.where("vec_id % 20 = 0"), "vec_id", "embedding", 20, F.when(F.col("label") == 3, 0.05).otherwise(0.0))
-    return near.select("query_id", "rank", "vec_id", "label", F.round("rank_score", 4).alias("rank_score"))
+    return near.select("query_id", "rank", "vec_id", "label", "rank_score")
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
@@ -254,10 +254,10 @@ q AS (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(w)) AS m FROM w), e AS (SELECT doc_id, CAST(len(w) AS DOUBLE) AS l, unnest(w) AS term FROM w),
 f AS (SELECT doc_id, l, term, CAST(count(*) AS DOUBLE) AS tf FROM e WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3), d AS (SELECT term, CAST(count(*) AS DOUBLE) AS d FROM f GROUP BY 1),
 s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))), 6) AS score FROM q JOIN f USING (term) JOIN d USING (term), n GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 4) AS score FROM r WHERE rank <= 20""")
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20""")
 def q_keyword_search_each(t: Tables) -> DataFrame:
     found = search.bm25_each(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text", 20)
-    return found.select("item_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+    return found.select("item_id", "rank", "doc_id", "score")
 
 
 @query("""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>[^<]*(<[^/][^<]*|</[^s][^<]*)*</script>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\n\\t]+', ' ', 'g')) AS x FROM pages)
@@ -353,20 +353,35 @@ def q_sections(t: Tables) -> DataFrame:
 
 _COLON = "[:\uff1a\ufe55\ua789]"
 _COMMON = ["introduction", "background", "methods", "results", "discussion", "conclusion", "conclusions", "findings", "participants"]
-_CORE = r"ABSTRACT|INTRODUCTION|BACKGROUND|AIMS?|OBJECTIVES?|MATERIALS\s+AND\s+METHODS|(?:SUBJECTS|PATIENTS)\s+AND\s+METHODS|STUDY\s+DESIGN|PARTICIPANTS|METHODS|METHODOLOGY|RESULTS?|FINDINGS|DISCUSSION|CONCLUSIONS?|DISCUSSION\s+AND\s+CONCLUSIONS?|COMPLICATIONS"
+# Headers of sections, and of the parts that end them; patterns.
+_CORE = [
+    r"ABSTRACT", r"INTRODUCTION", r"BACKGROUND", r"AIM", r"AIMS", r"OBJECTIVE", r"OBJECTIVES", r"MATERIALS\s+AND\s+METHODS", r"(?:SUBJECTS|PATIENTS)\s+AND\s+METHODS", r"STUDY\s+DESIGN",
+    r"PARTICIPANTS", r"METHODS", r"METHODOLOGY", r"RESULTS", r"RESULT", r"FINDINGS", r"DISCUSSION", r"CONCLUSION", r"CONCLUSIONS", r"DISCUSSION\s+AND\s+CONCLUSIONS?", r"COMPLICATIONS",
+]
+_END = [
+    r"TITLE", r"ABBREVIATIONS", r"ACKNOWLEDG(?:E)?MENTS?", r"FUNDING", r"AUTHOR(?:S)?\s+AND\s+AFFILIATIONS", r"AUTHOR\s+INFORMATION", r"CONTRIBUTIONS", r"CORRESPONDING\s+AUTHORS?",
+    r"ETHICS(?:\s+DECLARATIONS?)?", r"ETHICAL\s+APPROVAL.*", r"CONSENT\s+FOR\s+PUBLICATION", r"CLINICAL\s+TRIALS?\s+REGISTRATION", r"TRIAL\s+REGISTRATION", r"SUPPLEMENTARY\s+INFORMATION",
+    r"RIGHTS\s+AND\s+PERMISSIONS", r"ABOUT\s+THIS\s+ARTICLE", r"DATA\s+AVAILABILITY", r"SIMILAR\s+CONTENT\s+BEING\s+VIEWED\s+BY\s+OTHERS", r"REFERENCES",
+]
 #: Core terms, lines without letters and title words; the last two need a colon. As case is ignored, a title word is any of two letters or more.
-_TARGET = rf"(?:\d+\.?\s*)?(?:{_CORE})\s*{_COLON}?|(?:\d+\.?\s*)?[0-9\s()\[\]{{}}&/\\+,:;.-]{{1,160}}{_COLON}|(?:\d+\.?\s*)?[A-Za-z]{{2,}}(?:\s+[A-Za-z]{{2,}}){{0,6}}\s*{_COLON}"
-_STOP = rf"(?:TITLE|ABBREVIATIONS|ACKNOWLEDGE?MENTS?|FUNDING|AUTHORS?\s+AND\s+AFFILIATIONS|AUTHOR\s+INFORMATION|CONTRIBUTIONS|CORRESPONDING\s+AUTHORS?|ETHICS(?:\s+DECLARATIONS?)?|ETHICAL\s+APPROVAL.*|CONSENT\s+FOR\s+PUBLICATION|CLINICAL\s+TRIALS?\s+REGISTRATION|TRIAL\s+REGISTRATION|SUPPLEMENTARY\s+INFORMATION|RIGHTS\s+AND\s+PERMISSIONS|ABOUT\s+THIS\s+ARTICLE|DATA\s+AVAILABILITY|SIMILAR\s+CONTENT\s+BEING\s+VIEWED\s+BY\s+OTHERS|REFERENCES)\s*{_COLON}?"
+_TARGET = rf"(?:\d+\.?\s*)?(?:{'|'.join(_CORE)})\s*{_COLON}?|(?:\d+\.?\s*)?[0-9\s()\[\]{{}}&/\\+,:;.-]{{1,160}}{_COLON}|(?:\d+\.?\s*)?[A-Za-z]{{2,}}(?:\s+[A-Za-z]{{2,}}){{0,6}}\s*{_COLON}"
+_STOP = rf"(?:{'|'.join(_END)})\s*{_COLON}?"
+#: Headers that are put before the paragraphs of a text, as the given texts have none.
+_HEADERS = ["Abstract", "1. INTRODUCTION", "Materials and Methods:", "RESULTS", "Discussion and Conclusions", "FUNDING", "2 Study design", "In conclusion:", "Author Information", "Some words that are no header", "Key Takeaways:", ""]
 
 
-@query(rf"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p, length(text) AS n FROM documents), e AS (SELECT doc_id, n, unnest(p) AS line, unnest(range(0, len(p))) AS k FROM l),
+@query(rf"""WITH b AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: [{", ".join(f"'{h}'" for h in _HEADERS)}][(doc_id + i) % {len(_HEADERS)} + 1] || chr(10) || x) AS x FROM documents),
+l AS (SELECT doc_id, string_split(array_to_string(x, chr(10)), chr(10)) AS p, length(array_to_string(x, chr(10))) AS n FROM b), e AS (SELECT doc_id, n, unnest(p) AS line, unnest(range(0, len(p))) AS k FROM l),
 o AS (SELECT doc_id, n, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s, k, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM e),
 c AS (SELECT *, CASE WHEN ends_with(s, ':') AND contains(lower(s), 'conclusion') THEN false WHEN regexp_full_match(s, '{_STOP}', 'i') THEN true WHEN regexp_full_match(s, '{_TARGET}', 'i') THEN false END AS is_stop FROM o
   WHERE length(s) BETWEEN 1 AND 140 AND (regexp_matches(s, '{_COLON}$') OR regexp_matches(s, '^[0-9]+\.*( |$)') OR (length(regexp_replace(s, '\P{{L}}', '', 'g')) >= 4 AND length(regexp_replace(s, '\P{{Lu}}', '', 'g')) >= 0.6 * length(regexp_replace(s, '\P{{L}}', '', 'g'))) OR lower(s) IN ({", ".join(f"'{w}'" for w in _COMMON)}))),
 h AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), n) AS section_end FROM c WHERE is_stop IS NOT NULL)
 SELECT doc_id, k AS line_no, s AS title, start, section_end FROM h WHERE NOT is_stop""")
 def q_article_sections(t: Tables) -> DataFrame:
-    docs = t("documents").withColumn("n", F.length("text").cast("long"))
+    """Sections of texts whose paragraphs have headers before them."""
+    header = lambda i: F.element_at(F.array(*map(F.lit, _HEADERS)), (F.pmod(F.col("doc_id") + i + 1, F.lit(len(_HEADERS))) + 1).cast("int"))
+    text = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(header(i), F.lit("\n"), x)), "\n")
+    docs = t("documents").select("doc_id", text.alias("text")).withColumn("n", F.length("text").cast("long"))
     heads = chunks.headers(chunks.lines(docs, "text", ["doc_id", "n"]), _COMMON, _TARGET, _STOP, _COLON)
     return chunks.sections(heads, "doc_id", "n").where("NOT is_stop").select("doc_id", "line_no", "title", "start", "section_end")
 

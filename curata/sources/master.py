@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from curata.sources import files
 
 
+POINTER = "version long, run_id string, date string, added long, size_before long, size_after long, mark string"
+
+
 def current(spark: SparkSession, path: str) -> DataFrame | None:
     """The rows of the current version, or None before the first."""
     if not files.exists(spark, f"{path}/pointer"):
@@ -21,7 +24,7 @@ def current(spark: SparkSession, path: str) -> DataFrame | None:
 
 def pointer(spark: SparkSession, path: str) -> dict:
     """What the newest pointer says: version, run, sizes before and after, high-water mark."""
-    return spark.read.json(f"{path}/pointer").orderBy(F.desc("version")).first().asDict()
+    return spark.read.schema(POINTER).json(f"{path}/pointer").orderBy(F.desc("version")).first().asDict()
 
 
 def add(spark: SparkSession, path: str, new: DataFrame, key: str, run_id: str, date: str, mark: str | None = None) -> dict:
@@ -45,13 +48,17 @@ def add(spark: SparkSession, path: str, new: DataFrame, key: str, run_id: str, d
     fresh.write.mode("overwrite").parquet(f"{path}/deltas/delta_date={date}/run={run_id}")
     added = fresh.count()
     row = {"version": version, "run_id": run_id, "date": date, "added": added, "size_before": state["size_after"], "size_after": state["size_after"] + added, "mark": mark or state["mark"]}
-    spark.createDataFrame([row], "version long, run_id string, date string, added long, size_before long, size_after long, mark string").coalesce(1).write.mode("append").json(f"{path}/pointer")
+    spark.createDataFrame([row], POINTER).coalesce(1).write.mode("append").json(f"{path}/pointer")
     return row
 
 
 def rebuilt(spark: SparkSession, path: str) -> DataFrame:
-    """All deltas as one table: what the master holds, from its history."""
-    return spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(f"{path}/deltas")
+    """The deltas that the pointer names as one table: what the master holds, from its history.
+
+    A delta of a run that failed before its pointer was written is not read.
+    """
+    runs = spark.read.schema(POINTER).json(f"{path}/pointer").select("date", "run_id").distinct().collect()  # one row a run
+    return spark.read.option("mergeSchema", "true").parquet(*sorted(f"{path}/deltas/delta_date={r.date}/run={r.run_id}" for r in runs))
 
 
 def upgrades(master: DataFrame, incoming: DataFrame, key: str, has_text: str) -> DataFrame:

@@ -51,12 +51,15 @@ def without(df: DataFrame, drop: DataFrame, key: str) -> DataFrame:
 
     Null keys stay. ``drop`` is cut, as it is read twice.
     """
-    drop = c.cut(drop.select(F.col(key).cast("long").alias("_key")).where("_key IS NOT NULL").distinct())
-    sent = F.broadcast(pages(drop, "_key").select(F.col("page").alias("_page"), F.col("bits").alias("_bits")))
-    marked = with_slot(df, key).withColumn("_page", F.bitmap_bucket_number("_slot")).join(sent, "_page", "left")
-    at = F.bitmap_bit_position("_slot")
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_slot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    maybe = F.coalesce(F.col(key).isNotNull() & F.col("_bits").isNotNull() & (F.expr("shiftright(byte_, cast(at_ % 8 as int)) & 1") == 1), F.lit(False))
-    marked = marked.withColumn("byte_", byte).withColumn("at_", at).withColumn("_maybe", maybe).select(*df.columns, "_maybe")
-    held = marked.where("_maybe").join(drop, F.col(key).cast("long") == F.col("_key"), "left_anti")
-    return marked.where("NOT _maybe").drop("_maybe").unionByName(held.drop("_maybe"))
+    own = c.unused(df.columns, "key_")
+    drop = c.cut(drop.select(F.col(key).cast("long").alias(own)).where(F.col(own).isNotNull()).distinct())
+    page, bits, maybe = (c.unused([*df.columns, own], x) for x in ("page_", "bits_", "maybe_"))
+    sent = F.broadcast(pages(drop, own).select(F.col("page").alias(page), F.col("bits").alias(bits)))
+    slot = F.coalesce(_slot(F.col(key)), F.lit(1))
+    marked = df.withColumn(page, F.bitmap_bucket_number(slot)).join(sent, page, "left")
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held_bit = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
+    marked = marked.withColumn(maybe, F.coalesce(F.col(key).isNotNull() & F.col(bits).isNotNull() & held_bit, F.lit(False))).select(*df.columns, maybe)
+    held = marked.where(F.col(maybe)).join(drop, F.col(key).cast("long") == F.col(own), "left_anti")
+    return marked.where(~F.col(maybe)).drop(maybe).unionByName(held.drop(maybe))

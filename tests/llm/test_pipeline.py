@@ -2,6 +2,7 @@ import re
 
 import corpus_pipeline as p
 from curata.llm import common
+from pyspark.sql import functions as F
 
 DIR = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -38,3 +39,38 @@ def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(str(r.doc_id) for r in p.keep_one_of_each(spark, df, DIR).collect()) == ["1", "3", "4", "None"]
     assert p.keep_one_of_each(spark, df.limit(0), DIR).count() == 0
+
+
+CLASHING = ["score", "predicted", "_hits", "_words", "_items", "_slot", "_maybe", "key_", "page_", "bits_", "maybe_", "kept_0", "_base", "_spans", "component_id", "times"]
+
+
+def test_extra_columns_nulls_repeats_and_no_rows(spark):
+    more = DIR.replace("0.001", "0.01")
+    docs = common.table(spark, more, "documents").limit(60)
+    odd = spark.createDataFrame([(None, "null id and password = hunter2hunter2", "en", "s", 38), (70001, None, "en", "s", None), (70002, "", "en", "s", 0), (70003, "Same text twice over.", "en", "s", 21), (70003, "Same text twice over.", "en", "s", 21)], docs.schema)
+    whole = common.cut(docs.unionByName(odd).withColumns({x: F.concat(F.lit(x), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))) for x in CLASHING}))
+    for stage in (p.keep_quality, p.drop_near_copies, p.drop_contaminated, p.redact_secrets):
+        out = stage(spark, whole, more)
+        assert out.columns == whole.columns
+        rows = out.collect()
+        assert rows and all(r[x] == f"{x}{'?' if r.doc_id is None else r.doc_id}" for r in rows for x in CLASHING)
+        empty = stage(spark, whole.limit(0), more)
+        assert empty.columns == whole.columns and empty.count() == 0
+        ids = [r.doc_id for r in rows]
+        if stage is p.drop_near_copies:
+            assert ids.count(70003) == 1 and None in ids and {70001, 70002} <= set(ids)
+        if stage in (p.drop_contaminated, p.redact_secrets):
+            assert ids.count(70003) == 2 and len({None, 70001, 70002} & set(ids)) == 3
+        if stage is p.redact_secrets:
+            assert next(r.text for r in rows if r.doc_id is None) == "null id and [REDACTED]"
+    done = p.tokenize(spark, whole, more)
+    assert done.count() == whole.count() and p.tokenize(spark, whole.limit(0), more).count() == 0
+
+
+def test_run_is_the_stages_in_order(spark):
+    more = DIR.replace("0.001", "0.01")
+    docs = common.table(spark, more, "documents")
+    for _, stage in p.STAGES[:-1]:
+        docs = common.cut(stage(spark, docs, more))
+    want = sorted(map(tuple, p.STAGES[-1][1](spark, docs, more).collect()))
+    assert sorted(map(tuple, p.run(spark, more).collect())) == want and len(want) > 100

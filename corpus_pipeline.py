@@ -7,17 +7,25 @@ Parquet before the next stage reads it. All but the last return the columns of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.llm import bitset, bpe, common, decontaminate, jaccard, quality, secrets
 
 
+def _kept(docs: DataFrame, names: list[str], mark: Callable[[DataFrame], DataFrame], keep: str) -> DataFrame:
+    """Rows of ``docs`` that ``keep`` holds for after ``mark``, which adds or replaces columns ``names``; all columns stay as they were."""
+    own = {x: common.unused([*docs.columns, *names], f"kept_{k}") for k, x in enumerate(docs.columns) if x.lower() in names}
+    marked = mark(docs.withColumnsRenamed(own)).where(keep)
+    return marked.select(*[F.col(own.get(x, x)).alias(x) for x in docs.columns])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on this stage's labelled rows, does not reject."""
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
-    scored = quality.classify(docs, model)
-    return scored.where("predicted = 1").select(*docs.columns)
+    return _kept(docs, ["score", "predicted"], lambda d: quality.classify(d, model), "predicted = 1")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = jaccard.SHINGLE, percent: int = jaccard.PERCENT) -> DataFrame:
@@ -43,8 +51,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
-    found = decontaminate.occurrences(docs, common.table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("_hits") == 0).select(*docs.columns)
+    items = common.table(spark, sf_dir, "benchmark")
+    return _kept(docs, ["_words", "_hits", "_items"], lambda d: decontaminate.occurrences(d, items), "size(_hits) = 0")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,6 +81,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each on what the one before kept: token digests of the documents left."""
     docs = common.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -97,16 +97,22 @@ def first_sights(stream: DataFrame, key: str, ts: str, order: str, days: int, de
     return timed.groupBy(key).transformWithState(Seen(_MICROS, known.columns, order, days), schema, "Append", "EventTime")
 
 
-def run(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append what is there to the table at ``path``, and stop; the next run resumes from ``checkpoint``."""
+def run(stream: DataFrame, path: str, checkpoint: str, partitions: int | None = None) -> StreamingQuery:
+    """Append what is there to the table at ``path``, and stop; the next run resumes from ``checkpoint``.
+
+    The first run fixes the number of state ``partitions``, the session's of shuffles by default.
+    """
     spark = stream.sparkSession
-    before = spark.conf.get(PROVIDER[0])
-    spark.conf.set(*PROVIDER)
+    wanted = dict([PROVIDER, ("spark.sql.shuffle.partitions", str(partitions or spark.conf.get("spark.sql.shuffle.partitions")))])
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER[0], before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return query
 
 

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curata.operators import selection, vector_lists
 from curata.plans import banking  # noqa: F401  (it registers the batch form of the quota)
 from curata.plans.queries import ORACLES, Tables, query
-from curata.sources import files
-from curata.streaming import stateful
+from curata.sources import files, keyed, paged
+from curata.streaming import sinks, stateful
 
 #: Partitions of a stream's state, which its first run fixes; more for more keys.
 STATE_PARTITIONS = 4
@@ -46,3 +47,104 @@ def q_stream_first_seen(t: Tables) -> DataFrame:
         arrived = stateful.arrivals(spark, f"{at}/in", events.schema)
         stateful.run(stateful.first_sights(arrived, "seen_key", "ts", "event_id", 365), f"{at}/out", f"{at}/checkpoint", STATE_PARTITIONS)
     return spark.read.parquet(f"{at}/out").select("seen_key", "event_id")
+
+
+_EVENT = "event_id long, user_id long, event_type string, value double, day date"
+
+
+def _service(t: Tables) -> DataFrame:
+    """Events as a service of pages by day, read by the paged source."""
+    events = t("events").select("event_id", "user_id", "event_type", "value", "ts")
+    at = folder(events)
+    paged.stage(events, "ts", "event_id", at)
+    return paged.read(events.sparkSession, at, _EVENT, simple=2000, target=1500)
+
+
+@query("""SELECT event_id, user_id, event_type, value, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'""")
+def q_paged_search(t: Tables) -> DataFrame:
+    """A search by date range that only reads slices of these days."""
+    found = _service(t).where("day >= DATE '2024-01-05' AND day < DATE '2024-01-13'")
+    return found.select("event_id", "user_id", "event_type", "value", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@query("""SELECT DISTINCT user_id FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL AND (event_type = 'purchase' OR event_type = 'signup' AND CAST(ts AS DATE) >= DATE '2024-01-10' OR value > 90) ORDER BY 1 LIMIT 500""")
+def q_paged_union(t: Tables) -> DataFrame:
+    """Distinct users of three searches, the first 500."""
+    s = _service(t)
+    return paged.union_ids([s.where("event_type = 'purchase'"), s.where("event_type = 'signup' AND day >= DATE '2024-01-10'"), s.where("value > 90")], "user_id", 500)
+
+
+@query("""WITH m AS (SELECT max(CAST(ts AS DATE)) AS mark FROM events WHERE event_type = 'signup'), i AS (SELECT DISTINCT event_id FROM events, m WHERE CAST(ts AS DATE) >= mark - 1 ORDER BY 1 LIMIT 3000),
+n AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS k FROM i) SELECT CAST(k // 50 AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS ids FROM n GROUP BY 1""")
+def q_fetch_batches(t: Tables) -> DataFrame:
+    """Ids since a day before the high-water mark, in batches of 50."""
+    s = _service(t)
+    mark = s.where("event_type = 'signup'").agg(F.max("day")).first()[0]
+    b = paged.batches(paged.ids_by_mode(s, "event_id", "incremental", mark), "event_id")
+    return b.select("batch", F.size("ids").cast("long").alias("n"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+#: Lists of the vector index, and those that a search probes at first.
+LISTS, PROBES = 16, 12
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) ** 2)) AS BIGINT) AS distance FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM r WHERE rank <= 10""")
+def q_ivf_exact(t: Tables) -> DataFrame:
+    """The ten nearest vectors by the index, with the lists that the first probes can't rule out."""
+    return _near(t, True)
+
+
+@query()
+def q_ivf_search(t: Tables) -> DataFrame:
+    """The ten nearest vectors in the lists probed first; tests measure their recall."""
+    return _near(t, False)
+
+
+def _near(t: Tables, exact: bool) -> DataFrame:
+    df = t("embeddings")
+    index = vector_lists.build(df, "vec_id", "embedding", LISTS)
+    if index is None:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, distance long")
+    found = vector_lists.search(index, df.where("vec_id % 20 = 0"), "vec_id", "embedding", 10, PROBES, exact)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+@query("""SELECT user_id, event_id, event_type, value, ts >= TIMESTAMP '2024-01-25' AS updated FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE user_id IS NOT NULL AND (ts < TIMESTAMP '2024-01-20' OR ts >= TIMESTAMP '2024-01-25'))
+WHERE k = 1 AND NOT (user_id IN (SELECT user_id FROM events WHERE event_type = 'signup' AND ts >= TIMESTAMP '2024-01-28' AND user_id IS NOT NULL))""")
+def q_keyed_table(t: Tables) -> DataFrame:
+    """Users' newest events in a keyed table: a load, an upsert run twice, a deletion of the users of some late events."""
+    e = t("events").where("user_id IS NOT NULL").select("user_id", "event_id", "event_type", "value", "ts")
+    spark, at = e.sparkSession, folder(e)
+    order = [F.desc("ts"), F.desc("event_id")]
+    keyed.upsert(spark, at, e.where("ts < '2024-01-20'"), "user_id", "load", order, buckets=16)
+    late = e.where("ts >= '2024-01-25'").withColumn("updated", F.lit(True))
+    for _ in range(2):
+        keyed.upsert(spark, at, late, "user_id", "update", order)
+    keyed.rewrite(spark, at, e.where("event_type = 'signup' AND ts >= '2024-01-28'").select("user_id"), "user_id", keyed.removed("user_id"), "delete")
+    rows = keyed.read(spark, at)
+    return rows.select("user_id", "event_id", "event_type", "value", (F.col("updated") if "updated" in rows.columns else F.lit(None)).eqNullSafe(True).alias("updated"))
+
+
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'purchase' DESC, ts DESC, event_id DESC) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) WHERE k = 1""")
+def q_stream_upgrades(t: Tables) -> DataFrame:
+    """A keyed table fed by a stream in two runs, in which a purchase stands for a full text; rebuilt from its deltas."""
+    e = t("events").where("user_id IS NOT NULL AND ts IS NOT NULL").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("has_text"))
+    spark, at = e.sparkSession, folder(e)
+    order = sinks.fullest("has_text", "ts", "event_id")
+    for k, part in enumerate((e.where("ts < '2024-01-15'"), e.where("ts >= '2024-01-15'"))):
+        stateful.staged(part, "ts", f"{at}/in", 2, 2 * k)
+        sinks.into_table(stateful.arrivals(spark, f"{at}/in", e.schema), f"{at}/table", "user_id", f"{at}/checkpoint", "events", order, 8)
+    rebuilt = keyed.deltas(spark, f"{at}/table")
+    return keyed.newest("user_id", order)(None, rebuilt).select("user_id", "event_id", "event_type")
+
+
+@query("""WITH b AS (SELECT CASE WHEN l_suppkey % 2 = 0 THEN 0 ELSE l_suppkey END AS supplier, l_extendedprice AS v FROM lineitem), r AS (SELECT supplier, v, row_number() OVER (PARTITION BY supplier ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY supplier) AS n FROM b)
+SELECT supplier, CAST(max(n) AS BIGINT) AS n, max(CASE WHEN k = n // 4 THEN v END) AS p25, max(CASE WHEN k = n // 2 THEN v END) AS median, max(CASE WHEN k = CAST(floor(n * 0.95) AS BIGINT) THEN v END) AS p95 FROM r GROUP BY 1""")
+def q_hot_order_stats(t: Tables) -> DataFrame:
+    """Order statistics where one group has half of all rows."""
+    rows = t("lineitem").select(F.when(F.col("l_suppkey") % 2 == 0, F.lit(0).cast("long")).otherwise(F.col("l_suppkey")).alias("supplier"), F.col("l_extendedprice").alias("v"))
+    n = F.col("n")
+    return selection.picks(rows, ["supplier"], "v", {"p25": F.floor(n / 4), "median": F.floor(n / 2), "p95": F.floor(n * 0.95)})

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions import articles as a
 from curata.functions import supplements
-from curata.operators import tagging
-from curata.plans.articles import PUBTYPES, _deal, _list
+from curata.operators import json_cards, tagging
+from curata.plans.articles import PUBTYPES, TITLES, _deal, _list
 from curata.plans.queries import Tables, query
+from curata.sources import xml_records
 
 #: Notes that stand in the middle of texts, as the given texts name no supplements.
 NOTES = [
@@ -93,3 +94,147 @@ def q_window_goals(t: Tables) -> DataFrame:
     found = tagging.window_goals(noted(t), "content", a.MEASURED, supplements.METRIC, supplements.PREFERRED, supplements.EXERCISE, name="inferred")
     own = a.primary_goal(F.col("content"))
     return found.withColumn("own", own).select("doc_id", "inferred", F.when(F.col("own") != "general", F.col("own")).otherwise(F.col("inferred")).alias("goal"))
+
+
+def _escaped(x: Column) -> Column:
+    return F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _element(name: str, *inside: Column) -> Column:
+    return F.concat(F.lit(f"<{name}>"), *inside, F.lit(f"</{name.split()[0]}>"))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
+
+
+def xml_of(t: Tables) -> DataFrame:
+    """Documents as XML records, each line a part of the abstract; some records are cut off."""
+    d, k = t("documents"), F.col("doc_id")
+    parts = F.array_join(F.transform(_lines(F.col("text")), lambda x: _element("AbstractText Label='PART'", _escaped(x))), "")
+    date = F.when(k % 3 == 0, _element("Year", (F.lit(2000) + k % 20).cast("string"))).when(k % 3 == 1, _element("MedlineDate", (F.lit(1990) + k % 30).cast("string"), F.lit(" Spring"))).otherwise(_element("Year", F.lit("n.d.")))
+    doi = F.when(k % 4 == 1, _element("ArticleId IdType='doi'", F.lit("10.1/"), k.cast("string"))).otherwise(F.lit(""))
+    article = _element("Article", _element("Journal", _element("Title", F.col("source")), F.when(k % 5 == 0, _element("ISOAbbreviation", F.col("lang"))).otherwise(F.lit("")), _element("JournalIssue", _element("PubDate", date))), _element("ArticleTitle", _escaped(_deal(TITLES, k)), F.lit(" &amp; more ")), _element("Abstract", parts), _element("PublicationTypeList", _element("PublicationType UI='D1'", _deal(PUBTYPES, k)), _element("PublicationType", F.lit("Journal Article"))))
+    xml = _element("PubmedArticle", _element("MedlineCitation", _element("PMID Version='1'", (k + 1000).cast("string")), article, _element("KeywordList", _element("Keyword", F.col("lang")), _element("Keyword", F.col("source")))), _element("PubmedData", _element("ArticleIdList", _element("ArticleId IdType='pii'", F.lit("p1")), doi)))
+    return d.select("doc_id", F.when(k % 13 == 4, F.substring(xml, F.lit(1), F.length(xml) - 30)).otherwise(xml).alias("xml"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, doc_id % 13 = 4 AS bad, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts, lang, source FROM documents)
+SELECT doc_id, CASE WHEN NOT bad THEN CAST(doc_id + 1000 AS VARCHAR) END AS pmid, CASE WHEN bad THEN '' ELSE {_list(TITLES)}[doc_id % {len(TITLES)} + 1] || ' & more' END AS title, sha256(CASE WHEN bad THEN '' ELSE array_to_string(parts, ' ') END) AS abstract_digest,
+  CASE WHEN bad THEN '' WHEN doc_id % 5 = 0 THEN lang ELSE source END AS journal, CAST(CASE WHEN bad THEN NULL WHEN doc_id % 3 = 0 THEN 2000 + doc_id % 20 WHEN doc_id % 3 = 1 THEN 1990 + doc_id % 30 END AS INTEGER) AS year,
+  CASE WHEN NOT bad AND doc_id % 4 = 1 THEN '10.1/' || doc_id END AS doi, CASE WHEN bad THEN '' ELSE {_list(PUBTYPES)}[doc_id % {len(PUBTYPES)} + 1] || ',Journal Article' END AS pubtypes, CASE WHEN bad THEN '' ELSE lang || ',' || source END AS keywords,
+  CASE WHEN bad THEN '' ELSE 'https://pubmed.ncbi.nlm.nih.gov/' || (doc_id + 1000) || '/' END AS url, bad AS malformed FROM d""")
+def q_xml_records(t: Tables) -> DataFrame:
+    """XML records field by field; those that are cut off keep their row."""
+    r = xml_records.flattened(xml_of(t), "xml", ["doc_id"])
+    return r.select("doc_id", "pmid", "title", F.sha2("abstract", 256).alias("abstract_digest"), "journal", "year", "doi", F.array_join("pubtypes", ",").alias("pubtypes"), F.array_join("keywords", ",").alias("keywords"), "url", F.col("malformed").isNotNull().alias("malformed"))
+
+
+def article_of(t: Tables) -> DataFrame:
+    """Documents as article XML: lines as paragraphs of a section and its subsection, a table and a figure."""
+    d, k = t("documents"), F.col("doc_id")
+    lines = _lines(F.col("text"))
+    p = lambda some: F.array_join(F.transform(some, lambda x: _element("p", _escaped(x))), "")
+    table = _element("table-wrap", _element("caption", _element("p", F.lit("Rows of "), F.col("source"))), _element("table", _element("thead", _element("tr", _element("th", F.lit("lang")), _element("th", F.lit("chars")))), _element("tbody", _element("tr", _element("td", F.col("lang")), _element("td", F.coalesce(F.col("n_chars").cast("string"), F.lit("")))), _element("tr", _element("td", F.lit(" ")), _element("td", F.lit("± 3 °"))))))
+    first = _element("sec", _element("title", F.lit("Methods")), p(F.slice(lines, 1, 2)), _element("sec", _element("title", F.lit("Sub")), p(F.slice(lines, 3, 1000000))), table, _element("fig", _element("caption", _element("p", F.lit("A figure [ , ] of it .")))))
+    xml = _element("article", _element("front", _element("article-meta", _element("title-group", _element("article-title", _deal(TITLES, k))), _element("abstract", _element("title", F.lit("Abstract")), _element("p", F.lit("On “"), F.col("lang"), F.lit("” texts ;; in short"))))), _element("body", first))
+    return d.select("doc_id", F.when(k % 11 == 2, F.concat(F.lit("<p>no article"), F.col("lang"), F.lit("</q>"))).otherwise(xml).alias("xml"))
+
+
+def _ascii_sql(x: str) -> str:
+    for sign, plain in xml_records.PLAIN.items():
+        x = f"replace({x}, '{sign}', '{plain.replace(chr(39), chr(39) * 2)}')"
+    return f"regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g')"
+
+
+_CLEANED = _ascii_sql("array_to_string(pieces, chr(10))")
+for _pattern, _to in ((r"\[\s*(?:,\s*)*\]", ""), (r"\(\s*(?:,\s*)*\)", ""), (r"\s+([.,;:)])", r"\1"), *((rf"[{c}](\s*[{c}]+)+", c) for c in ".,;:"), ("  +", " "), (r"(?m)^ +| +$", ""), (r"\n{2,}", "\n"), (r"^\n|\n$", "")):
+    _CLEANED = f"regexp_replace({_CLEANED}, '{_pattern}', {'chr(10)' if _to == chr(10) else f"'{_to}'"}, 'g')"
+
+
+@query(f"""WITH l AS (SELECT doc_id, lang, source, n_chars, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS x FROM documents),
+p AS (SELECT doc_id, lang, list_concat(['TITLE:', {_list(TITLES)}[doc_id % {len(TITLES)} + 1], 'ABSTRACT:', 'On “' || lang || '” texts ;; in short', 'METHODS:'], list_transform(list_filter(x, lambda z: length(z) > {xml_records.SHORT}), lambda z: regexp_replace(z, '\s+', ' ', 'g')),
+  ['TABLE: Rows of ' || source, 'lang | chars', lang || ' | ' || n_chars, '± 3 °', 'FIGURE: A figure [ , ] of it .']) AS pieces FROM l),
+c AS (SELECT doc_id, CASE WHEN doc_id % 11 = 2 THEN 'no article' || lang ELSE {_CLEANED} END AS x FROM p) SELECT doc_id, doc_id % 11 <> 2 AS is_article, CAST(length(x) AS BIGINT) AS n_chars, sha256(x) AS digest FROM c""")
+def q_article_text(t: Tables) -> DataFrame:
+    """Article XML as text, with tables and captions; what is no XML without its tags."""
+    r = xml_records.article_text(article_of(t), "xml", ["doc_id"])
+    return r.select("doc_id", "is_article", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("digest"))
+
+
+
+def answers_of(t: Tables) -> DataFrame:
+    """Turns of conversations as a model's answers about a part of a paper: in a fence, after a sentence, with a comma too many, cut off."""
+    c, k, n = t("conversations"), F.col("conv_id"), F.col("turn")
+    section = _deal(["methods", "abstract", "results", "discussion", "other"], k + n)
+    number = lambda name, x: F.concat(F.lit(f'"{name}": '), x.cast("string"))
+    notes = F.concat(F.lit('"safety_notes": "'), F.when((k + n) % 6 == 0, F.lit("")).otherwise(F.concat(F.col("role"), F.lit(" says\\n it is fine"))), F.lit('"'))
+    effects = F.concat(F.lit('"effect_sizes": '), F.when(n % 3 == 0, F.lit("[]")).otherwise(F.concat(F.lit('[{"measure": "m'), n.cast("string"), F.lit('", "value": 1}]'))))
+    inside = F.concat_ws(", ", number("population_size", (k * 7 + n * 13) % 90 % 50), number("dose_g_per_day", F.floor((k + n) % 9) * 5), F.concat(F.lit('"duration_weeks": "'), (n % 4).cast("string"), F.lit('"')), notes, effects)
+    body = F.concat(F.lit("{"), inside, F.when(k % 4 == 1, F.lit(",")).otherwise(F.lit("")), F.lit("}"))
+    answer = F.when(k % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```\nThat {is} all."))).when(k % 5 == 1, F.concat(F.lit("Here it is: "), body, F.lit(" As asked."))).when(k % 5 == 2, F.substring(body, F.lit(1), F.length(body) - 9)).otherwise(body)
+    return c.select("conv_id", "turn", section.alias("section"), answer.alias("answer"))
+
+
+_BODY = """'{"population_size": ' || ((k * 7 + n * 13) % 90 % 50) || ', "dose_g_per_day": ' || ((k + n) % 9 * 5) || ', "duration_weeks": "' || (n % 4) || '", "safety_notes": "' || CASE WHEN (k + n) % 6 = 0 THEN '' ELSE role || ' says\\n it is fine' END
+  || '", "effect_sizes": ' || CASE WHEN n % 3 = 0 THEN '[]' ELSE '[{"measure":"m' || n || '","value":1}]' END || CASE WHEN k % 4 = 1 THEN ',' ELSE '' END || '}'"""
+_ANSWERS = f"""b AS (SELECT *, {_BODY} AS body FROM (SELECT conv_id, turn, role, conv_id AS k, turn AS n, ['methods', 'abstract', 'results', 'discussion', 'other'][(conv_id + turn) % 5 + 1] AS section FROM conversations)),
+a AS (SELECT conv_id, turn, section, CASE k % 5 WHEN 0 THEN body WHEN 1 THEN body WHEN 2 THEN substr(body, 1, length(body) - 9) ELSE body END AS body FROM b),
+j AS (SELECT conv_id, turn, section, TRY_CAST(regexp_replace(regexp_extract(body, '(?s)\\{{.*\\}}'), ',(\\s*[}}\\]])', '\\1', 'g') AS JSON) AS j, CASE section WHEN 'methods' THEN 1 WHEN 'abstract' THEN 2 WHEN 'results' THEN 3 WHEN 'discussion' THEN 4 ELSE 5 END AS o FROM a),
+v AS (SELECT *, nullif(CAST(j->>'population_size' AS INTEGER), 0) AS n, nullif(CAST(j->>'dose_g_per_day' AS DOUBLE), 0) AS dose, nullif(CAST(j->>'duration_weeks' AS DOUBLE), 0) AS weeks, nullif(j->>'effect_sizes', '[]') AS effects, nullif(j->>'safety_notes', '') AS notes FROM j)"""
+
+
+def _fold_sql(pick: str) -> str:
+    take = lambda x, sections: f"{pick}({x}, (o, turn)) FILTER (WHERE section IN ({sections}) AND {x} IS NOT NULL)"
+    return f"""WITH {_ANSWERS} SELECT conv_id, {take("n", "'methods', 'abstract'")} AS n, {take("dose", "'methods'")} AS dose_g_per_day, {take("weeks", "'methods'")} AS duration_weeks, {take("effects", "'results'")} AS effect_sizes, {take("notes", "'discussion'")} AS safety_notes FROM v GROUP BY 1"""
+
+
+def _folded(t: Tables, first: bool) -> DataFrame:
+    folded = json_cards.fold(answers_of(t), ["conv_id"], "section", "answer", "turn", first)
+    return folded.select("conv_id", "n", "dose_g_per_day", "duration_weeks", "effect_sizes", "safety_notes")
+
+
+@query(_fold_sql("arg_min"))
+def q_card_fold(t: Tables) -> DataFrame:
+    """Each field from the first section that says it, methods before the abstract."""
+    return _folded(t, True)
+
+
+@query(_fold_sql("arg_max"))
+def q_card_overwrites(t: Tables) -> DataFrame:
+    """Each field from the last section that says it, so that the abstract overwrites methods."""
+    return _folded(t, False)
+
+
+#: Sentences of the sections of papers.
+METHODS = ["We gave creatine at 5 g/day to participants: 45 for 8 weeks.", "n = 120 took 300 mg/d of caffeine, and 2 months later 7 g/kg of sugar.", "", "Sample size 33; 3.5 months.", "Two groups. " + "No number here. " * 20 + "creatine 20 g/d and 4 wks"]
+RESULTS = ["Strength improved, an increase of 9 %.", "Fat mass was reduced against no effect.", "There was no significant change.", "Nothing.", ""]
+DISCUSSION = ["No serious adverse events.", "All was fine.", ""]
+NAMED = ["creatine", "caffeine", "", "beta-alanine"]
+#: The SQL engine's word boundary knows ASCII only.
+_SIZE = json_cards.SIZE.replace(r"\b(?:", r"(?:^|[^\p{L}\p{N}_])(?:", 1)
+AIMS = ["muscle_gain", "", "endurance"]
+
+
+@query(f"""WITH s AS (SELECT doc_id, {_list(METHODS)}[doc_id % 5 + 1] AS methods, substr(coalesce(text, ''), 1, length(text) // 2) || ' 12 weeks of 900 mg / day, N=77 ' || substr(coalesce(text, ''), length(text) // 2 + 1) AS abstract, {_list(RESULTS)}[(doc_id // 2) % 5 + 1] AS results, {_list(DISCUSSION)}[(doc_id // 3) % 3 + 1] AS discussion,
+  {_list(NAMED)}[(doc_id // 5) % 4 + 1] AS term, {_list(AIMS)}[(doc_id // 7) % 3 + 1] AS goal, lang AS title, source AS journal FROM documents),
+c AS (SELECT *, CASE WHEN methods <> '' THEN methods ELSE abstract END AS ctx, lower(results) AS low FROM s),
+w AS (SELECT *, CASE WHEN term <> '' AND strpos(lower(ctx), term) > 0 THEN substr(ctx, greatest(strpos(lower(ctx), term) - 1 - 160, 0) + 1, strpos(lower(ctx), term) - 1 + 160 - greatest(strpos(lower(ctx), term) - 1 - 160, 0)) ELSE ctx END AS win,
+  TRY_CAST(regexp_extract(ctx, '{json_cards.WEEKS}', 1) AS DOUBLE) AS amount, lower(regexp_extract(ctx, '{json_cards.WEEKS}', 2)) AS unit FROM c),
+h AS (SELECT *, TRY_CAST(regexp_extract(methods || chr(10) || chr(10) || abstract, '{_SIZE}', 1) AS INTEGER) AS n, CAST(round_even(CASE WHEN contains(unit, 'mo') THEN amount * 4.345e0 ELSE amount END, 0) AS INTEGER) AS duration_weeks,
+  TRY_CAST(regexp_extract(win, '{json_cards.DOSE}', 1) AS DOUBLE) / CASE WHEN lower(regexp_extract(win, '{json_cards.DOSE}', 2)) = 'mg' THEN 1000.0e0 ELSE 1.0e0 END AS dose_g_per_day,
+  CASE {' '.join("WHEN " + " OR ".join(f"contains(low, '{w}')" for w in words) + f" THEN '{label}'" for label, words in json_cards.DIRECTIONS)} END AS direction,
+  CASE {' '.join(f"WHEN contains(low, '{w}') THEN strpos(low, '{w}') - 1" for _, words in json_cards.DIRECTIONS for w in words)} END AS span_start, contains(lower(discussion || chr(10) || results), 'adverse') AS told FROM w)
+SELECT doc_id, n, duration_weeks, round(dose_g_per_day, 6) AS dose_g_per_day, direction, CAST(span_start AS INTEGER) AS span_start, CASE WHEN told THEN 'adverse events discussed' END AS safety_notes,
+  CASE WHEN goal <> '' AND direction IS NOT NULL THEN CASE term WHEN '' THEN 'Supplement' WHEN 'creatine' THEN 'Creatine' WHEN 'caffeine' THEN 'Caffeine' ELSE 'Beta-alanine' END || CASE direction WHEN 'increase' THEN ' improves ' WHEN 'decrease' THEN ' reduces ' ELSE ' shows no clear effect on ' END || replace(goal, '_', ' ') || '.' END AS summary,
+  array_to_string(list_sort(list_filter([term, goal], lambda x: x <> '')), ',') AS keywords,
+  round(CASE WHEN n IS NOT NULL THEN 0.2e0 ELSE 0e0 END + CASE WHEN dose_g_per_day IS NOT NULL THEN 0.2e0 ELSE 0e0 END + CASE WHEN duration_weeks IS NOT NULL THEN 0.15e0 ELSE 0e0 END + CASE WHEN told THEN 0.1e0 ELSE 0e0 END + CASE WHEN coalesce(title, '') <> '' AND coalesce(journal, '') <> '' THEN 0.1e0 ELSE 0e0 END, 4) AS confidence FROM h""")
+def q_card_heuristics(t: Tables) -> DataFrame:
+    """Cards read from the sections of papers by patterns, with summary, keywords and confidence."""
+    d, k = t("documents"), F.col("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    abstract = F.concat(F.substring(text, F.lit(1), half), F.lit(" 12 weeks of 900 mg / day, N=77 "), F.substring(text, half + 1, F.length(text)))
+    s = d.select("doc_id", _deal(METHODS, k).alias("methods"), abstract.alias("abstract"), _deal(RESULTS, F.floor(k / 2)).alias("results"), _deal(DISCUSSION, F.floor(k / 3)).alias("discussion"), _deal(NAMED, F.floor(k / 5)).alias("term"), _deal(AIMS, F.floor(k / 7)).alias("goal"), F.col("lang").alias("title"), F.col("source").alias("journal"))
+    card = json_cards.assembled(json_cards.heuristics(s, "methods", "abstract", "results", "discussion", "term"), "term", "goal", "title", "journal")
+    return card.select("doc_id", "n", "duration_weeks", F.round("dose_g_per_day", 6).alias("dose_g_per_day"), "direction", "span_start", "safety_notes", "summary", F.array_join("keywords", ",").alias("keywords"), "confidence")

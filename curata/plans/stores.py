@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.operators import selection, vector_lists
+from curata.functions import stem
+from curata.operators import postings, selection, vector_lists
 from curata.plans import banking  # noqa: F401  (it registers the batch form of the quota)
 from curata.plans.queries import ORACLES, Tables, query
 from curata.sources import files, keyed, paged
@@ -148,3 +150,36 @@ def q_hot_order_stats(t: Tables) -> DataFrame:
     rows = t("lineitem").select(F.when(F.col("l_suppkey") % 2 == 0, F.lit(0).cast("long")).otherwise(F.col("l_suppkey")).alias("supplier"), F.col("l_extendedprice").alias("v"))
     n = F.col("n")
     return selection.picks(rows, ["supplier"], "v", {"p25": F.floor(n / 4), "median": F.floor(n / 2), "p95": F.floor(n * 0.95)})
+
+
+_PHRASE = "array_to_string(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')[1:2], ' ')"
+
+
+@query(f"""WITH q AS (SELECT item_id, {_PHRASE} AS phrase FROM benchmark), d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+e AS (SELECT doc_id, unnest(w) AS a, unnest(range(0, len(w))) AS k, w FROM d), b AS (SELECT doc_id, k, a AS one, a || ' ' || w[k + 2] AS two FROM e)
+SELECT item_id, doc_id, CAST(count(*) AS BIGINT) AS n_places, CAST(min(k) AS INTEGER) AS first_place FROM b JOIN q ON phrase = two OR phrase = one GROUP BY 1, 2""")
+def q_phrase_search(t: Tables) -> DataFrame:
+    """Where the first two words of each benchmark item stand together in documents."""
+    return _places(t, postings.same)
+
+
+@query()
+def q_stem_search(t: Tables) -> DataFrame:
+    """The same by stems; tests hold it against texts read word by word."""
+    return _places(t, stem.stem)
+
+
+def _places(t: Tables, term: Callable[[str], str]) -> DataFrame:
+    index = postings.build(t("documents"), "doc_id", "text", term=term)
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
+    asked = t("benchmark").select("item_id", F.array_join(F.slice(words, 1, 2), " ").alias("phrase"))
+    found = postings.search(index, postings.phrases(asked, "item_id", "phrase", term))
+    return found.select(F.col("phrase").alias("item_id"), F.col("key").alias("doc_id"), F.size("places").cast("long").alias("n_places"), F.array_min("places").alias("first_place"))
+
+
+@query("""WITH g AS (SELECT user_id, list(DISTINCT event_type) AS tags FROM events GROUP BY 1) SELECT user_id, len(list_filter(['purchase', 'SIGNUP'], lambda x: list_contains(tags, lower(x)))) > 0 AS found FROM g""")
+def q_tag_exists(t: Tables) -> DataFrame:
+    """Users of whose event types some is wanted."""
+    users = t("events").groupBy("user_id").agg(F.collect_set("event_type").alias("tags"))  # at most the types there are
+    found = postings.tagged_with(users, "tags", ["purchase", "SIGNUP"]).select("user_id", F.lit(True).alias("hit"))
+    return users.select("user_id").join(found, "user_id", "left").select("user_id", F.coalesce("hit", F.lit(False)).alias("found"))

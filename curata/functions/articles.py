@@ -39,6 +39,8 @@ STRENGTH = {"meta-analysis": 1.0, "systematic_review": 0.9, "RCT": 0.8, "crossov
 NOT_BANKED = ["narrative_review", "position-stand", "guideline", "consensus", "perspective", "editorial"]
 RESULT_CUES = [r"(?mi)^\s*results?\s*[:\-]", r"(?i)p\s*[<=>]\s*\d", r"(?i)95%\s*ci|confidence interval", r"(?i)(increase|decrease|improv\w+|reduc\w+)", r"(?i)mean\s*[±\+\-]"]
 COUNTS = [r"(?i)n\s*=\s*(\d+)", r"(?i)(\d+)\s*participants", r"(?i)(\d+)\s*subjects", r"(?i)(\d+)\s*patients", r"(?i)(\d+)\s*volunteers", r"(?i)(\d+)\s*individuals"]
+#: ``COUNTS`` as one pattern: where two of them overlap, they have the same number.
+COUNTED = r"(?i)n\s*=\s*\d+|\d+\s*(?:participants|subjects|patients|volunteers|individuals)"
 # Fixed values of the reliability score.
 TYPE_POINTS = [("meta-analysis", 12.0), ("RCT", 10.0), ("crossover", 7.0), ("cohort", 4.0)]
 SIZE_POINTS = [(1000, 5.0), (500, 4.0), (100, 3.0), (50, 2.0), (20, 1.0)]
@@ -131,6 +133,22 @@ MEASURED = {
     ],
     "weight_loss": [r"\bweight (loss|reduction)\b", r"\bfat mass\b", r"\bpercent body fat\b", r"\bbody composition\b", r"\bbmi\b", r"\bwaist (circumference|to[-\s]?hip)\b", r"\bvisceral fat\b"],
 }
+# Signs of studies of patients, in order: words of safety, of disease, of its treatment, and what keeps a study.
+SAFE = [r"\badverse event", r"\bside effect", r"\badverse reaction", r"\btoxicity", r"\bcontraindication", r"\bsafety", r"\badverse", r"\btolerability", r"\bharm", r"\bcomplication"]
+DISEASE = [
+    r"\bcancer\b", r"\bneoplasm", r"\btumor", r"\bcarcinoma", r"\boncology", r"\bchemotherapy", r"\bradiotherapy", r"\bheart disease", r"\bheart failure", r"\bcoronary artery", r"\bmyocardial infarction",
+    r"\bcardiac disease", r"\bcardiovascular disease", r"\bstroke", r"\barrhythmia", r"\bkidney disease", r"\brenal disease", r"\brenal failure", r"\bdialysis", r"\bchronic kidney", r"\bckd\b", r"\besrd\b",
+    r"\bliver disease", r"\bhepatic disease", r"\bcirrhosis", r"\bhepatitis", r"\bdiabetes", r"\bdiabetic", r"\binsulin resistance", r"\bglucose intolerance", r"\bprediabetes", r"\bhyperglycemia",
+    r"\bparkinson", r"\balzheimer", r"\bdementia", r"\bmultiple sclerosis", r"\bepilepsy", r"\btraumatic brain injury", r"\btbi\b", r"\bchronic obstructive", r"\bcopd\b", r"\bhiv\b", r"\baids\b", r"\bimmune deficiency",
+    r"\bautoimmune", r"\bchildren\b", r"\bpediatric", r"\badolescent", r"\bunder 18", r"\bminors\b", r"\bjuvenile", r"\bpregnancy\b", r"\bpregnant\b", r"\blactation", r"\bbreastfeeding", r"\bbreast feeding",
+    r"\bmaternal\b", r"\bprenatal", r"\bpostnatal", r"\bpatient[s]?\b.*\b(cancer|cardiac|renal|liver|diabetes|disease)", r"\bdiseased individual", r"\bclinical patient",
+]
+CLINIC = [
+    r"\btreatment.*\b(cancer|cardiac|renal|liver|diabetes|disease)", r"\btherapy.*\b(cancer|cardiac|renal|liver|diabetes|disease)", r"\bintervention.*\b(cancer|cardiac|renal|liver|diabetes|disease)",
+    r"\bpatient[s]?\b.*\bwith.*\b(cancer|cardiac|renal|liver|diabetes|disease)",
+]
+PREVENTION = [r"\bpreventing", r"\bprevention", r"\brisk reduction", r"\brisk factor", r"\bpreventative", r"\bprotective", r"\bprimary prevention"]
+OBESE, AGED = [r"\bobesity|\boverweight|\bbmi\b"], [r"\belderly|\bolder adult|\baging\b"]
 NITRIC_OXIDE = [r"\bnitrate(s)?\b", r"\bbeet(root)?\b", r"\bcitrulline\b", r"\bl-?arginine\b", r"\barginine akg\b"]
 
 
@@ -191,7 +209,7 @@ def eligible(kind: Column, study: Column, abstract: Column) -> Column:
 
 def sample_size(text: Column) -> Column:
     """The largest number that counts people, 0 without one."""
-    return F.coalesce(tx.largest_number(text, COUNTS), F.lit(0).cast("bigint"))
+    return F.coalesce(tx.largest_in(text, COUNTED), F.lit(0).cast("bigint"))
 
 
 def reliability(study: Column, n: Column, title: Column, journal: Column, year: Column, abstract: Column, category: Column) -> Column:
@@ -216,14 +234,9 @@ def design_score(study: Column, n: Column, duration: Column) -> Column:
     return F.least(F.lit(10.0), _lookup(study, DESIGN_POINTS, F.lit(1.0)) + tx.bracket(n, [(100, 2.0), (50, 1.5), (30, 1.0)], 0.5) + time)
 
 
-def labels(text: Column, table: dict[str, list[str]]) -> Column:
-    """The labels, in the table's order, of which any pattern is found."""
-    return F.array_compact(F.array(*[F.when(text.rlike(any_of(p)), F.lit(k)) for k, p in table.items()]))
-
-
-def primary_goal(text: Column) -> Column:
-    """The goal with most outcome labels; performance, in sport, or general, if more than one has them or none."""
-    names, sport = list(GOALS), text.rlike(SPORT)
+def primary_goal(counts: Column, sport: Column) -> Column:
+    """The goal of ``GOALS`` with most outcome labels; performance, in sport, or general, if more than one has them or none."""
+    names = list(GOALS)
 
     def chosen(n: Column) -> Column:
         most = F.array_max(n)
@@ -231,7 +244,6 @@ def primary_goal(text: Column) -> Column:
         first = F.element_at(F.array(*map(F.lit, names)), F.array_position(n, most).cast("int"))
         return F.when(most == 0, "general").when(single, first).when(sport, "performance").otherwise("general")
 
-    counts = F.array(*[F.size(labels(text, table)) for table in GOALS.values()])
     return F.element_at(F.transform(F.array(counts), chosen), 1)  # counted once, read often
 
 
@@ -275,19 +287,30 @@ def shard(key: Column) -> Column:
     return F.concat_ws("/", F.substring(h, 1, 2), F.substring(h, 3, 2))
 
 
-def on_humans(text: Column) -> Column:
-    """No sign of a study on animals or cells; a null text has none."""
-    return ~F.coalesce(text, F.lit("")).rlike(any_of(NOT_HUMAN))
+def excluded_tables() -> dict[str, dict[str, list[str]]]:
+    """The tables that ``on_humans``, ``usage_survey``, ``clinical`` and ``gated_tags`` look at."""
+    measured = [p for table in MEASURED.values() for p in table]
+    return {"is": {"animal": NOT_HUMAN, "survey": SURVEY, "measured": measured, "nitric": NITRIC_OXIDE, "safety": SAFE, "disease": DISEASE, "clinic": CLINIC, "prevention": PREVENTION, "weight": OBESE, "age": AGED}}
+
 
+def on_humans(signs: Column) -> Column:
+    """No sign of a study on animals or cells."""
+    return ~F.array_contains(signs, "is|animal")
 
-def usage_survey(text: Column) -> Column:
+
+def usage_survey(signs: Column) -> Column:
     """A survey that measures no outcome of training."""
-    t = F.coalesce(text, F.lit(""))
-    return t.rlike(any_of(SURVEY)) & ~t.rlike(any_of([p for table in MEASURED.values() for p in table]))
+    return F.array_contains(signs, "is|survey") & ~F.array_contains(signs, "is|measured")
+
+
+def clinical(signs: Column) -> Column:
+    """A study of patients: a disease, and no word of safety; kept are prevention, weight and old age, unless it is about treatment."""
+    has = lambda x: F.array_contains(signs, f"is|{x}")
+    return has("disease") & ~has("safety") & (has("clinic") | ~(has("prevention") | has("weight") | has("age")))
 
 
-def gated_tags(tags: Column, text: Column) -> Column:
+def gated_tags(tags: Column, signs: Column) -> Column:
     """Tags in lower case with hyphens, distinct and sorted; nitric-oxide only where the text speaks of its sources."""
     plain = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda x: F.replace(F.lower(F.trim(x)), F.lit(" "), F.lit("-")))
-    kept = F.filter(plain, lambda x: (x != "nitric-oxide") | F.coalesce(text, F.lit("")).rlike(any_of(NITRIC_OXIDE)))
+    kept = F.filter(plain, lambda x: (x != "nitric-oxide") | F.array_contains(signs, "is|nitric"))
     return F.array_sort(F.array_distinct(F.array_compact(kept)))

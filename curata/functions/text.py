@@ -42,6 +42,12 @@ def largest_number(text: Column, patterns: list[str]) -> Column:
     return F.array_max(F.concat(*[all_numbers(text, p) for p in patterns]))
 
 
+def largest_in(text: Column, pattern: str) -> Column:
+    """The largest integer, as its only digits, of what a pattern matches; null without a match. One pass over the text."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_max(F.transform(found, lambda x: F.regexp_extract(x, r"\d+", 0).try_cast("bigint")))
+
+
 def bracket(value: Column, limits: list[tuple[float, object]], default: object) -> Column:
     """The result of the first limit that ``value`` reaches (limits from high to low)."""
     out = F.lit(default)

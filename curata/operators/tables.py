@@ -1,4 +1,4 @@
-"""Upserts, snapshots, schema evolution, duplicates, order statistics."""
+"""Upserts, snapshots, schema evolution, duplicates."""
 
 from __future__ import annotations
 
@@ -23,17 +23,6 @@ def backfill(base: DataFrame, updates: DataFrame, key: str, columns: list[str])
     return base.join(u, key, "left").select(*[F.coalesce(x, f"_{x}").alias(x) if x in columns else F.col(x) for x in base.columns])
 
 
-def picks(df: DataFrame, keys: list[str], value: str, at: dict[str, Column]) -> DataFrame:
-    """Values at given places of each group's order: ``at`` maps a name to a place from the count ``n``.
-
-    Places are index picks, not interpolations. Ranks and counts come from windows, which
-    spill, so no group is gathered in memory.
-    """
-    w = Window.partitionBy(*keys)
-    r = df.where(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(w.orderBy(value)) - 1).alias("k"), F.count("*").over(w).alias("n"))
-    return r.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("k") == place, F.col(value))).alias(name) for name, place in at.items()])
-
-
 def duplicated(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 

@@ -14,7 +14,7 @@ from re import _parser
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -109,6 +109,16 @@ def goal_of(text: str, d: Dictionary, metric: re.Pattern, preferred: list[tuple[
     return "performance" if any(c in low for c in cues) else "general"
 
 
+def labels_of(text: str, d: Dictionary) -> list[str]:
+    """Labels of which any pattern is found, in the dictionary's order."""
+    out: dict[str, None] = {}
+    for k in d.candidates(text):
+        label, pattern = d.patterns[k]
+        if label not in out and pattern.search(text):
+            out[label] = None
+    return list(out)
+
+
 def _mapped(df: DataFrame, columns: list[str], name: str, kind: str, of: Callable[..., object]) -> DataFrame:
     """``df`` with ``name`` from ``of``, which takes the values of ``columns``; a column of that name is replaced."""
     keep = [x for x in df.columns if x.lower() != name.lower()]
@@ -140,3 +150,18 @@ def window_goals(df: DataFrame, text: str, table: dict[str, list[str]], metric:
     """
     d, near = Dictionary(table), re.compile(metric, re.IGNORECASE)
     return _mapped(df, [text], name, "string", lambda t: goal_of(t or "", d, near, preferred, cues, reach))
+
+
+def found(df: DataFrame, text: str, tables: dict[str, dict[str, list[str]]], name: str = "found") -> DataFrame:
+    """``df`` with ``table|label`` of every label, in order of tables and labels, of which a pattern is found; a null text has none.
+
+    All tables are looked up in one pass over the text.
+    """
+    d = Dictionary({f"{t}|{label}": patterns for t, table in tables.items() for label, patterns in table.items()})
+    return _mapped(df, [text], name, "array<string>", lambda t: labels_of(t or "", d))
+
+
+def of_table(found: Column, table: str) -> Column:
+    """The labels of one table among ``found``."""
+    prefix = f"{table}|"
+    return F.transform(F.filter(found, lambda x: x.startswith(prefix)), lambda x: F.substring(x, len(prefix) + 1, 1000))

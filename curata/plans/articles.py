@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curata.functions import articles as a
 from curata.functions import text as tx
+from curata.operators import tagging
 from curata.plans.queries import Tables, query
 
 TITLES = ["A randomized placebo-controlled trial of creatine", "Meta-analysis of beta-alanine", "Survey of supplement usage in athletes", "Position stand on taurine", "A review of citrulline", "Longitudinal crossover study", "Editorial", "Double-blind random test", "Notes"]
@@ -97,8 +98,12 @@ SELECT doc_id, round(reliability, 6) AS reliability, round(least(10.0e0, {_case(
   + CASE WHEN contains(duration, 'year') THEN 1.5e0 WHEN contains(duration, 'month') THEN 1.0e0 ELSE 0.5e0 END), 6) AS design FROM s WHERE reliability >= {FLOOR}""")
 def q_reliability(t: Tables) -> DataFrame:
     """Scores of the records that reach the quality floor; the reliability score takes the study type from publication types only."""
-    p = typed(t).withColumn("reliability", a.reliability(a.study_type(F.col("pubtypes")), F.col("n"), F.col("title"), F.col("journal"), F.col("year"), F.col("content"), F.col("category")))
-    return p.where(F.col("reliability") >= FLOOR).select("doc_id", F.round("reliability", 6).alias("reliability"), F.round(a.design_score(F.col("study"), F.col("n"), F.col("duration")), 6).alias("design"))
+    p = typed(t)
+    score = a.reliability(a.study_type(F.col("pubtypes")), F.col("n"), F.col("title"), F.col("journal"), F.col("year"), F.col("content"), F.col("category"))
+    scored = F.struct(score.alias("reliability"), a.design_score(F.col("study"), F.col("n"), F.col("duration")).alias("design"))
+    # As an array's only entry the score is worked out once; a filter on it would be again, for every place that it stands in.
+    kept = p.select("doc_id", F.explode(F.filter(F.array(scored), lambda s: s["reliability"] >= FLOOR)).alias("s"))
+    return kept.select("doc_id", F.round("s.reliability", 6).alias("reliability"), F.round("s.design", 6).alias("design"))
 
 
 _GOAL_SIZES = ", ".join(f"len({_labels('content', table)}) AS {g}" for g, table in a.GOALS.items())
@@ -109,9 +114,18 @@ _MOST = f"greatest({', '.join(a.GOALS)})"
 SELECT doc_id, CASE WHEN most = 0 THEN 'general' WHEN winners = 1 THEN CASE {' '.join(f"WHEN {g} = most THEN '{g}'" for g in a.GOALS)} END WHEN regexp_matches(content, '{a.SPORT}') THEN 'performance' ELSE 'general' END AS primary_goal,
   array_to_string(list_sort({_labels('content', a.OUTCOMES)}), ',') AS outcomes, array_to_string({_labels('content', a.SAFETY)}, ',') AS safety, regexp_matches(content, '{a.any_of(a.SAFETY['side_effects'])}') AS has_side_effects FROM m""")
 def q_goals(t: Tables) -> DataFrame:
-    x = F.col("content")
-    safety = a.labels(x, a.SAFETY)
-    return papers(t).select("doc_id", a.primary_goal(x).alias("primary_goal"), F.array_join(F.array_sort(a.labels(x, a.OUTCOMES)), ",").alias("outcomes"), F.array_join(safety, ",").alias("safety"), F.array_contains(safety, "side_effects").alias("has_side_effects"))
+    """Goals, outcomes and signs of safety, by one pass over each text."""
+    tables = a.GOALS | {"outcomes": a.OUTCOMES, "safety": a.SAFETY, "about": {"sport": [a.SPORT.removeprefix("(?i)")]}}
+    p = tagging.found(papers(t).select("doc_id", "content"), "content", tables)
+    labels = lambda table: tagging.of_table(F.col("found"), table)
+    safety = labels("safety")
+    return p.select(
+        "doc_id",
+        a.primary_goal(F.array(*[F.size(labels(g)) for g in a.GOALS]), F.array_contains("found", "about|sport")).alias("primary_goal"),
+        F.array_join(F.array_sort(labels("outcomes")), ",").alias("outcomes"),
+        F.array_join(safety, ",").alias("safety"),
+        F.array_contains(safety, "side_effects").alias("has_side_effects"),
+    )
 
 
 _DOSES = "list_sort(list_distinct(list_concat(" + ", ".join(f"regexp_extract_all(lower(content), '{p}')" for p in a.DOSES) + ")))"

@@ -7,28 +7,33 @@ from pyspark.sql import functions as F
 
 from curata.functions import articles as a
 from curata.functions import signals
-from curata.operators import banking, limits
+from curata.operators import banking, limits, tagging
 from curata.plans.articles import PAPERS, TYPED, _deal, _list, papers, typed
 from curata.plans.queries import Tables, query
 
 TAGS = ["Nitric Oxide", "creatine", "Beta Alanine", "creatine ", "nitric-oxide", "taurine"]
-NOTES = ["Survey of usage in rats.", "A questionnaire on knowledge; bench press rose.", "Beetroot and nitrates in vitro.", "L-arginine, cross sectional.", "Nothing more.", "Mitochondrial fish oil."]
+NOTES = ["Survey of usage in rats.", "A questionnaire on knowledge; bench press rose.", "Beetroot and nitrates in vitro.", "L-arginine, cross sectional.", "Nothing more.", "Mitochondrial fish oil.", "Treatment of adults with\nheart disease.", "Therapy of older adults with cancer.", "Prevention of diabetes.", "Obesity in children; no harm.", "Pregnant and overweight.", "Stroke."]
 TALK = ["I have High Blood Pressure and take lisinopril.", "Can't sleep, so anxious.", "On Zoloft and warfarin, with CKD.", "No problems.", "Blood sugar is high; my mood is low.", "A beta blocker and a blood thinner for heart disease."]
 OUTCOMES = ["Improved power", "worsened sleep", "no change", "Adverse but increased", "harmful"]
 GOALS, ITEMS = ["strength", "muscle_gain", "endurance", "weight_loss", "performance", "general"], ["creatine", "caffeine", "nitrate", "citrulline", "taurine", "zma", "hmb"]
 _AT = lambda values, k: f"{_list(values)}[({k}) % {len(values)} + 1]"
+_HAS = lambda name: f"regexp_matches(x, '{a.any_of(getattr(a, name))}')"
 _MEASURED = a.any_of([p for table in a.MEASURED.values() for p in table])
 
 
 @query(f"""WITH {PAPERS}, n AS (SELECT doc_id, content || chr(10) || {_AT(NOTES, "doc_id // 3")} AS x FROM papers),
 t AS (SELECT *, [replace(lower(trim({_AT(TAGS, "doc_id")})), ' ', '-'), replace(lower(trim({_AT(TAGS, "doc_id + 1")})), ' ', '-'), replace(lower(trim({_AT(TAGS, "doc_id + 3")})), ' ', '-')] AS tags FROM n)
 SELECT doc_id, NOT regexp_matches(x, '{a.any_of(a.NOT_HUMAN)}') AS on_humans, regexp_matches(x, '{a.any_of(a.SURVEY)}') AND NOT regexp_matches(x, '{_MEASURED}') AS usage_survey,
+  {_HAS("DISEASE")} AND NOT {_HAS("SAFE")} AND ({_HAS("CLINIC")} OR NOT ({_HAS("PREVENTION")} OR {_HAS("OBESE")} OR {_HAS("AGED")})) AS clinical,
   array_to_string(list_sort(list_distinct(list_filter(tags, lambda z: z <> 'nitric-oxide' OR regexp_matches(x, '{a.any_of(a.NITRIC_OXIDE)}')))), ',') AS tags FROM t""")
 def q_exclusions(t: Tables) -> DataFrame:
-    k, x = F.col("doc_id"), F.col("x")
+    """What excludes a study, and the gate of its tags, by one pass over each text."""
+    k = F.col("doc_id")
     d = papers(t).select("doc_id", F.concat("content", F.lit("\n"), _deal(NOTES, F.floor(k / 3))).alias("x"))
     tags = F.array(_deal(TAGS, k), _deal(TAGS, k + 1), _deal(TAGS, k + 3))
-    return d.select("doc_id", a.on_humans(x).alias("on_humans"), a.usage_survey(x).alias("usage_survey"), F.array_join(a.gated_tags(tags, x), ",").alias("tags"))
+    signs = F.col("signs")
+    d = tagging.found(d, "x", a.excluded_tables(), "signs")
+    return d.select("doc_id", a.on_humans(signs).alias("on_humans"), a.usage_survey(signs).alias("usage_survey"), a.clinical(signs).alias("clinical"), F.array_join(a.gated_tags(tags, signs), ",").alias("tags"))
 
 
 def _said(x: str, table: dict[str, list[str]]) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curata.functions import text as tx
-from curata.operators import chunks, corpus, evidence, search, tables
+from curata.operators import chunks, corpus, evidence, search, selection, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,7 +106,7 @@ SELECT l_suppkey, CAST(max(n) AS BIGINT) AS n, min(v) AS low, max(CASE WHEN k =
 def q_order_stats(t: Tables) -> DataFrame:
     n = F.col("n")
     at = {"low": F.lit(0), "median": F.floor(n / 2), "p75": F.floor(n * 0.75), "high": n - 1}
-    return tables.picks(t("lineitem"), ["l_suppkey"], "l_extendedprice", at)
+    return selection.picks(t("lineitem"), ["l_suppkey"], "l_extendedprice", at)
 
 
 @query("""WITH r AS (SELECT p_brand, CAST(p_size AS DOUBLE) / 10 AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_size) - 1 AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
@@ -114,7 +114,7 @@ g AS (SELECT p_brand, CAST(max(n) AS BIGINT) AS n, max(CASE WHEN k = n // 4 THEN
 SELECT p_brand, n, CASE WHEN n < 100 THEN greatest(1.5, round(p25, 2)) ELSE greatest(2.0, round(p50, 2)) END AS threshold FROM g""")
 def q_thresholds(t: Tables) -> DataFrame:
     p = t("part").withColumn("v", F.col("p_size").cast("double") / 10)
-    s = tables.picks(p, ["p_brand"], "v", {"p25": F.floor(F.col("n") / 4), "p50": F.floor(F.col("n") / 2)})
+    s = selection.picks(p, ["p_brand"], "v", {"p25": F.floor(F.col("n") / 4), "p50": F.floor(F.col("n") / 2)})
     return s.select("p_brand", "n", F.when(F.col("n") < 100, F.greatest(F.lit(1.5), F.round("p25", 2))).otherwise(F.greatest(F.lit(2.0), F.round("p50", 2))).alias("threshold"))
 
 

@@ -92,7 +92,8 @@ SELECT doc_id, inferred, CASE WHEN own <> 'general' THEN own ELSE inferred END A
 def q_window_goals(t: Tables) -> DataFrame:
     """The goal that stands near a word of measurement, and the record's own goal, if not general, before it."""
     found = tagging.window_goals(noted(t), "content", a.MEASURED, supplements.METRIC, supplements.PREFERRED, supplements.EXERCISE, name="inferred")
-    own = a.primary_goal(F.col("content"))
+    found = tagging.found(found, "content", a.GOALS | {"about": {"sport": [a.SPORT.removeprefix("(?i)")]}})
+    own = a.primary_goal(F.array(*[F.size(tagging.of_table(F.col("found"), g)) for g in a.GOALS]), F.array_contains("found", "about|sport"))
     return found.withColumn("own", own).select("doc_id", "inferred", F.when(F.col("own") != "general", F.col("own")).otherwise(F.col("inferred")).alias("goal"))
 
 

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from curata.functions import articles as a
 from curata.functions import signals
-from curata.operators import banking, limits
+from curata.operators import banking, limits, tagging
 from pyspark.sql import functions as F
 
 PAPER = "goal string, item string, id long, study string, outcomes string, quality double, reliability double, title string"
@@ -45,11 +45,17 @@ def test_reset_quota_against_a_loop(spark):
 def test_exclusions_and_tags(spark):
     rows = [(1, "Rats were fed", ["Nitric Oxide", "A b"]), (2, "A rating of citrulline", [" nitric-oxide", "a-b", "A B"]), (3, None, None), (4, "Questionnaire", []), (5, "Survey of squat", ["x", None])]
     df = spark.createDataFrame(rows, "id int, text string, tags array<string>")
-    x = F.col("text")
+    df, x = tagging.found(df, "text", a.excluded_tables(), "signs"), F.col("signs")
     got = {r.id: (r.h, r.s, r.t) for r in df.select("id", a.on_humans(x).alias("h"), a.usage_survey(x).alias("s"), a.gated_tags(F.col("tags"), x).alias("t")).collect()}
     assert got == {1: (False, False, ["a-b"]), 2: (True, False, ["a-b", "nitric-oxide"]), 3: (True, False, []), 4: (True, True, []), 5: (True, False, ["x"])}
 
 
+def test_studies_of_patients(spark):
+    rows = {"treatment of heart\ndisease": False, "treatment of heart disease; aging": True, "Treatment of liver disease in older adults": True, "Prevention of diabetes": False, "obesity in children": False, "Children": True, "Cancer, an adverse event": False, "Stroke in the elderly": False, "patients with\ncancer": True, "": False, None: False}
+    df = tagging.found(spark.createDataFrame([(t,) for t in rows], "text string"), "text", a.excluded_tables(), "signs")
+    assert {r.text: r.c for r in df.select("text", a.clinical(F.col("signs")).alias("c")).collect()} == rows
+
+
 def test_signals_are_ordered_and_null_says_nothing(spark):
     df = spark.createDataFrame([(1, "CKD"), (1, "so anxious"), (2, None), (3, "")], "c int, x string")
     got = {r.c: (r.conditions, r.meds) for r in signals.by_conversation(df, "c", "x", {"conditions": signals.CHAT_CONDITIONS, "meds": signals.CHAT_MEDICINES}).collect()}

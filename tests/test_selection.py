@@ -20,8 +20,9 @@ def test_against_sorted_groups(spark, monkeypatch):
         x.sort()
         n = len(x)
         want[k] = (n, x[0], x[n // 2], x[int(n * 0.75)], x[-1], None, None)
-    for sent in (100_000, 0):
+    for sent, few in ((100_000, 1), (0, 1024), (100_000, 50)):
         monkeypatch.setattr(selection, "SENT_ROWS", sent)
+        monkeypatch.setattr(selection, "FEW", few)
         df = spark.createDataFrame([(*x, 1) for x in rows], "g string, x double, low int").repartition(5)
         got = {x.g: tuple(x)[1:] for x in selection.picks(df, ["g"], "x", at).collect()}
         assert got == want

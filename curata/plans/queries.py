@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curata.functions import text as tx
@@ -370,6 +370,12 @@ _STOP = rf"(?:{'|'.join(_END)})\s*{_COLON}?"
 _HEADERS = ["Abstract", "1. INTRODUCTION", "Materials and Methods:", "RESULTS", "Discussion and Conclusions", "FUNDING", "2 Study design", "In conclusion:", "Author Information", "Some words that are no header", "Key Takeaways:", ""]
 
 
+def headed() -> Column:
+    """A document's text with headers before its paragraphs."""
+    header = lambda i: F.element_at(F.array(*map(F.lit, _HEADERS)), (F.pmod(F.col("doc_id") + i + 1, F.lit(len(_HEADERS))) + 1).cast("int"))
+    return F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(header(i), F.lit("\n"), x)), "\n")
+
+
 @query(rf"""WITH b AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: [{", ".join(f"'{h}'" for h in _HEADERS)}][(doc_id + i) % {len(_HEADERS)} + 1] || chr(10) || x) AS x FROM documents),
 l AS (SELECT doc_id, string_split(array_to_string(x, chr(10)), chr(10)) AS p, length(array_to_string(x, chr(10))) AS n FROM b), e AS (SELECT doc_id, n, unnest(p) AS line, unnest(range(0, len(p))) AS k FROM l),
 o AS (SELECT doc_id, n, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s, k, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM e),
@@ -379,9 +385,7 @@ h AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start),
 SELECT doc_id, k AS line_no, s AS title, start, section_end FROM h WHERE NOT is_stop""")
 def q_article_sections(t: Tables) -> DataFrame:
     """Sections of texts whose paragraphs have headers before them."""
-    header = lambda i: F.element_at(F.array(*map(F.lit, _HEADERS)), (F.pmod(F.col("doc_id") + i + 1, F.lit(len(_HEADERS))) + 1).cast("int"))
-    text = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(header(i), F.lit("\n"), x)), "\n")
-    docs = t("documents").select("doc_id", text.alias("text")).withColumn("n", F.length("text").cast("long"))
+    docs = t("documents").select("doc_id", headed().alias("text")).withColumn("n", F.length("text").cast("long"))
     heads = chunks.headers(chunks.lines(docs, "text", ["doc_id", "n"]), _COMMON, _TARGET, _STOP, _COLON)
     return chunks.sections(heads, "doc_id", "n").where("NOT is_stop").select("doc_id", "line_no", "title", "start", "section_end")
 

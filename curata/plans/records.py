@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from curata.functions import articles as a
 from curata.functions import supplements
-from curata.operators import json_cards, tagging
+from curata.operators import json_cards, paper_chunks, tagging
+from curata.plans import queries as curation
 from curata.plans.articles import PUBTYPES, TITLES, _deal, _list
 from curata.plans.queries import Tables, query
 from curata.sources import xml_records
@@ -120,7 +121,7 @@ def xml_of(t: Tables) -> DataFrame:
     return d.select("doc_id", F.when(k % 13 == 4, F.substring(xml, F.lit(1), F.length(xml) - 30)).otherwise(xml).alias("xml"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, doc_id % 13 = 4 AS bad, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts, lang, source FROM documents)
+@query(f"""WITH d AS (SELECT doc_id, doc_id % 13 = 4 AS bad, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS parts, lang, source FROM documents)
 SELECT doc_id, CASE WHEN NOT bad THEN CAST(doc_id + 1000 AS VARCHAR) END AS pmid, CASE WHEN bad THEN '' ELSE {_list(TITLES)}[doc_id % {len(TITLES)} + 1] || ' & more' END AS title, sha256(CASE WHEN bad THEN '' ELSE array_to_string(parts, ' ') END) AS abstract_digest,
   CASE WHEN bad THEN '' WHEN doc_id % 5 = 0 THEN lang ELSE source END AS journal, CAST(CASE WHEN bad THEN NULL WHEN doc_id % 3 = 0 THEN 2000 + doc_id % 20 WHEN doc_id % 3 = 1 THEN 1990 + doc_id % 30 END AS INTEGER) AS year,
   CASE WHEN NOT bad AND doc_id % 4 = 1 THEN '10.1/' || doc_id END AS doi, CASE WHEN bad THEN '' ELSE {_list(PUBTYPES)}[doc_id % {len(PUBTYPES)} + 1] || ',Journal Article' END AS pubtypes, CASE WHEN bad THEN '' ELSE lang || ',' || source END AS keywords,
@@ -153,8 +154,8 @@ for _pattern, _to in ((r"\[\s*(?:,\s*)*\]", ""), (r"\(\s*(?:,\s*)*\)", ""), (r"\
     _CLEANED = f"regexp_replace({_CLEANED}, '{_pattern}', {'chr(10)' if _to == chr(10) else f"'{_to}'"}, 'g')"
 
 
-@query(f"""WITH l AS (SELECT doc_id, lang, source, n_chars, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS x FROM documents),
-p AS (SELECT doc_id, lang, list_concat(['TITLE:', {_list(TITLES)}[doc_id % {len(TITLES)} + 1], 'ABSTRACT:', 'On “' || lang || '” texts ;; in short', 'METHODS:'], list_transform(list_filter(x, lambda z: length(z) > {xml_records.SHORT}), lambda z: regexp_replace(z, '\s+', ' ', 'g')),
+@query(f"""WITH l AS (SELECT doc_id, lang, source, n_chars, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS x FROM documents),
+p AS (SELECT doc_id, lang, list_concat(['TITLE:', {_list(TITLES)}[doc_id % {len(TITLES)} + 1], 'ABSTRACT:', 'On “' || lang || '” texts ;; in short', 'METHODS:'], list_transform(list_filter(x, lambda z: length(z) > {xml_records.SHORT}), lambda z: regexp_replace(z, '\\s+', ' ', 'g')),
   ['TABLE: Rows of ' || source, 'lang | chars', lang || ' | ' || n_chars, '± 3 °', 'FIGURE: A figure [ , ] of it .']) AS pieces FROM l),
 c AS (SELECT doc_id, CASE WHEN doc_id % 11 = 2 THEN 'no article' || lang ELSE {_CLEANED} END AS x FROM p) SELECT doc_id, doc_id % 11 <> 2 AS is_article, CAST(length(x) AS BIGINT) AS n_chars, sha256(x) AS digest FROM c""")
 def q_article_text(t: Tables) -> DataFrame:
@@ -239,3 +240,33 @@ def q_card_heuristics(t: Tables) -> DataFrame:
     s = d.select("doc_id", _deal(METHODS, k).alias("methods"), abstract.alias("abstract"), _deal(RESULTS, F.floor(k / 2)).alias("results"), _deal(DISCUSSION, F.floor(k / 3)).alias("discussion"), _deal(NAMED, F.floor(k / 5)).alias("term"), _deal(AIMS, F.floor(k / 7)).alias("goal"), F.col("lang").alias("title"), F.col("source").alias("journal"))
     card = json_cards.assembled(json_cards.heuristics(s, "methods", "abstract", "results", "discussion", "term"), "term", "goal", "title", "journal")
     return card.select("doc_id", "n", "duration_weeks", F.round("dose_g_per_day", 6).alias("dose_g_per_day"), "direction", "span_start", "safety_notes", "summary", F.array_join("keywords", ",").alias("keywords"), "confidence")
+
+
+HEADERS = paper_chunks.Headers(curation._TARGET, curation._STOP, curation._COLON, tuple(curation._COMMON))
+_CLEAN = lambda x: rf"regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(coalesce({x}, ''), '\r\n?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), ' '), '\s*\[\d+(?:\s*[,-]\s*\d+)*\]', '', 'g')"
+_HEADING_SQL = " ".join(f"WHEN regexp_matches(lower(title), '{p}') THEN '{label}'" for p, label in a.HEADINGS)
+
+
+@query(rf"""WITH b AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: [{", ".join(f"'{h}'" for h in curation._HEADERS)}][(doc_id + i) % {len(curation._HEADERS)} + 1] || chr(10) || x) AS x, text FROM documents),
+d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE {_CLEAN("substr(text, 1, 3000)")} END AS abs, CASE WHEN doc_id % 6 = 1 THEN {_CLEAN("text")} ELSE {_CLEAN("array_to_string(x, chr(10))")} END AS whole, doc_id % 9 = 5 AS brief FROM b),
+p AS (SELECT *, NOT brief AND whole <> '' AND NOT (abs <> '' AND regexp_replace(abs, '^\s+|\s+$', '', 'g') = regexp_replace(whole, '^\s+|\s+$', '', 'g')) AS cut FROM d),
+l AS (SELECT doc_id, whole, string_split(whole, chr(10)) AS p, length(whole) AS n FROM p WHERE cut), e AS (SELECT doc_id, n, whole, unnest(p) AS line, unnest(range(0, len(p))) AS k FROM l),
+o AS (SELECT doc_id, n, whole, length(line) AS size, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM e),
+c AS (SELECT *, CASE WHEN ends_with(s, ':') AND contains(lower(s), 'conclusion') THEN false WHEN regexp_full_match(s, '{curation._STOP}', 'i') THEN true WHEN regexp_full_match(s, '{curation._TARGET}', 'i') THEN false END AS is_stop FROM o
+  WHERE length(s) BETWEEN 1 AND 140 AND (regexp_matches(s, '{curation._COLON}$') OR regexp_matches(s, '^[0-9]+\.*( |$)') OR (length(regexp_replace(s, '\P{{L}}', '', 'g')) >= 4 AND length(regexp_replace(s, '\P{{Lu}}', '', 'g')) >= 0.6 * length(regexp_replace(s, '\P{{L}}', '', 'g'))) OR lower(s) IN ({", ".join(f"'{w}'" for w in curation._COMMON)}))),
+h AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), n) AS stop FROM c WHERE is_stop IS NOT NULL),
+s AS (SELECT doc_id, s AS title, CASE {_HEADING_SQL.replace('title', 's')} ELSE 'other' END AS norm, 2400 AS size, 200 AS lap, substr(whole, least(start + size + 1, n) + 1, greatest(stop - least(start + size + 1, n), 0)) AS body FROM h WHERE NOT is_stop),
+f AS (SELECT doc_id, title, norm, size, lap, body FROM s WHERE norm <> 'abstract' AND regexp_matches(body, '\S')
+  UNION ALL SELECT doc_id, 'Body', 'other', 2400, 200, regexp_replace(whole, '^\s+|\s+$', '', 'g') FROM l WHERE doc_id NOT IN (SELECT doc_id FROM h)
+  UNION ALL SELECT doc_id, 'Abstract', 'abstract', CASE WHEN length(abs) <= 1750 THEN greatest(length(abs), 1) ELSE 1400 END, CASE WHEN length(abs) <= 1750 THEN 0 ELSE 150 END, abs FROM p WHERE abs <> ''),
+w AS (SELECT doc_id, title, norm, body, size, unnest(range(0, CAST(greatest(1, ceil((length(body) - lap) / CAST(size - lap AS DOUBLE))) AS BIGINT))) * (size - lap) AS pos FROM f WHERE length(body) > 0),
+g AS (SELECT doc_id, count(*) FILTER (WHERE norm IN ('methods', 'results')) = 0 AND count(*) FILTER (WHERE norm IN ('abstract', 'introduction', 'discussion')) > 0 AND count(*) >= 3 AS review, count(*) FILTER (WHERE norm = 'results') > 0 AS eligible FROM w GROUP BY 1)
+SELECT w.doc_id, title AS section, norm AS section_norm, CAST(pos AS BIGINT) AS start, CAST(least(pos + size, length(body)) AS BIGINT) AS "end", sha256(substr(body, CAST(pos + 1 AS BIGINT), CAST(size AS BIGINT))) AS digest, CASE WHEN review THEN 'narrative_review' END AS doc_kind, eligible FROM w JOIN g ON g.doc_id = w.doc_id""")
+def q_paper_chunks(t: Tables) -> DataFrame:
+    """Chunks of papers by abstract and headers, relabelled by what sections there are."""
+    k = F.col("doc_id")
+    d = t("documents").select("doc_id", curation.headed().alias("text"), F.col("text").alias("plain"))
+    abstract = F.when(k % 4 == 0, "").otherwise(F.substring("plain", 1, 3000))
+    body = F.when(k % 6 == 1, F.col("plain")).otherwise(F.col("text"))
+    made = paper_chunks.chunked(d.select("doc_id", abstract.alias("abstract"), body.alias("body"), (k % 9 == 5).alias("only")), "doc_id", "abstract", "body", "only", HEADERS)
+    return made.select("doc_id", "section", "section_norm", "start", "end", F.sha2("text", 256).alias("digest"), "doc_kind", "eligible")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions import articles as a
 from curata.functions import signals
-from curata.operators import banking, limits, tagging
+from curata.operators import banking, corpus, limits, tagging
 from curata.plans.articles import PAPERS, TYPED, _deal, _list, papers, typed
 from curata.plans.queries import Tables, query
+from curata.sources.files import cut
 
 TAGS = ["Nitric Oxide", "creatine", "Beta Alanine", "creatine ", "nitric-oxide", "taurine"]
 NOTES = ["Survey of usage in rats.", "A questionnaire on knowledge; bench press rose.", "Beetroot and nitrates in vitro.", "L-arginine, cross sectional.", "Nothing more.", "Mitochondrial fish oil.", "Treatment of adults with\nheart disease.", "Therapy of older adults with cancer.", "Prevention of diabetes.", "Obesity in children; no harm.", "Pregnant and overweight.", "Stroke."]
@@ -86,3 +87,47 @@ SELECT event_id, user_id, CAST(period AS INTEGER) AS period, CAST(used AS INTEGE
 def q_reset_quota(t: Tables) -> DataFrame:
     """Ten uses within five days of a period's first use; the next period begins with the first use after them."""
     return limits.admitted(t("events"), "user_id", "ts", "event_id", 10, 5)
+
+
+_SUPPLIES = ["creatine", " caffeine", "", "taurine", "zma"]
+_PAIRED = f"""{TYPED}, x AS (SELECT doc_id, list_distinct(list_filter(list_transform([{_AT(_SUPPLIES, "doc_id")}, {_AT(_SUPPLIES, "doc_id // 3 + 1")}], lambda z: trim(z)), lambda z: z <> '')) AS tags, CASE WHEN doc_id % 6 = 0 THEN '' ELSE {_AT(GOALS, "doc_id // 2")} END AS goal,
+  CASE WHEN doc_id % 7 = 0 THEN '' ELSE {_AT(["trained males", "elderly", "females"], "doc_id")} END AS population, study, lower(journal) AS journal, category, CASE WHEN doc_id % 3 = 0 THEN 'power' ELSE '' END AS outcomes, (doc_id % 13)::DOUBLE AS reliability FROM kinds),
+e AS (SELECT doc_id, category, 'supplement_goal' AS family, unnest(tags) || '_' || goal AS combo FROM x WHERE goal <> '' UNION ALL SELECT doc_id, category, 'supplement_population', unnest(tags) || '_' || population FROM x WHERE population <> ''
+  UNION ALL SELECT doc_id, category, 'goal_population', goal || '_' || population FROM x WHERE goal <> '' AND population <> '' UNION ALL SELECT doc_id, category, 'study_type_goal', study || '_' || goal FROM x WHERE study <> '' AND goal <> ''
+  UNION ALL SELECT doc_id, category, 'journal_supplement', journal || '_' || unnest(tags) FROM x WHERE journal <> ''),
+n AS (SELECT count(*) AS total FROM x), c AS (SELECT family, combo, CAST(count(*) AS BIGINT) AS n FROM e WHERE category <> 'observational_usage' GROUP BY 1, 2),
+w AS (SELECT family, combo, c.n, CASE WHEN q > 5 THEN -4.0e0 WHEN q > 3 THEN -2.0e0 WHEN q > 2 THEN -1.0e0 WHEN q > 1 THEN 0.0e0 WHEN q > 0.5 THEN 1.5e0 ELSE 3.0e0 END AS weight FROM (SELECT c.*, CAST(c.n AS DOUBLE) / total / CASE WHEN total < 100 THEN 0.10e0 WHEN total < 1000 THEN 0.05e0 ELSE 0.01e0 END AS q FROM c, n) AS c)"""
+
+
+def _paired(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Records with the fields of the five families, and the weights of their pairs; usage surveys aren't counted, but are in the total."""
+    k = F.col("doc_id")
+    tags = F.array_distinct(F.filter(F.transform(F.array(_deal(_SUPPLIES, k), _deal(_SUPPLIES, F.floor(k / 3) + 1)), F.trim), lambda x: x != ""))
+    x = typed(t).select(
+        "doc_id", tags.alias("tags"), F.when(k % 6 == 0, "").otherwise(_deal(GOALS, F.floor(k / 2))).alias("goal"), F.when(k % 7 == 0, "").otherwise(_deal(["trained males", "elderly", "females"], k)).alias("population"),
+        "study", "journal", "category", F.when(k % 3 == 0, "power").otherwise("").alias("outcomes"), (k % 13).cast("double").alias("reliability"), F.size(tags).alias("breadth"),
+    )
+    x = cut(x)
+    counts = corpus.combination_counts(x.where("category <> 'observational_usage'"), _pairs())
+    return x, corpus.combination_weights(counts, x.count())
+
+
+def _pairs() -> Column:
+    return corpus.paper_pairs("tags", "goal", "population", "study", "journal")
+
+
+@query(f"WITH {_PAIRED} SELECT family, combo, n, weight FROM w")
+def q_family_weights(t: Tables) -> DataFrame:
+    """How often the pairs of five families occur, and their weights."""
+    return _paired(t)[1].select("family", "combo", "n", "weight")
+
+
+@query(f"""WITH {_PAIRED}, s AS (SELECT x.*, coalesce(s, 0e0) AS s FROM x LEFT JOIN (SELECT doc_id, sum(weight) AS s FROM e JOIN w USING (family, combo) GROUP BY 1) USING (doc_id)),
+g AS (SELECT doc_id, reliability, CASE WHEN category = 'observational_usage' OR outcomes = '' AND category NOT IN ('intervention', 'meta_analysis', 'systematic_review') THEN 0e0 WHEN s > 0 THEN least(s / sqrt(greatest(len(tags), 1)::DOUBLE), 5.0e0, 0.3e0 * reliability) ELSE s END AS c FROM s)
+SELECT doc_id, round(c, 6) AS combination_score, round(reliability + c, 6) AS enhanced_score FROM g ORDER BY round(reliability + c, 6) DESC, doc_id LIMIT 100""")
+def q_enhanced_top(t: Tables) -> DataFrame:
+    """The hundred best records by reliability and gated combination score."""
+    x, weights = _paired(t)
+    scores = corpus.combination_scores(x, "doc_id", _pairs(), weights, "breadth", "reliability", corpus.gated(F.col("category"), F.col("outcomes")))
+    out = scores.join(x.select("doc_id", "reliability"), "doc_id").select("doc_id", F.round("combination_score", 6).alias("combination_score"), F.round(F.col("reliability") + F.col("combination_score"), 6).alias("enhanced_score"))
+    return out.orderBy(F.desc("enhanced_score"), "doc_id").limit(100)

@@ -179,7 +179,17 @@ def q_combination_scores(t: Tables) -> DataFrame:
     return corpus.combination_scores(docs, "doc_id", _COMBOS, weights, "breadth", "reliability").select("doc_id", F.round("combination_score", 6).alias("combination_score"))
 
 
-@query()
+_ELIMINATED = """d AS (SELECT doc_id, source || '|' || lang AS a, lang || '|' || size AS b, source || '|' || size AS c, n_chars / 500.0e0 AS r FROM (SELECT *, CASE WHEN n_chars >= 4000 THEN 'large' WHEN n_chars >= 1000 THEN 'medium' ELSE 'small' END AS size FROM documents)),
+p1 AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS x, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS y FROM documents),
+kept AS (SELECT doc_id FROM p1 WHERE x <= 2 OR y <= 1)"""
+_WEIGHT = "CASE WHEN {x} > 5 THEN -4.0e0 WHEN {x} > 3 THEN -2.0e0 WHEN {x} > 2 THEN -1.0e0 WHEN {x} > 1 THEN 0.0e0 WHEN {x} > 0.5 THEN 1.5e0 ELSE 3.0e0 END"
+_SHARE = "CAST(count(*) OVER (PARTITION BY round, {x}) AS DOUBLE) / count(*) OVER (PARTITION BY round) / CASE WHEN count(*) OVER (PARTITION BY round) < 100 THEN 0.10e0 WHEN count(*) OVER (PARTITION BY round) < 1000 THEN 0.05e0 ELSE 0.01e0 END"
+
+
+@query(f"""WITH RECURSIVE {_ELIMINATED}, r AS (SELECT 0 AS round, d.*, kept.doc_id IS NOT NULL AS safe FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+UNION ALL SELECT round + 1, doc_id, a, b, c, r, safe FROM (SELECT *, row_number() OVER (PARTITION BY safe ORDER BY score + r, doc_id) AS place, count(*) OVER () AS n, count(*) FILTER (WHERE NOT safe) OVER () AS free FROM (SELECT *, CASE WHEN s > 0 THEN least(s / 2.0e0, 5.0e0, 0.3e0 * r) ELSE s END AS score FROM
+  (SELECT *, {" + ".join(_WEIGHT.format(x=f"s{x}") for x in "abc")} AS s FROM (SELECT *, {", ".join(f"{_SHARE.format(x=x)} AS s{x}" for x in "abc")} FROM r)))) WHERE n > 150 AND free > 0 AND (safe OR place > least(1000, n - 150)))
+SELECT doc_id FROM r WHERE round = (SELECT max(round) FROM r)""")
 def q_diversity_elimination(t: Tables) -> DataFrame:
     docs = _sized(t)
     order = [F.desc("reliability"), F.asc("doc_id")]

@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from curata.sources.files import cut
+
 SIMPLE, TARGET, DEPTH = 9_999, 8_000, 3
 _CONTROL = re.compile("[\x00-\x1f\x7f-\x9f]")
 DAY = timedelta(days=1)
@@ -200,7 +202,7 @@ def batches(ids: DataFrame, key: str, size: int = 50) -> DataFrame:
     Keys are numbered within ranges that Spark deals out, and a range's first number is the
     count of the ranges before, so no task sees all keys.
     """
-    ranged = ids.select(key).distinct().repartitionByRange(key).select(key, F.spark_partition_id().alias("_part")).sortWithinPartitions(key)
+    ranged = cut(ids.select(key).distinct().repartitionByRange(key).select(key, F.spark_partition_id().alias("_part")))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
     counts = ranged.groupBy("_part").agg(F.count("*").alias("n"))
     before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("before"))  # one row a range

@@ -4,7 +4,7 @@ import math
 
 import duckdb
 import pytest
-from curata.plans import advice, articles, banking, guardrails, records, stores  # noqa: F401  (they register queries)
+from curata.plans import advice, articles, banking, guardrails, records, reports, stores  # noqa: F401  (they register queries)
 from curata.plans.queries import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"

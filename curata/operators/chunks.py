@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,13 +22,27 @@ def windows(df: DataFrame, text: str, size: int, overlap: int, keep: list[str])
 
 
 def lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep, line_no, start, end, line`` of each line, with offsets in the text."""
-    rows = df.select(*keep, F.col(text).alias("_l"), F.monotonically_increasing_id().alias("_row"))
-    parts = rows.select(*keep, "_row", F.posexplode(F.split("_l", "\n")).alias("line_no", "line"))
-    before = Window.partitionBy("_row").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0).cast("long"))
-    at = parts.select(*keep, F.col("line_no").cast("long").alias("line_no"), start.alias("start"), "line")
-    return at.select(*keep, "line_no", "start", (F.col("start") + F.length("line")).alias("end"), "line")
+    """``keep, line_no, start, end, line`` of each line, with offsets in the text; a null text has none.
+
+    A task sums the offsets of each text as it cuts it, so nothing is shuffled.
+    """
+    out = df.select(*keep).schema.add("line_no", "long").add("start", "long").add("end", "long").add("line", "string")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                cut = [None if t is None else t.split("\n") for t in batch.column("_text").to_pylist()]
+                rows = np.repeat(np.arange(len(cut)), [len(x or ()) for x in cut])
+                found = [line for x in cut if x for line in x]
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                first = np.searchsorted(rows, rows)  # each line's first line of its text
+                upto = np.cumsum(sizes + 1)
+                start = upto - sizes - 1 - (upto - sizes - 1)[first]
+                taken = [batch.column(x).take(pa.array(rows)) for x in keep]
+                yield pa.RecordBatch.from_arrays([*taken, pa.array(np.arange(len(rows)) - first), pa.array(start), pa.array(start + sizes), pa.array(found, pa.string())], names=out.names)
+
+    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(apply, out)
 
 
 def article_gate(html: Column, tags: list[str], words: list[str], least: int, hits: int) -> tuple[Column, Column]:

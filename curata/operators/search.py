@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curata.sources.files import cut
+
 QUERY_BLOCK = 256
+#: Rows up to which a side of a join is sent to all tasks.
+SENT_ROWS = 200_000
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """``df``, cut, to be broadcast if it is small enough, else to be shuffled."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -47,23 +58,30 @@ def bm25_each(df: DataFrame, key: str, text: str, queries: DataFrame, query_key:
     Scores are rounded to 6 places before they rank; ties go to the smaller ``key``, which is unique.
     """
     split = lambda x: F.filter(F.split(F.lower(F.coalesce(F.col(x), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    asked = queries.select(query_key, F.explode(F.array_distinct(split(query_text))).alias("term"))
+    asked = cut(queries.select(query_key, F.explode(F.array_distinct(split(query_text))).alias("term")))
     words = df.select(key, split(text).alias("_w")).withColumn("len", F.size("_w").cast("double"))
     stats = words.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"))
-    tf = words.select(key, "len", F.explode("_w").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term").groupBy(key, "len", "term").agg(F.count("*").cast("double").alias("tf"))
+    tf = words.select(key, "len", F.explode("_w").alias("term")).join(_sent(asked.select("term").distinct()), "term").groupBy(key, "len", "term").agg(F.count("*").cast("double").alias("tf"))
+    tf = cut(tf)
     held = tf.groupBy("term").agg(F.count("*").cast("double").alias("d"))
-    each = tf.join(F.broadcast(held), "term").crossJoin(F.broadcast(stats))
+    each = tf.join(_sent(held), "term").crossJoin(F.broadcast(stats))  # stats are one row
     gain = F.log(1 + (F.col("n") - F.col("d") + 0.5) / (F.col("d") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    scores = each.select(key, "term", gain.alias("gain")).join(F.broadcast(asked), "term").groupBy(query_key, key).agg(F.round(F.sum("gain"), 6).alias("score"))
+    scores = each.select(key, "term", gain.alias("gain")).join(_sent(asked), "term").groupBy(query_key, key).agg(F.round(F.sum("gain"), 6).alias("score"))
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key))
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_key, "rank", key, "score")
 
 
+def _equal(i: int) -> Callable[[Column], Column]:
+    return lambda x: x == i
+
+
 def bm25(df: DataFrame, key: str, text: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``key, score`` of rows that hold any of ``terms`` as lower-case words."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
-    times = lambda term: F.size(F.filter(words, lambda x: x == term)).cast("double")
-    counted = df.select(key, F.size(words).cast("double").alias("len"), *[times(t).alias(f"_{i}") for i, t in enumerate(terms)])
+    # Words are split once, and the table of counts is read twice.
+    at = F.create_map(*[F.lit(x) for i, t in enumerate(terms) for x in (t, i)])
+    kept = F.transform(words, lambda x: F.coalesce(F.try_element_at(at, x), F.lit(-1)))
+    counted = cut(df.select(key, kept.alias("_w")).select(key, F.size("_w").cast("double").alias("len"), *[F.size(F.filter("_w", _equal(i))).cast("double").alias(f"_{i}") for i in range(len(terms))]))
     stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"_{i}") > 0).cast("double")).alias(f"d{i}") for i in range(len(terms))])
     total = F.lit(0.0)
     for i in range(len(terms)):

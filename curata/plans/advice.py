@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curata.operators import plans
 from curata.operators import suitability as s
 from curata.plans.articles import _deal, _list
 from curata.plans.queries import Tables, query
@@ -102,3 +103,31 @@ def q_bank_levels(t: Tables) -> DataFrame:
         F.concat_ws(" ", "source", (k % 9).cast("string")).alias("title"), (F.col("n_chars") % 17).alias("quality"), k.alias("paper_id"),
     )
     return s.bank_levels(s.profile_grid(d.sparkSession), items, base, evidence)
+
+
+TALK = ["Is Creatine HCl or whey worth it?", "I drink coffee and take fish oil.", "What of maca?", "Turkesterone, TMG and zma please.", "", "Beet juice or an iron tablet?"]
+ILLS, TAKEN = ["hypertension", "panic_disorder", "diabetes", "none"], ["maoi", "none", "anticoagulants"]
+_QUOTED = lambda x: x.replace("'", "''")
+_NAMED = "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(x, '{w}')" for w in words) + f" THEN '{name}' END" for name, words in plans.MENTIONED.items()) + "], lambda z: z IS NOT NULL)"
+
+
+@query(f"""WITH p AS (SELECT conv_id, {_list(s.BANKED["goal"])}[conv_id % 6 + 1] AS goal, conv_id % 10 = 3 AS pregnant, conv_id * 7 % 90 AS age, {_list(ILLS)}[conv_id % 4 + 1] AS ill, {_list(TAKEN)}[conv_id % 3 + 1] AS taken, lower(string_agg(coalesce(text, '') || ' ' || {_list(TALK)}[(conv_id + turn) % {len(TALK)} + 1], chr(10) ORDER BY turn)) AS x FROM conversations GROUP BY 1),
+n AS (SELECT *, {_NAMED} AS named FROM p), g AS (SELECT {_list(s.BANKED["goal"])}[doc_id % 6 + 1] AS goal, {_list([*plans.ALWAYS, "zma", "iron", "omega-3"])}[doc_id % 7 + 1] AS supplement, ['A', 'B', 'C', 'D'][CAST(sum(n_chars) % 4 AS INTEGER) + 1] AS grade FROM documents GROUP BY 1, 2),
+e AS (SELECT conv_id, goal, pregnant, named, unnest(list_distinct(list_concat({_list(plans.ALWAYS)}, named))) AS supplement FROM n), j AS (SELECT e.*, coalesce(grade, 'D') AS grade FROM e LEFT JOIN g USING (goal, supplement)),
+t AS (SELECT conv_id, CASE WHEN pregnant AND supplement NOT IN ({", ".join(f"'{x}'" for x in plans.PREGNANCY_SAFE)}) THEN 'excluded' WHEN grade = 'A' THEN 'recommended' WHEN grade IN ('B', 'C') THEN 'optional' WHEN list_contains(named, supplement) THEN 'excluded' END AS tier,
+  supplement || CASE WHEN pregnant AND supplement NOT IN ({", ".join(f"'{x}'" for x in plans.PREGNANCY_SAFE)}) THEN ': {plans.PREGNANT}' WHEN grade = 'C' THEN ': {plans.CAUTION}' WHEN grade = 'D' THEN ': Insufficient evidence for ' || goal || ' goals (Grade D)' ELSE '' END AS item FROM j),
+a AS (SELECT conv_id, {", ".join(f"coalesce(string_agg(item, '|' ORDER BY item) FILTER (WHERE tier = '{x}'), '') AS {x}" for x in ("recommended", "optional", "excluded"))} FROM t GROUP BY 1)
+SELECT conv_id, array_to_string(named, ',') AS mentioned, recommended, optional, excluded, array_to_string(list_filter([CASE WHEN pregnant THEN '{_QUOTED(plans.WARNINGS["pregnancy"])}' END, CASE WHEN age > 0 AND age < 18 THEN '{plans.WARNINGS["minor"]}' END, CASE WHEN age >= 65 THEN '{plans.WARNINGS["older"]}' END, CASE ill WHEN 'hypertension' THEN '{plans.WARNINGS["hypertension"]}'
+  WHEN 'diabetes' THEN '{plans.WARNINGS["diabetes"]}' WHEN 'panic_disorder' THEN '{plans.WARNINGS["anxiety"]}' END, CASE taken WHEN 'maoi' THEN '{plans.WARNINGS["maoi"]}' WHEN 'anticoagulants' THEN '{plans.WARNINGS["anticoagulants"]}' END], lambda z: z IS NOT NULL), '|') AS warnings FROM n JOIN a USING (conv_id)""")
+def q_plans(t: Tables) -> DataFrame:
+    """The plan of each conversation, from what it mentions, its profile, and the grades of goals."""
+    c, k, n = t("conversations"), F.col("conv_id"), F.col("turn")
+    said = c.select("conv_id", F.concat_ws(" ", F.coalesce("text", F.lit("")), _deal(TALK, k + n)).alias("x"))
+    # Words are looked up turn by turn, so a conversation's text is never put together.
+    found = plans.mentioned(said, "x").select("conv_id", F.explode_outer("mentioned").alias("m")).groupBy("conv_id").agg(F.collect_set("m").alias("set"))
+    named = F.filter(F.array(*map(F.lit, plans.MENTIONED)), lambda x: F.array_contains("set", x))
+    p = found.select("conv_id", named.alias("mentioned"), _deal(s.BANKED["goal"], k).alias("goal"), (k % 10 == 3).alias("pregnant"), (k * 7 % 90).alias("age"), F.array(_deal(ILLS, k)).alias("ills"), F.array(_deal(TAKEN, k)).alias("taken"))
+    d = F.col("doc_id")
+    grades = t("documents").groupBy(_deal(s.BANKED["goal"], d).alias("goal"), _deal([*plans.ALWAYS, "zma", "iron", "omega-3"], d).alias("supplement")).agg(_deal(["A", "B", "C", "D"], F.sum("n_chars")).alias("grade"))
+    out = plans.assembled(p, "conv_id", "goal", "pregnant", "mentioned", grades).join(p.select("conv_id", "mentioned", plans.warnings(F.col("age"), F.col("pregnant"), F.col("ills"), F.col("taken")).alias("warnings")), "conv_id")
+    return out.select("conv_id", F.array_join("mentioned", ",").alias("mentioned"), *[F.array_join(x, "|").alias(x) for x in ("recommended", "optional", "excluded", "warnings")])

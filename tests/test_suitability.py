@@ -1,5 +1,6 @@
 """Rules on odd input, profiles and grades; doses and forms at their edges."""
 
+from curata.operators import plans
 from curata.operators import suitability as s
 from curata.plans.advice import FAULTS, RULES
 from pyspark.sql import functions as F
@@ -55,3 +56,19 @@ def test_doses_and_forms(spark):
     df = spark.createDataFrame([(59.9, 0, None), (100.0, 17, "male"), (60.0, 50, "female")], "w double, a int, s string")
     assert [r[0] for r in df.select(s.bank_key(F.lit("g"), F.col("w"), F.col("s"), F.col("a"))).collect()] == ["g:xs:other:adult", "g:xl:male:minor", "g:small:female:mature"]
     assert s.profile_grid(spark).distinct().count() == 270
+
+
+def test_plans(spark):
+    rows = [(1, "strength", False, ["zma", "iron", "caffeine"]), (2, "strength", True, ["omega-3"]), (3, None, None, None), (4, "endurance", False, [])]
+    p = spark.createDataFrame([(*r, "own") for r in rows], "id int, g string, preg boolean, named array<string>, tier string")
+    grades = spark.createDataFrame([("strength", "creatine", "A"), ("strength", "caffeine", "C"), ("strength", "omega-3", "B"), ("strength", "protein", "D"), ("strength", "iron", "F")], "goal string, supplement string, grade string")
+    got = {r.id: (r.recommended, r.optional, r.excluded) for r in plans.assembled(p, "id", "g", "preg", "named", grades).collect()}
+    low = "Insufficient evidence for strength goals (Grade "
+    assert got == {
+        1: (["creatine"], [f"caffeine: {plans.CAUTION}"], [f"iron: {low}F)", f"zma: {low}D)"]), 2: ([], ["omega-3"], [f"{x}: {plans.PREGNANT}" for x in ("beta-alanine", "caffeine", "creatine")]), 3: ([], [], []), 4: ([], [], []),
+    }
+    said = spark.createDataFrame([(1, "Magnesium, OMEGA 3 and d-Aspartic; coffee"), (2, None), (3, "")], "id int, x string")
+    assert {r.id: r.mentioned for r in plans.mentioned(said, "x").collect()} == {1: ["caffeine", "fish-oil", "omega-3", "magnesium", "d-aspartic-acid"], 2: [], 3: []}
+    w = plans.warnings(F.col("a"), F.col("p"), F.col("c"), F.col("m"))
+    df = spark.createDataFrame([(70, True, ["high_blood_pressure", "diabetes"], ["maoi"]), (17, False, ["panic_disorder"], None), (0, None, None, None), (None, None, [], [])], "a int, p boolean, c array<string>, m array<string>")
+    assert [[k for x in r[0] for k, v in plans.WARNINGS.items() if v == x] for r in df.select(w).collect()] == [["pregnancy", "older", "hypertension", "diabetes", "maoi"], ["minor", "anxiety"], [], []]

@@ -532,4 +532,5 @@ def _across(docs: DataFrame, placed: DataFrame, nodes: DataFrame, roots: DataFra
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Set size and smallest linked id of every document; null texts have no shingles, null ids are linked with nothing, repeated rows are answered each."""
     return near_duplicates(c.table(spark, sf_dir, "documents"), words=SHINGLE, percent=PERCENT)

@@ -23,6 +23,11 @@ def test_held_out_accuracy_and_edges(spark):
     assert held and sum(x.predicted == int(x.doc_id % 4 != 0) for x in held) >= 0.95 * len(held)
     empty = {x.score for x in rows if x.doc_id in (900, 901)}
     assert len(empty) == 1
+    long = spark.createDataFrame([(1, "the and then " * 200_000), (2, "$$$ *** " * 200_000), (3, "the and then")], "doc_id long, text string")
+    scores = {x.doc_id: x.score for x in quality.classify(long, model).collect()}
+    assert abs(scores[1] - scores[3]) < 0.2 and scores[1] > scores[2]
+    tie = quality.classify(long, model, threshold=scores[1]).collect()
+    assert {x.doc_id: x.predicted for x in tie if x.doc_id != 3} == {1: 1, 2: 0}  # a score that equals the threshold is predicted 1
     nothing = quality.fit(df.limit(0), lab)
     assert {x.predicted for x in quality.classify(df, nothing).collect()} == {1}
     assert quality.classify(df.limit(0), model).count() == 0

@@ -9,6 +9,7 @@ from curata.operators import plans
 from curata.operators import suitability as s
 from curata.plans.articles import _deal, _list
 from curata.plans.queries import Tables, query
+from curata.sources import banks
 
 #: Rules as they come, some of them wrong.
 RULES = [
@@ -131,3 +132,14 @@ def q_plans(t: Tables) -> DataFrame:
     grades = t("documents").groupBy(_deal(s.BANKED["goal"], d).alias("goal"), _deal([*plans.ALWAYS, "zma", "iron", "omega-3"], d).alias("supplement")).agg(_deal(["A", "B", "C", "D"], F.sum("n_chars")).alias("grade"))
     out = plans.assembled(p, "conv_id", "goal", "pregnant", "mentioned", grades).join(p.select("conv_id", "mentioned", plans.warnings(F.col("age"), F.col("pregnant"), F.col("ills"), F.col("taken")).alias("warnings")), "conv_id")
     return out.select("conv_id", F.array_join("mentioned", ",").alias("mentioned"), *[F.array_join(x, "|").alias(x) for x in ("recommended", "optional", "excluded", "warnings")])
+
+
+@query(f"""SELECT source, {_list(s.BANKED["goal"])}[doc_id % 6 + 1] AS goal, {_list(NAMES)}[doc_id % 4 + 1] AS supplement, CASE WHEN count(*) >= 5 THEN 'B' WHEN count(*) >= 3 THEN 'C' ELSE 'D' END AS grade, round(avg(n_chars), 4) AS score FROM documents WHERE source IS NOT NULL GROUP BY 1, 2, 3""")
+def q_bank_json(t: Tables) -> DataFrame:
+    """Grades of each source, written as JSON in two shapes and read again."""
+    k = F.col("doc_id")
+    graded = F.when(F.count("*") >= 5, "B").when(F.count("*") >= 3, "C").otherwise("X")
+    entries = t("documents").where("source IS NOT NULL").groupBy("source", _deal(s.BANKED["goal"], k).alias("goal"), _deal(NAMES, k).alias("supplement")).agg(graded.alias("grade"), F.round(F.avg("n_chars"), 4).alias("score"))
+    flat = F.pmod(F.xxhash64("source"), F.lit(2)) == 0
+    written = banks.write(entries.where(flat), ["source"]).unionByName(banks.write(entries.where(~flat), ["source"], nested=True))
+    return banks.load(written, "bank", ["source"])

@@ -3,6 +3,7 @@
 from curata.operators import plans
 from curata.operators import suitability as s
 from curata.plans.advice import FAULTS, RULES
+from curata.sources import banks
 from pyspark.sql import functions as F
 
 
@@ -72,3 +73,12 @@ def test_plans(spark):
     w = plans.warnings(F.col("a"), F.col("p"), F.col("c"), F.col("m"))
     df = spark.createDataFrame([(70, True, ["high_blood_pressure", "diabetes"], ["maoi"]), (17, False, ["panic_disorder"], None), (0, None, None, None), (None, None, [], [])], "a int, p boolean, c array<string>, m array<string>")
     assert [[k for x in r[0] for k, v in plans.WARNINGS.items() if v == x] for r in df.select(w).collect()] == [["pregnancy", "older", "hypertension", "diabetes", "maoi"], ["minor", "anxiety"], [], []]
+
+
+def test_banks_in_any_shape(spark):
+    texts = {
+        1: '{"strength:creatine": {"grade": "A", "score": 1.5}, "strength:a:b": {"grade": "Z"}}', 2: '{"evidence_data": {"strength": {"zma": {"grade": "F", "score": "x"}, "iron": {}}}}', 3: '{"level1": {}}', 4: "no json", 5: None, 6: "[1]", 7: '{"strength": 5}',
+    }
+    df = spark.createDataFrame([(k, t, "own") for k, t in texts.items()], "id int, text string, grade string")
+    got = sorted(tuple(r) for r in banks.load(df, "text", ["id"]).collect())
+    assert got == [(1, "strength", "a:b", "D", None), (1, "strength", "creatine", "A", 1.5), (2, "strength", "iron", "D", None), (2, "strength", "zma", "F", None)]

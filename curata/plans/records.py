@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curata.functions import articles as a
 from curata.functions import supplements
-from curata.operators import json_cards, paper_chunks, tagging
+from curata.operators import bundles, json_cards, paper_chunks, tagging
 from curata.plans import queries as curation
 from curata.plans.articles import PUBTYPES, TITLES, _deal, _list
 from curata.plans.queries import Tables, query
@@ -82,12 +82,12 @@ def _goal_sql(reach: int = 60) -> str:
 
 
 _GOAL_SIZES = ", ".join(f"len(list_filter([{', '.join(f'''CASE WHEN regexp_matches(content, '{a.any_of(p)}') THEN 1 END''' for p in table.values())}], lambda z: z IS NOT NULL)) AS n_{g}" for g, table in a.GOALS.items())
-_MOST = f"greatest({', '.join(f'n_{g}' for g in a.GOALS)})"
+_TOP = f"greatest({', '.join(f'n_{g}' for g in a.GOALS)})"
 
 
 @query(f"""WITH {NOTED}, l AS (SELECT doc_id, content, regexp_replace(lower(content), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g') AS j FROM noted), g AS (SELECT doc_id, content, {_goal_sql()}, {_GOAL_SIZES} FROM l),
 i AS (SELECT *, CASE {' '.join(f"WHEN {g} THEN '{shown}'" for g, shown in supplements.PREFERRED)} WHEN {' OR '.join(f"contains(lower(content), '{c}')" for c in supplements.EXERCISE)} THEN 'performance' ELSE 'general' END AS inferred,
-  {_MOST} AS most, {' + '.join(f"(n_{g} = {_MOST})::INT" for g in a.GOALS)} AS winners FROM g),
+  {_TOP} AS most, {' + '.join(f"(n_{g} = {_TOP})::INT" for g in a.GOALS)} AS winners FROM g),
 s AS (SELECT *, CASE WHEN most = 0 THEN 'general' WHEN winners = 1 THEN CASE {' '.join(f"WHEN n_{g} = most THEN '{g}'" for g in a.GOALS)} END WHEN regexp_matches(content, '{a.SPORT}') THEN 'performance' ELSE 'general' END AS own FROM i)
 SELECT doc_id, inferred, CASE WHEN own <> 'general' THEN own ELSE inferred END AS goal FROM s""")
 def q_window_goals(t: Tables) -> DataFrame:
@@ -270,3 +270,25 @@ def q_paper_chunks(t: Tables) -> DataFrame:
     body = F.when(k % 6 == 1, F.col("plain")).otherwise(F.col("text"))
     made = paper_chunks.chunked(d.select("doc_id", abstract.alias("abstract"), body.alias("body"), (k % 9 == 5).alias("only")), "doc_id", "abstract", "body", "only", HEADERS)
     return made.select("doc_id", "section", "section_norm", "start", "end", F.sha2("text", 256).alias("digest"), "doc_kind", "eligible")
+
+
+LINES = ["Results: mean 4.5 mg, n=12", "side effects in 3 subjects", "no change", "a median of 7", ""]
+_HOLDS = " + ".join([f"CASE WHEN contains(low, '{w}') THEN {n} ELSE 0 END" for w, n in bundles.WORDS.items()] + [f"CASE WHEN contains(low, '{w}') THEN 1 ELSE 0 END" for w in bundles.STATISTICS])
+_MOST = 900
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id, (conv_id + turn) % 6 AS sec, turn AS place, coalesce(text, '') || ' ' || {_list(LINES)}[turn % 5 + 1] AS text FROM conversations),
+s AS (SELECT *, {_HOLDS} + least(len(regexp_extract_all(text, '[0-9]+[.]?[0-9]*')) * 0.5e0, 3e0) AS score FROM (SELECT *, lower(text) AS low FROM c WHERE sec < 5)),
+g AS (SELECT conv_id, sec, CAST(sum(length(text)) + 2 * (count(*) - 1) AS BIGINT) AS size, list(length(text) ORDER BY score DESC, place) AS sizes, list(place ORDER BY score DESC, place) AS best, list(place ORDER BY place) AS whole FROM s GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY sec) AS k FROM g),
+r AS (SELECT conv_id, 0 AS k, CAST(0 AS BIGINT) AS used, NULL::BIGINT AS sec, NULL::BIGINT[] AS places, CAST(0 AS BIGINT) AS char_len FROM (SELECT DISTINCT conv_id FROM g)
+  UNION ALL SELECT conv_id, k, used + char_len, sec, places, char_len FROM (SELECT conv_id, k, used, sec, CASE WHEN fits THEN whole ELSE best[1:m] END AS places, CASE WHEN fits THEN size WHEN m > 0 THEN CAST(list_sum(sizes[1:m]) + 2 * (m - 1) AS BIGINT) ELSE 0 END AS char_len
+    FROM (SELECT r.conv_id, n.k, r.used, n.sec, whole, best, sizes, size, size <= {_MOST} - r.used AS fits, CAST(len(list_filter(range(1, len(sizes) + 1), lambda i: list_sum(sizes[1:i]) <= {_MOST} - r.used)) AS BIGINT) AS m FROM r JOIN n ON n.conv_id = r.conv_id AND n.k = r.k + 1 WHERE size <= {_MOST} - r.used OR r.used < {_MOST}))),
+h AS (SELECT conv_id, sha1(conv_id || coalesce('|' || nullif(string_agg(array_to_string(places, '|'), '|' ORDER BY sec) FILTER (WHERE len(places) > 0), ''), '') || '|' || {" || '|' || ".join(f"coalesce(max(char_len) FILTER (WHERE sec = {k}), 0)" for k in range(5))}) AS input_hash FROM r WHERE k > 0 GROUP BY 1)
+SELECT conv_id, {_list(bundles.SECTIONS)}[sec + 1] AS section, array_to_string(places, ',') AS places, char_len, input_hash FROM r JOIN h USING (conv_id) WHERE k > 0""")
+def q_bundles(t: Tables) -> DataFrame:
+    """Which turns a bundle of a conversation's sections keeps within its budget."""
+    c, k, n = t("conversations"), F.col("conv_id"), F.col("turn")
+    text = F.concat_ws(" ", F.coalesce("text", F.lit("")), _deal(LINES, n))
+    made = bundles.bundled(c.select("conv_id", _deal([*bundles.SECTIONS, "other"], k + n).alias("section"), "turn", text.alias("text")), "conv_id", "section", "turn", "text", _MOST)
+    return made.select("conv_id", "section", F.array_join(F.transform("places", lambda p: p.cast("string")), ",").alias("places"), "char_len", "input_hash")

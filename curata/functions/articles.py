@@ -314,3 +314,35 @@ def gated_tags(tags: Column, signs: Column) -> Column:
     plain = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda x: F.replace(F.lower(F.trim(x)), F.lit(" "), F.lit("-")))
     kept = F.filter(plain, lambda x: (x != "nitric-oxide") | F.array_contains(signs, "is|nitric"))
     return F.array_sort(F.array_distinct(F.array_compact(kept)))
+
+
+# Fixed values of relabelling from title and journal: kinds in order, kinds that always replace a type, types that a review doesn't replace, and points by label.
+RETRO_KINDS = [("position stand|position statement", "position-stand"), ("consensus", "consensus"), ("guideline", "guideline"), ("perspective|viewpoint|opinion", "perspective")]
+REPLACING = ["position-stand", "guideline", "consensus", "editorial", "perspective"]
+PRIMARY = ["meta-analysis", "systematic_review", "RCT", "crossover", "cohort", "case_control", "clinical_trial", "controlled_trial"]
+RETRO_POINTS = {
+    "meta-analysis": 13.0, "systematic_review": 11.0, "RCT": 10.0, "crossover": 7.0, "cohort": 4.0, "case_control": 3.5, "narrative_review": 3.0, "position-stand": 4.0, "guideline": 4.0, "consensus": 4.0, "perspective": 2.0, "editorial": 2.0,
+}
+
+
+def retro_kind(title: Column, journal: Column) -> Column:
+    """The kind that title and journal show, null for none; a review of trials is none."""
+    t = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(journal, F.lit(""))))
+    rest = F.when(t.contains("review") & ~t.rlike("systematic|meta-?analysis"), "narrative_review").when(t.contains("editorial"), "editorial")
+    for pattern, label in reversed(RETRO_KINDS):
+        rest = F.when(t.rlike(pattern), label).otherwise(rest)
+    return rest
+
+
+def relabelled(title: Column, journal: Column, study: Column, conservative: bool = True) -> Column:
+    """``study_type, doc_kind, eligible, strength, reliability`` of a stored record by its title and journal.
+
+    A narrative review replaces a type, but for primary ones (with hyphens as underscores) if ``conservative``. A null type is empty.
+    """
+    old = F.trim(F.coalesce(study, F.lit("")))
+    kind = retro_kind(title, journal)
+    keeps = F.replace(old, F.lit("-"), F.lit("_")).isin(PRIMARY) if conservative else F.lit(False)
+    new = F.when(kind.isin(REPLACING), kind).when((kind == "narrative_review") & ~keeps, kind).otherwise(old)
+    label = F.coalesce(kind, new)
+    points = _lookup(label, RETRO_POINTS, _lookup(new, RETRO_POINTS, F.lit(3.0)))
+    return F.struct(new.alias("study_type"), kind.alias("doc_kind"), (~label.isin(NOT_BANKED)).alias("eligible"), _lookup(label, STRENGTH, _lookup(new, STRENGTH, F.lit(0.3))).alias("strength"), points.alias("reliability"))

@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curata.functions import articles as a
 from curata.functions import stem
 from curata.operators import postings, selection, vector_lists
 from curata.plans import banking  # noqa: F401  (it registers the batch form of the quota)
+from curata.plans.articles import JOURNALS, TITLES, _deal, _list
 from curata.plans.queries import ORACLES, Tables, query
 from curata.sources import files, keyed, paged
 from curata.streaming import sinks, stateful
@@ -183,3 +185,33 @@ def q_tag_exists(t: Tables) -> DataFrame:
     users = t("events").groupBy("user_id").agg(F.collect_set("event_type").alias("tags"))  # at most the types there are
     found = postings.tagged_with(users, "tags", ["purchase", "SIGNUP"]).select("user_id", F.lit(True).alias("hit"))
     return users.select("user_id").join(found, "user_id", "left").select("user_id", F.coalesce("hit", F.lit(False)).alias("found"))
+
+
+_TYPES = ["RCT", "review", "meta-analysis", "cohort", "other", "", "systematic_review", "case-control"]
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(low, '{p}') THEN '{label}'" for p, label in a.RETRO_KINDS) + " WHEN contains(low, 'review') AND NOT regexp_matches(low, 'systematic|meta-?analysis') THEN 'narrative_review' WHEN contains(low, 'editorial') THEN 'editorial' END"
+_POINTS = lambda x, table, rest: "CASE " + " ".join(f"WHEN {x} = '{k}' THEN {v}e0" for k, v in table.items()) + f" ELSE {rest} END"
+
+
+@query(f"""WITH p AS (SELECT doc_id, lower({_list(TITLES)}[doc_id % {len(TITLES)} + 1] || ' ' || {_list(JOURNALS)}[doc_id % {len(JOURNALS)} + 1]) AS low, {_list(_TYPES)}[(doc_id // 2) % {len(_TYPES)} + 1] AS old FROM documents), k AS (SELECT *, {_KIND} AS kind FROM p),
+n AS (SELECT *, CASE WHEN kind IN ({", ".join(f"'{x}'" for x in a.REPLACING)}) THEN kind WHEN kind = 'narrative_review' AND replace(old, '-', '_') NOT IN ({", ".join(f"'{x}'" for x in a.PRIMARY)}) THEN kind ELSE old END AS new FROM k), l AS (SELECT *, coalesce(kind, new) AS label FROM n)
+SELECT doc_id, new AS study_type, label NOT IN ({", ".join(f"'{x}'" for x in a.NOT_BANKED)}) AS eligible, {_POINTS("label", a.STRENGTH, _POINTS("new", a.STRENGTH, "0.3e0"))} AS strength, {_POINTS("label", a.RETRO_POINTS, _POINTS("new", a.RETRO_POINTS, "3.0e0"))} AS reliability, new <> old AS changed FROM l""")
+def q_relabel_store(t: Tables) -> DataFrame:
+    """Stored records relabelled by title and journal: only buckets of records that change are rewritten."""
+    k = F.col("doc_id")
+    p = t("documents").select("doc_id", _deal(TITLES, k).alias("title"), _deal(JOURNALS, k).alias("journal"), _deal(_TYPES, F.floor(k / 2)).alias("study_type"))
+    spark, at = p.sparkSession, folder(p)
+    keyed.upsert(spark, at, p, "doc_id", "load", buckets=16)
+    new = a.relabelled(F.col("title"), F.col("journal"), F.col("study_type"))
+    changed = keyed.read(spark, at).withColumn("new", new).where("new.study_type <> study_type").select("doc_id", F.col("new.study_type").alias("study_type"), F.lit("retro-canonical").alias("override_source"))
+    keyed.rewrite(spark, at, changed, "doc_id", _relabel, "relabel")
+    stored = keyed.read(spark, at)
+    r = stored.withColumn("new", a.relabelled(F.col("title"), F.col("journal"), F.col("study_type")))
+    source = F.col("override_source") if "override_source" in stored.columns else F.lit(None).cast("string")
+    return r.select("doc_id", "study_type", "new.eligible", "new.strength", "new.reliability", source.isNotNull().alias("changed"))
+
+
+def _relabel(old: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """The old rows with the new types, marked."""
+    news = rows.select("doc_id", F.col("study_type").alias("_type"), "override_source")
+    joined = old.drop("override_source").join(news, "doc_id", "left")
+    return joined.select("doc_id", "title", "journal", F.coalesce("_type", "study_type").alias("study_type"), "override_source")

@@ -38,14 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: For tables with rows of some MB: Parquet's row groups of about 8 MB, measured after each row, not only after 100.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4"}
+
+
+def cut(df: DataFrame, large_rows: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
-    Later stages then depend on files that outlive any executor, not on lineage.
+    Later stages then depend on files that outlive any executor, not on lineage. Writers and
+    readers hold a row group at a time: with ``large_rows``, few rows, whatever a task has of them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/curata-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(LARGE_ROWS if large_rows else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -250,7 +250,7 @@ def search(shards: DataFrame, queries: DataFrame, k: int = 20, item_id: str = "i
 
 def op11_lexical_search(spark, sf_dir: str) -> DataFrame:
     """The 20 best documents of each benchmark item; null texts have no terms, rows with null ids are ranked too."""
-    shards = c.cut(index(c.table(spark, sf_dir, "documents")))
+    shards = c.cut(index(c.table(spark, sf_dir, "documents")), large_rows=True)
     return search(shards, c.table(spark, sf_dir, "benchmark"))
 
 

@@ -104,7 +104,7 @@ def drawn_parts(units: DataFrame, counts: np.ndarray) -> tuple[DataFrame, int]:
         c.release()
 
     drawn = _drawn(units, share, parts, len(counts)).repartition(min(parts, 4096), "part").sortWithinPartitions("part", "draw")
-    return c.cut(drawn.mapInArrow(apply, "part int, ids binary, sizes array<int>")), parts
+    return c.cut(drawn.mapInArrow(apply, "part int, ids binary, sizes array<int>"), large_rows=True), parts
 
 
 def _sum(rows: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +249,7 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
         c.release()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id, 10).alias("held"), F.xxhash64(F.col(doc_id).cast("string"), F.lit(8)).alias("draw"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return c.cut(rows.mapInArrow(apply, schema))
+    return c.cut(rows.mapInArrow(apply, schema), large_rows=True)
 
 
 def _unit_scores(units: DataFrame, m: attention.Model) -> DataFrame:
@@ -310,7 +310,7 @@ def score(docs: DataFrame, m: attention.Model, doc_id: str = "doc_id", text: str
     words = units.select("unit", F.posexplode(F.arrays_zip("words", "weights")).alias("at", "w")).select("unit", "at", F.col("w.words").alias("word"), F.col("w.weights").alias("weight"))
     by_word = Window.partitionBy("word")
     counted = words.select("unit", "at", F.sum("weight").over(by_word).alias("c"), F.row_number().over(by_word.orderBy("unit")).alias("k"))
-    packs = c.cut(_packed(counted.select("unit", "at", "c", ((F.col("k") == 1) & (F.col("c") > 0)).cast("long").alias("fresh"))))
+    packs = c.cut(_packed(counted.select("unit", "at", "c", ((F.col("k") == 1) & (F.col("c") > 0)).cast("long").alias("fresh"))), large_rows=True)
     n_words, n_texts = units.select(F.aggregate("weights", F.lit(0).cast("long"), lambda a, x: a + x).alias("w"), F.size(F.filter("held", lambda x: ~x)).alias("t")).agg(F.sum("w"), F.sum("t")).first()
     texts = n_texts or 0
     total = (n_words or 0) + texts

@@ -112,6 +112,11 @@ def classes(counts: np.ndarray, spaced: np.ndarray) -> tuple[np.ndarray, np.ndar
     return class_of, np.log10(smooth / total[class_of])
 
 
+def window_counts(sizes: np.ndarray) -> np.ndarray:
+    """How many windows texts of ``sizes`` classes, ends included, have."""
+    return 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
+
+
 def windows(seq: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, targets, rows and the scored positions of windows over texts of target classes in a row.
 
@@ -120,7 +125,7 @@ def windows(seq: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     ends = np.cumsum(sizes)
     inputs = np.concatenate([[BEGIN], seq[:-1]]) if len(seq) else seq
     inputs[(ends - sizes)[sizes > 0]] = BEGIN
-    count = 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
+    count = window_counts(sizes)
     row = np.repeat(np.arange(len(sizes)), count)
     number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     at = (ends - sizes)[row] + number * STRIDE
@@ -158,16 +163,18 @@ def with_state(m: Model, state: np.ndarray) -> Model:
 
 
 def advance(m: Model, state: np.ndarray, seq: np.ndarray, sizes: np.ndarray, done: int, steps: int, last: int, seed: int = 8, batch: int = 192) -> np.ndarray:
-    """The state after steps ``done + 1`` to ``done + steps`` of ``last``: Adam on the cross-entropy of random windows.
+    """The state after steps ``done + 1`` to ``done + steps`` of ``last``: Adam on the cross-entropy of windows.
 
+    Windows come in a random order that ``seed`` fixes, so calls that go on from each other take all of them in turn.
     ``seq`` and ``sizes`` are texts of classes, as ``windows`` takes them.
     """
-    r, state = np.random.default_rng(seed), state.copy()
+    state = state.copy()
     m = with_state(m, state)
     own, first, second = state
     x_all, y_all, _, scored = windows(seq, sizes)
+    order_all = np.random.default_rng(seed).permutation(len(x_all))
     for step in range(done + 1, done + steps + 1):
-        pick = r.integers(0, len(x_all), batch)
+        pick = order_all[np.arange((step - 1) * batch, step * batch) % len(x_all)]
         x, y, w = x_all[pick], y_all[pick], scored[pick]
         top, e, q, k, v, a, mixed, h = m.forward(x)
         flat = lambda z: z.reshape(-1, z.shape[-1])

@@ -1,7 +1,7 @@
 """Language-model scores: word counts over all training texts, and an attention model.
 
 Texts are taken in units of up to ``UNIT_BYTES``, whose words and token ids are written
-once. Ids are counted over all training texts; the network is fitted on a share of them.
+once. Ids are counted over all training texts, and the network is fitted on all of them.
 A unit yields one row of its own (its texts' words as numbers into the unit's list of
 distinct words) and a row for each distinct word with its count in training texts. These meet by word, which sums the
 counts, and go back to their unit in packs; there each text's score is summed. So a
@@ -25,9 +25,10 @@ from curata.llm import pieces as pc
 from curata.llm.quality import held_out
 
 UNIT_BYTES = 4 << 20
-#: The network is fitted on one in ``FIT_PART`` of all training ids, in parts of ``SAMPLE_IDS`` (of small inputs: ``LEAST_PARTS`` of them, or all ids).
-FIT_PART, SAMPLE_IDS, LEAST_PARTS = 128, 1 << 20, 4
-#: In each of ``ROUNDS`` every part takes ``ROUND_STEPS`` steps from the same state, and the mean of the results is the next one.
+#: The network is fitted on all training ids, a part for each unit. A ``FIT_PART`` above 1 is for trials: one in so many ids, in parts of ``SAMPLE_IDS``.
+FIT_PART, SAMPLE_IDS, LEAST_PARTS = 1, 1 << 20, 4
+#: In each of ``ROUNDS`` every part takes steps from the same state, and the mean of the results is the next one. Over all rounds a part's
+#: windows are each taken once at least; with few parts there are ``ROUND_STEPS`` a round, so small inputs are gone over again.
 ROUNDS, ROUND_STEPS, BATCH = 16, 150, 96
 _VALUES = c.byte_values(8)
 
@@ -78,8 +79,26 @@ def _drawn(units: DataFrame, share: float, parts: int, n_ids: int) -> DataFrame:
     return units.select("held", "ids", "id_sizes", "draws").mapInArrow(apply, "part int, draw long, ids array<int>")
 
 
+def unit_parts(units: DataFrame, n_ids: int) -> DataFrame:
+    """``part, ids, sizes`` of all training texts, a row for each unit."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids = _ids_of(batch, k, n_ids)
+                sizes, held = (batch.column(x)[k].values.to_numpy(zero_copy_only=False) for x in ("id_sizes", "held"))
+                train = ~held.astype(bool)
+                own = ids[np.repeat(train, sizes)].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("unit").slice(k, 1), pa.array([own.tobytes()]), pa.array([sizes[train]], pa.list_(pa.int32()))], names=["part", "ids", "sizes"])
+        c.release()
+
+    return units.select("unit", "held", "ids", "id_sizes").mapInArrow(apply, "part long, ids binary, sizes array<int>").where(F.size("sizes") > 0)
+
+
 def drawn_parts(units: DataFrame, counts: np.ndarray) -> tuple[DataFrame, int]:
     """``part, ids, sizes`` of the texts that the network is fitted on, a row for each part, and the number of parts."""
+    if FIT_PART == 1:
+        return unit_parts(units, len(counts)), units.count()
     total = max(1, int(counts.sum()))
     share = min(1.0, max(LEAST_PARTS * SAMPLE_IDS, total / FIT_PART) / total)
     parts = max(1, round(share * total / SAMPLE_IDS))
@@ -117,10 +136,17 @@ def _sum(rows: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()])], names=["n", "state"])
 
 
+def trained_on(m: attention.Model, state: np.ndarray, number: int, least: int, part: int, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The state after a part's steps of round ``number``: its share of the part's windows, and ``least`` steps at least."""
+    count = int(attention.window_counts(sizes + 1).sum())
+    steps = max(least, -(-count // (ROUNDS * BATCH)))
+    return attention.advance(m, state, *attention.sequence(m, ids, sizes), number * steps, steps, ROUNDS * steps, [8, part], BATCH)
+
+
 def _round(drawn: DataFrame, m: attention.Model, state: np.ndarray, number: int, parts: int) -> np.ndarray:
     """The mean of the states that the parts reach from ``state``; sums meet 16 at a time, so the driver gets 16 at most."""
     context = drawn.sparkSession.sparkContext
-    sent = context.broadcast((m, state))
+    sent, least = context.broadcast((m, state)), -(-ROUND_STEPS * LEAST_PARTS // max(parts, LEAST_PARTS))
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def states() -> Iterator[tuple[int, np.ndarray]]:
@@ -128,7 +154,7 @@ def _round(drawn: DataFrame, m: attention.Model, state: np.ndarray, number: int,
             for batch in batches:
                 for k, part in enumerate(batch.column("part").to_pylist()):
                     ids, sizes = np.frombuffer(batch.column("ids")[k].as_buffer(), np.int32), batch.column("sizes")[k].values.to_numpy().astype(np.int64)
-                    yield 1, attention.advance(m, state, *attention.sequence(m, ids, sizes), number * ROUND_STEPS, ROUND_STEPS, ROUNDS * ROUND_STEPS, [number, part], BATCH)
+                    yield 1, trained_on(m, state, number, least, part, ids, sizes)
 
         yield from _sum(states())
 
@@ -148,9 +174,9 @@ def _round(drawn: DataFrame, m: attention.Model, state: np.ndarray, number: int,
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, units: DataFrame | None = None) -> attention.Model:
-    """Classes and shares from the ids of all training texts; the network from a hash-drawn share of them.
+    """Classes, shares and the network from all training texts.
 
-    The share grows with the corpus, and so do the parts that Spark's tasks train on at a time;
+    Parts grow in number with the corpus, and Spark's tasks train on one at a time;
     the driver only has the state of the network. Without training texts it stays as it began.
     """
     path = path or public_tokenizers.path(bpe.VOCABULARY)

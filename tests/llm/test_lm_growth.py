@@ -54,3 +54,26 @@ def test_model_beats_words_where_context_tells(spark):
     df = spark.createDataFrame(chain(), "doc_id long, text string").repartition(4)
     rows = [r for r in lm.score(df, lm.fit(df)).collect() if r.held_out]
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_all_training_texts_are_fitted_on_and_each_window_is_taken(spark, monkeypatch):
+    units = lm.encoded(spark.createDataFrame(chain(), "doc_id long, text string").repartition(3))
+    n_ids = len(bpe.vocabulary(public_tokenizers.path(bpe.VOCABULARY)).lengths)
+    counts = lm.id_counts(units, n_ids)
+    parts, n = lm.drawn_parts(units, counts)
+    found = parts.collect()
+    assert n == len(found) == 3
+    assert (sum(np.bincount(np.frombuffer(r.ids, np.int32), minlength=n_ids) for r in found) == counts).all()
+
+    monkeypatch.setattr(lm, "ROUNDS", 4)
+    monkeypatch.setattr(lm, "BATCH", 7)
+    m = lm.attention.begin(counts.astype(float), np.zeros(n_ids, int))
+    ids, sizes = np.frombuffer(found[0].ids, np.int32), np.array(found[0].sizes, np.int64)
+    taken, forward = [], lm.attention.Model.forward
+    monkeypatch.setattr(lm.attention.Model, "forward", lambda self, x: taken.append(x.copy()) or forward(self, x))
+    state = lm.attention.state_of(m)
+    for number in range(4):
+        state = lm.trained_on(m, state, number, 1, found[0].part, ids, sizes)
+    x = lm.attention.windows(*lm.attention.sequence(m, ids, sizes))[0]
+    assert {w.tobytes() for w in np.concatenate(taken)} == {w.tobytes() for w in x}
+    assert len(np.concatenate(taken)) < len(x) + 4 * 4 * 7

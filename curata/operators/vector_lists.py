@@ -24,6 +24,8 @@ SAMPLE = 64
 LIST_ROWS, BLOCK_QUERIES = 20_000, 5_000
 SCALE = 1024
 _SLACK = 1e-6
+#: Distances that a task holds at a time.
+PAIRS = 1 << 20
 
 
 @dataclass
@@ -102,6 +104,22 @@ def build(vectors: DataFrame, key: str, vector: str, lists: int) -> Lists | None
     return Lists(cut(placed.select("id", "v", "list", dealt.alias("part"))), centroids, radii, parts)
 
 
+def _best_pairs(x: np.ndarray, ids: np.ndarray, q: np.ndarray, asked_ids: np.ndarray, k: int) -> list[np.ndarray]:
+    """``query_id, id, distance`` of the ``k`` best rows of ``x`` for each of ``q``, for about ``PAIRS`` distances at a time."""
+    out: tuple[list, list, list] = ([], [], [])
+    step = max(1, min(256, PAIRS // len(x)))
+    for at in range(0, len(q), step):
+        d = _squared(q[at : at + step], x)
+        least = np.partition(d, min(k, d.shape[1] - 1), axis=1)[:, min(k, d.shape[1] - 1), None]
+        a, b = np.nonzero((d <= least) & (asked_ids[at : at + step, None] != ids))
+        order = np.lexsort((ids[b], d[a, b], a))
+        a, b = a[order], b[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+        for held_list, values in zip(out, (asked_ids[at + a[keep]], ids[b[keep]], d[a[keep], b[keep]]), strict=True):
+            held_list.append(values)
+    return [np.concatenate([np.zeros(0, np.int64), *y]).astype(np.int64) for y in out]
+
+
 def _probe(index: Lists, pairs: DataFrame, k: int) -> DataFrame:
     """``query_id, id, distance``: the ``k`` best rows of each part of the lists that ``pairs`` (id, q, list) name."""
     counts = {r["list"]: r["n"] for r in pairs.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row a list
@@ -111,21 +129,10 @@ def _probe(index: Lists, pairs: DataFrame, k: int) -> DataFrame:
     held = index.rows.where(F.col("list").isin(list(counts))).withColumn("block", F.explode(F.sequence(F.lit(0), of(blocks) - 1)))
 
     def apply(key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        if rows.num_rows and queries.num_rows:
-            x, ids, asked_ids = _matrix(rows.column("v")), rows.column("id").to_numpy(), queries.column("id").to_numpy()
-            q = _matrix(queries.column("q"))
-            for at in range(0, len(q), 256):
-                d = _squared(q[at : at + 256], x)
-                least = np.partition(d, min(k, d.shape[1] - 1), axis=1)[:, min(k, d.shape[1] - 1), None]
-                a, b = np.nonzero((d <= least) & (asked_ids[at : at + 256, None] != ids))
-                order = np.lexsort((ids[b], d[a, b], a))
-                a, b = a[order], b[order]
-                first = np.searchsorted(a, a)
-                keep = np.arange(len(a)) - first < k
-                for held_list, values in zip(out, (asked_ids[at + a[keep]], ids[b[keep]], d[a[keep], b[keep]]), strict=True):
-                    held_list.append(values)
-        columns = [np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in out]
+        if not rows.num_rows or not queries.num_rows:
+            columns = [np.zeros(0, np.int64)] * 3
+        else:
+            columns = _best_pairs(_matrix(rows.column("v")), rows.column("id").to_numpy(), _matrix(queries.column("q")), queries.column("id").to_numpy(), k)
         return pa.table({"query_id": columns[0], "id": columns[1], "distance": columns[2]})
 
     group = ["list", "part", "block"]

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from curata.operators import vector_lists as v
 
@@ -40,3 +41,15 @@ def test_recall(spark, exactly):
     truth = spark.createDataFrame([(q, i) for q, _, i, _ in exact(rows, [i for i, _ in rows if i % 20 == 0], 10)], "query_id long, id long")
     share = v.recall(found, truth)
     assert share == 1.0 if exactly else 0.9 <= share < 1.0
+
+
+def test_distances_held_at_a_time_are_bounded(monkeypatch):
+    r = np.random.default_rng(5)
+    x, q = r.integers(-9, 9, (700, 4)), r.integers(-9, 9, (90, 4))
+    ids, asked, held, squared = np.arange(700), np.arange(650, 740), [], v._squared
+    monkeypatch.setattr(v, "_squared", lambda a, b: held.append(squared(a, b)) or held[-1])
+    want = [y.tolist() for y in v._best_pairs(x, ids, q, asked, 5)]
+    held.clear()
+    monkeypatch.setattr(v, "PAIRS", 2000)
+    assert [y.tolist() for y in v._best_pairs(x, ids, q, asked, 5)] == want
+    assert max(d.size for d in held) <= 2000 and sum(d.size for d in held) == 700 * 90

@@ -17,10 +17,14 @@ from curata.plans.queries import ORACLES, Tables, query
 from curata.sources import files, keyed, paged
 from curata.streaming import sinks, stateful
 
-#: Partitions of a stream's state, which its first run fixes; more for more keys.
+#: The least partitions of a stream's state, which its first run fixes: as many as tasks can run at a time.
 STATE_PARTITIONS = 4
 
 
+def state_partitions(df: DataFrame) -> int:
+    return max(STATE_PARTITIONS, df.sparkSession.sparkContext.defaultParallelism)
+
+
 def folder(df: DataFrame) -> str:
     """A folder of one's own below the shared one."""
     return f"{files.shared_dir(df.sparkSession)}/curata-{uuid.uuid4().hex}"
@@ -35,7 +39,7 @@ def q_stream_quota(t: Tables) -> DataFrame:
     for part, parts, first in ((events.where(F.col("ts") < middle), 2, 0), (events.where(F.coalesce(F.col("ts") >= middle, F.lit(True))), 2, 2)):
         stateful.staged(part, "ts", f"{at}/in", parts, first)
         arrived = stateful.arrivals(spark, f"{at}/in", events.schema)
-        stateful.run(stateful.quota(arrived, "user_id", "ts", "event_id", 10, 5), f"{at}/out", f"{at}/checkpoint", STATE_PARTITIONS)
+        stateful.run(stateful.quota(arrived, "user_id", "ts", "event_id", 10, 5), f"{at}/out", f"{at}/checkpoint", state_partitions(events))
     return spark.read.parquet(f"{at}/out").select("event_id", "user_id", "period", "used")
 
 
@@ -49,7 +53,7 @@ def q_stream_first_seen(t: Tables) -> DataFrame:
     for k in range(3):
         stateful.staged(events.where(edges[k] & ~edges[k + 1]), "ts", f"{at}/in", 1, k)
         arrived = stateful.arrivals(spark, f"{at}/in", events.schema)
-        stateful.run(stateful.first_sights(arrived, "seen_key", "ts", "event_id", 365), f"{at}/out", f"{at}/checkpoint", STATE_PARTITIONS)
+        stateful.run(stateful.first_sights(arrived, "seen_key", "ts", "event_id", 365), f"{at}/out", f"{at}/checkpoint", state_partitions(events))
     return spark.read.parquet(f"{at}/out").select("seen_key", "event_id")
 
 

@@ -33,7 +33,7 @@ class Quota(StatefulProcessor):
         self.state = handle.getValueState("period", "start long, period int, used int")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        start, period, used = self.state.get() if self.state.exists() else (None, 0, 0)
+        start, period, used = self.state.get() or (None, 0, 0)
         for r in sorted(rows, key=lambda r: (r[self.ts], r[self.key])):
             if start is None or r[self.ts] > start + self.length:
                 start, period, used = r[self.ts], period + 1, 0
@@ -57,17 +57,22 @@ class Seen(StatefulProcessor):
         self.state = handle.getValueState("until", "until long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        known = self.state.exists()
+        # A call to the state store is the cost of a key, so there are few: a known key's timer stays, and is set anew when it rings early.
+        known = self.state.get()
         ordered = sorted(rows, key=lambda r: (r[self.ts], r[self.order]))
+        until = ordered[-1][self.ts] + self.keep
         if not known:
             yield Row(**{c: ordered[0][c] for c in self.columns})
-        until = max([ordered[-1][self.ts] + self.keep, *([self.state.get()[0]] if known else [])])
-        self.state.update((until,))
-        self.handle.registerTimer(until // 1000 + 1)
+            self.handle.registerTimer(until // 1000 + 1)
+        if not known or until > known[0]:
+            self.state.update((until,))
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
-        if self.state.exists() and self.state.get()[0] // 1000 < expiredTimerInfo.getExpiryTimeInMs():
+        known = self.state.get()
+        if known and known[0] // 1000 < expiredTimerInfo.getExpiryTimeInMs():
             self.state.clear()
+        elif known:
+            self.handle.registerTimer(known[0] // 1000 + 1)
         return iter([])
 
     def close(self) -> None:

@@ -53,3 +53,36 @@ def test_seen_keys_are_dropped_and_forgotten(few, tmp_path):
     got = sorted((r.id, r.n) for r in few.read.parquet(out).collect())
     assert got == [(1, 0), (1, 7), (2, 2), (3, 4), (4, 5), (5, 6)]
     assert states[-1] <= states[1] + 3
+
+
+def test_a_key_costs_few_calls_of_the_state_store():
+    calls, timers = [], []
+
+    class Store:
+        value = None
+
+        def __getattr__(self, name):
+            def call(*a):
+                calls.append(name)
+                if name in ("update", "clear"):
+                    self.value = a[0] if a else None
+                return self.value is not None if name == "exists" else self.value
+
+            return call
+
+        getValueState = lambda self, *_: self
+        registerTimer = lambda self, at: timers.append(at)
+
+    class Rang:
+        getExpiryTimeInMs = staticmethod(lambda: timers[-1])
+
+    seen = stateful.Seen("ts", ["id"], "n", 1)
+    seen.init(Store())
+    row = lambda ts: {"ts": ts, "n": 0, "id": 7}
+    assert [r.id for r in seen.handleInputRows((7,), [row(0)], None)] == [7]
+    assert not list(seen.handleInputRows((7,), [row(5000)], None))
+    assert calls == ["get", "update", "get", "update"] and timers == [stateful.DAY // 1000 + 1]
+    list(seen.handleExpiredTimer((7,), None, Rang()))
+    assert seen.state.value and timers[1:] == [(stateful.DAY + 5000) // 1000 + 1]  # it was seen later: the timer is set anew
+    list(seen.handleExpiredTimer((7,), None, Rang()))
+    assert seen.state.value is None

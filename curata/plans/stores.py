@@ -177,9 +177,7 @@ def q_stem_search(t: Tables) -> DataFrame:
 
 def _places(t: Tables, term: Callable[[str], str]) -> DataFrame:
     index = postings.build(t("documents"), "doc_id", "text", term=term)
-    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
-    asked = t("benchmark").select("item_id", F.array_join(F.slice(words, 1, 2), " ").alias("phrase"))
-    found = postings.search(index, postings.phrases(asked, "item_id", "phrase", term))
+    found = postings.search(index, postings.phrases(t("benchmark"), "item_id", "text", term, first=2))
     return found.select(F.col("phrase").alias("item_id"), F.col("key").alias("doc_id"), F.size("places").cast("long").alias("n_places"), F.array_min("places").alias("first_place"))
 
 

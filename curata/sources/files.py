@@ -21,10 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, written in the shared folder and read again."""
+#: For tables with rows of some MB: Parquet's row groups of about 8 MB, measured after each row, not only after 100.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4"}
+
+
+def cut(df: DataFrame, large_rows: bool = False) -> DataFrame:
+    """``df`` without its lineage, written in the shared folder and read again; with ``large_rows``, in row groups of few rows."""
     path = f"{shared_dir(df.sparkSession)}/curata-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(LARGE_ROWS if large_rows else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

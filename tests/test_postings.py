@@ -47,3 +47,18 @@ def test_phrases_against_brute_force(spark, monkeypatch):
     assert p.search(p.build(df.limit(0), "id", "text"), p.phrases(q, "q", "text")).count() == 0
     tags = spark.createDataFrame([(1, ["A", "b"]), (2, []), (3, None), (4, [None, "c"])], "id int, tags array<string>")
     assert sorted(x.id for x in p.tagged_with(tags, "tags", ["B", "C"]).collect()) == [1, 4]
+
+
+def test_an_index_is_a_row_for_each_shard_and_phrases_are_found_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(p, "SHARD_BYTES", 4000)
+    docs = [(k, f"the runs of w{k} and w{k % 7}, the RUN") for k in range(500)]
+    df, q = spark.createDataFrame(docs, "id long, text string").coalesce(1), spark.createDataFrame([(1, "the run"), (2, "of w3"), (3, "w12")], "q long, text string")
+    index = p.build(df, "id", "text", term=p.same)
+    assert index.count() < 10  # there was a row for each document and term
+    found = p.search(index, p.phrases(q, "q", "text", p.same))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x.phrase, x["key"], list(x.places)) for x in found.collect()) == plain(docs, [(1, "the run"), (2, "of w3"), (3, "w12")], p.same)
+    some = p.search(index, p.phrases(q.where("q = 3"), "q", "text", p.same))
+    assert some._jdf.queryExecution().executedPlan().toString().count("binary") <= 2 and some.count() == 1  # one bucket is read
+    first = p.phrases(q, "q", "text", p.same, first=1)
+    assert sorted((x.phrase, x.term) for x in first.collect()) == [(1, "the"), (2, "of"), (3, "w12")]

@@ -2,10 +2,14 @@
 
 The service knows for each day how many hits it has and in how many pages; a page is asked
 for by day and number. The reader turns filters on the day into a range of days, and that
-into partitions: pages in turn while all hits are below ``simple``, else slices of days of
-about ``target`` hits, cut again where they hold more, ``depth`` times at most; days that
-still hold more are cut by pages. So no task reads much more than ``target`` hits, and
-days out of the range are not looked at.
+into slices: pages in turn while all hits are below ``simple``, else days of about
+``target`` hits, cut again where they hold more, ``depth`` times at most; days that
+still hold more are cut by pages. So no request is for much more than ``target`` hits, and
+days out of the range are not looked at. A task makes one request, or several in turn
+where there are more than ``TASKS``; it holds a file's rows at a time.
+
+A file holds pages of a day in a row: that of its folder's number, and others, whose rows
+have their own in ``PAGE``.
 """
 
 from __future__ import annotations
@@ -18,7 +22,9 @@ from dataclasses import dataclass
 from datetime import date, timedelta
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as arrow_fs
+from pyarrow import json as arrow_json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +34,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from curata.sources.files import cut
 
 SIMPLE, TARGET, DEPTH = 9_999, 8_000, 3
+#: Tasks of a read, at most, and rows that a file of several pages holds.
+TASKS, FILE_ROWS = 192, 20_000
+PAGE = "_page"
 _CONTROL = re.compile("[\x00-\x1f\x7f-\x9f]")
 DAY = timedelta(days=1)
 
@@ -35,12 +44,14 @@ DAY = timedelta(days=1)
 def stage(df: DataFrame, ts: str, key: str, folder: str, page_rows: int = 200) -> None:
     """Write ``df`` as the service's pages of about ``page_rows`` rows, and its hits by day.
 
-    Rows are dealt to a day's pages by a hash of ``key``; rows without a time are in no page.
+    Rows are dealt to a day's pages by a hash of ``key``; rows without a time are in no page. Pages of about
+    ``FILE_ROWS`` rows are written together, so that files don't grow in number with pages.
     """
     dated = df.where(F.col(ts).isNotNull()).withColumn("day", F.to_date(ts))
     hits = dated.groupBy("day").agg(F.count("*").alias("hits")).withColumn("pages", F.ceil(F.col("hits") / page_rows).cast("int"))
     paged = dated.join(F.broadcast(hits.select("day", "pages")), "day")  # one row a day
-    paged = paged.withColumn("page", F.pmod(F.xxhash64(F.col(key)), F.col("pages")).cast("int")).drop("pages")
+    together = max(1, FILE_ROWS // page_rows)
+    paged = paged.withColumn(PAGE, F.pmod(F.xxhash64(F.col(key)), F.col("pages")).cast("int")).drop("pages").withColumn("page", (F.floor(F.col(PAGE) / together) * together).cast("int"))
     paged.repartition("day", "page").write.partitionBy("day", "page").json(f"{folder}/pages")
     hits.coalesce(1).write.json(f"{folder}/hits")
 
@@ -58,24 +69,66 @@ def _open(folder: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.LocalFileSystem(), folder
 
 
-def _lines(files: arrow_fs.FileSystem, folder: str, tries: int = 3) -> Iterator[dict]:
-    """The JSON rows of a folder's files; a read that fails is tried again, control characters are dropped where a line is no JSON."""
+def _texts(files: arrow_fs.FileSystem, folder: str, tries: int = 3) -> Iterator[bytes]:
+    """A folder's JSON files; a read that fails is tried again."""
     selector = arrow_fs.FileSelector(folder, allow_not_found=True)
     for info in sorted((x for x in files.get_file_info(selector) if x.base_name.endswith(".json")), key=lambda x: x.path):
         for left in reversed(range(tries)):
             try:
                 with files.open_input_stream(info.path) as f:
-                    text = f.read().decode()
+                    text = f.read()
                 break
             except OSError:
                 if not left:
                     raise
-        for line in text.split("\n"):
-            if line.strip():
-                try:
-                    yield json.loads(line)
-                except ValueError:
-                    yield json.loads(_CONTROL.sub("", line))
+        yield text
+
+
+def _parsed(text: bytes) -> Iterator[dict]:
+    """The rows of a file; control characters are dropped where a line is no JSON."""
+    for line in text.decode().split("\n"):
+        if line.strip():
+            try:
+                yield json.loads(line)
+            except ValueError:
+                yield json.loads(_CONTROL.sub("", line))
+
+
+def _lines(files: arrow_fs.FileSystem, folder: str) -> Iterator[dict]:
+    for text in _texts(files, folder):
+        yield from _parsed(text)
+
+
+def _table(text: bytes, schema: pa.Schema) -> pa.Table:
+    """A file's rows; those that Arrow's reader refuses are read line by line."""
+    try:
+        return arrow_json.read_json(pa.BufferReader(text), arrow_json.ReadOptions(block_size=max(1 << 20, len(text) + 1)), arrow_json.ParseOptions(explicit_schema=schema, unexpected_field_behavior="ignore"))
+    except pa.ArrowInvalid:
+        number = {f.name for f in schema if pa.types.is_floating(f.type)}
+        rows = [{n: float(r[n]) if n in number and r.get(n) is not None else r.get(n) for n in schema.names} for r in _parsed(text)]
+        return pa.Table.from_pylist(rows, schema=schema)
+
+
+def _numbers(files: arrow_fs.FileSystem, folder: str) -> list[int]:
+    """The first pages of a day's files, in order."""
+    found = files.get_file_info(arrow_fs.FileSelector(folder, allow_not_found=True))
+    return sorted(int(x.base_name.removeprefix("page=")) for x in found if x.base_name.startswith("page="))
+
+
+def together(found: list[Slice], tasks: int) -> list[Slice]:
+    """Slices in turn put together, ``tasks`` at most; pages that follow one another become one part."""
+    if len(found) <= tasks:
+        return found
+    out = []
+    for k in range(tasks):
+        parts: list[tuple[date, int, int]] = []
+        for day, first, end in (p for s in found[k * len(found) // tasks : (k + 1) * len(found) // tasks] for p in s.parts):
+            if parts and parts[-1][0] == day and parts[-1][2] == first:
+                parts[-1] = (day, parts[-1][1], end)
+            else:
+                parts.append((day, first, end))
+        out.append(Slice(parts))
+    return out
 
 
 def slices(hits: dict[date, tuple[int, int]], low: date, high: date, simple: int = SIMPLE, target: int = TARGET, depth: int = DEPTH) -> list[Slice]:
@@ -145,18 +198,24 @@ class PagedReader(DataSourceReader):
         files, folder = _open(self.options["path"])
         hits = {date.fromisoformat(r["day"]): (r["hits"], r["pages"]) for r in _lines(files, f"{folder}/hits")}
         limits = {k: int(self.options[k]) for k in ("simple", "target", "depth") if k in self.options}
-        return slices(hits, self.low, self.high, **limits) or [Slice([])]
+        return together(slices(hits, self.low, self.high, **limits), TASKS) or [Slice([])]
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         files, folder = _open(self.options["path"])
         schema = to_arrow_schema(self.schema)
-        plain = pa.schema([pa.field(f.name, pa.string() if pa.types.is_temporal(f.type) else f.type) for f in schema])
+        plain = pa.schema([pa.field(f.name, pa.string() if pa.types.is_temporal(f.type) else f.type) for f in schema if f.name != "day"] + [pa.field(PAGE, pa.int32())])
         for day, first, end in partition.parts:
-            for page in range(first, end):
-                rows = [r | {"day": day.isoformat()} for r in _lines(files, f"{folder}/pages/day={day}/page={page}")]
-                table = pa.RecordBatch.from_pylist([{n: r.get(n) for n in plain.names} for r in rows], schema=plain)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(table.columns, schema, strict=True)], schema=schema)
+            at = f"{folder}/pages/day={day}"
+            numbers = _numbers(files, at)
+            least = max((n for n in numbers if n <= first), default=first)
+            for page in (n for n in numbers if least <= n < end):
+                for text in _texts(files, f"{at}/page={page}"):
+                    table = _table(text, plain)
+                    own = pc.fill_null(table.column(PAGE), page)
+                    table = table.filter(pc.and_(pc.greater_equal(own, first), pc.less(own, end)))
+                    days = pa.chunked_array([pa.array([day] * table.num_rows, pa.date32())])
+                    columns = [(days if f.name == "day" else table.column(f.name)).cast(f.type) for f in schema]
+                    yield from pa.Table.from_arrays(columns, schema=schema).combine_chunks().to_batches()
 
 
 class PagedSource(DataSource):

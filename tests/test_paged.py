@@ -66,3 +66,28 @@ def test_broken_lines_and_batches(spark, tmp_path):
     rows = spark.createDataFrame([(1, date(2024, 1, 1)), (2, date(2024, 2, 1)), (3, date(2024, 2, 2))], "id long, day date")
     assert sorted(r.id for r in paged.ids_by_mode(rows, "id", "incremental", date(2024, 2, 2)).collect()) == [2, 3]
     assert paged.ids_by_mode(rows, "id", "bootstrap").count() == 3
+
+
+def test_files_and_tasks_grow_slower_than_pages(spark, tmp_path, monkeypatch):
+    df = spark.range(4000).withColumn("ts", F.to_timestamp(F.date_add(F.lit(date(2024, 1, 1)), (F.col("id") % 3).cast("int")))).withColumn("x", F.when(F.col("id") % 7 > 0, F.concat(F.lit("x"), "id")))
+    paged.stage(df, "ts", "id", str(tmp_path), 20)
+    files = [f for _, _, some in os.walk(tmp_path / "pages") for f in some if f.endswith(".json")]
+    assert len(files) == 3  # there were 201, one for each page
+    want = sorted((r.id, r.x) for r in df.select("id", "x").collect())
+    for tasks in (192, 5):
+        monkeypatch.setattr(paged, "TASKS", tasks)
+        rows = paged.read(spark, str(tmp_path), SCHEMA, simple=50, target=60)
+        assert sorted((r.id, r.x) for r in rows.collect()) == sorted(want, key=lambda r: r[0])
+    days = {date(2024, 1, 1) + timedelta(days=k): (6000, 300) for k in range(4)}
+    found = paged.slices(days, date.min, date.max, 100, 60, 3)
+    every = lambda some: sorted((d, p) for s in some for d, first, end in s.parts for p in range(first, end))
+    few = paged.together(found, 7)
+    assert len(found) > 7 == len(few) and every(few) == every(found)
+    assert max(len(s.parts) for s in few) <= 2  # following pages are one part
+
+
+def test_numbers_that_json_has_no_form_for(spark, tmp_path):
+    rows = spark.range(40).selectExpr("id", "timestamp'2024-01-01' AS ts", "CASE WHEN id = 3 THEN double('NaN') WHEN id = 4 THEN double('-Infinity') WHEN id > 5 THEN id / 4 END AS v")
+    paged.stage(rows, "ts", "id", str(tmp_path), 20)
+    got = {r.id: str(r.v) for r in paged.read(spark, str(tmp_path), "id long, v double, day date").collect()}
+    assert got == {r.id: str(r.v) for r in rows.collect()}

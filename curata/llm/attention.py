@@ -41,13 +41,13 @@ class Model:
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """What predicts the class after each position of windows of input classes, and what training needs."""
         e = self.embed[x] + self.place
-        q, k, v = e @ self.query, e @ self.key, e @ self.value
+        q, k, v = _times(e, self.query), _times(e, self.key), _times(e, self.value)
         a = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + _MASK
         a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
         a /= a.sum(-1, keepdims=True)
         mixed = e + a @ v
-        h = np.tanh(mixed @ self.hidden)
+        h = np.tanh(_times(mixed, self.hidden))
         top = mixed + h
         return top, e, q, k, v, a, mixed, h
 
@@ -136,9 +136,16 @@ def windows(seq: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return inputs[place], seq[place], row, scored
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(-1, keepdims=True))
-    return x / x.sum(-1, keepdims=True)
+def _times(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``x @ weights`` as one product over the rows of all windows."""
+    return (x.reshape(-1, x.shape[-1]) @ weights).reshape(*x.shape[:-1], -1)
+
+
+def _softmax_columns(x: np.ndarray) -> np.ndarray:
+    x -= x.max(0)
+    np.exp(x, out=x)
+    x /= x.sum(0)
+    return x
 
 
 def begin(counts: np.ndarray, spaced: np.ndarray) -> Model:
@@ -178,35 +185,44 @@ def advance(m: Model, state: np.ndarray, seq: np.ndarray, sizes: np.ndarray, don
         x, y, w = x_all[pick], y_all[pick], scored[pick]
         top, e, q, k, v, a, mixed, h = m.forward(x)
         flat = lambda z: z.reshape(-1, z.shape[-1])
-        t, target, weight = flat(top), y.reshape(-1), (w / w.sum()).reshape(-1, 1).astype(np.float32)
+        # Only scored positions have a loss. They come by group, a column each, so that sums run over whole rows.
+        kept = np.flatnonzero(w)
+        target = y.reshape(-1)[kept]
+        order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")
+        kept, target = kept[order], target[order]
         of, one = target // MEMBERS, np.arange(len(target))
-        g = _softmax(t @ m.group + m.group_bias)
-        g[one, of] -= 1
+        t, weight = np.ascontiguousarray(flat(top)[kept].T), np.float32(1 / len(kept))
+        g = _softmax_columns(m.group.T @ t + m.group_bias[:, None])
+        g[of, one] -= 1
         g *= weight
-        order = np.argsort(of, kind="stable")
-        cuts, rows = np.searchsorted(of[order], np.arange(GROUPS + 1)), t[order]
-        picked, shares, d_rows = target[order] % MEMBERS, weight[order], np.empty_like(rows)
+        d_kept = m.group @ g
+        cuts = np.searchsorted(of, np.arange(GROUPS + 1))
+        held = [(n_of, slice(cuts[n_of], cuts[n_of + 1])) for n_of in np.flatnonzero(np.diff(cuts))]
+        n = m.member_bias.T[:, of]
+        for n_of, at in held:
+            n[:, at] += m.member[n_of].T @ t[:, at]
+        n = _softmax_columns(n)
+        n[target % MEMBERS, one] -= 1
+        n *= weight
         d_member, d_member_bias = np.zeros_like(m.member), np.zeros_like(m.member_bias)
-        for n_of in np.flatnonzero(np.diff(cuts)):
-            at = slice(cuts[n_of], cuts[n_of + 1])
-            n = _softmax(rows[at] @ m.member[n_of] + m.member_bias[n_of])
-            n[np.arange(len(n)), picked[at]] -= 1
-            n *= shares[at]
-            d_rows[at] = n @ m.member[n_of].T
-            d_member[n_of], d_member_bias[n_of] = rows[at].T @ n, n.sum(0)
-        d_top = g @ m.group.T
-        d_top[order] += d_rows
+        for n_of, at in held:
+            d_kept[:, at] += m.member[n_of] @ n[:, at]
+            d_member[n_of], d_member_bias[n_of] = t[:, at] @ n[:, at].T, n[:, at].sum(1)
+        d_top = np.zeros((x.size, WIDTH), np.float32)
+        d_top[kept] = d_kept.T
         d_top = d_top.reshape(top.shape)
         d_pre = d_top * (1 - h * h)
-        d_mixed = d_top + d_pre @ m.hidden.T
+        d_mixed = d_top + _times(d_pre, m.hidden.T)
         d_a = d_mixed @ v.transpose(0, 2, 1)
         d_v = a.transpose(0, 2, 1) @ d_mixed
         d_s = a * (d_a - (d_a * a).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5)
         d_q, d_k = d_s @ k, d_s.transpose(0, 2, 1) @ q
-        d_e = d_mixed + d_q @ m.query.T + d_k @ m.key.T + d_v @ m.value.T
-        d_embed = np.zeros_like(m.embed)
-        np.add.at(d_embed, x.reshape(-1), flat(d_e))
-        grads = [d_embed, d_e.sum(0), flat(e).T @ flat(d_q), flat(e).T @ flat(d_k), flat(e).T @ flat(d_v), flat(mixed).T @ flat(d_pre), t.T @ g, g.sum(0), d_member, d_member_bias]
+        d_e = d_mixed + _times(d_q, m.query.T) + _times(d_k, m.key.T) + _times(d_v, m.value.T)
+        d_embed, by = np.zeros_like(m.embed), np.argsort(x.reshape(-1), kind="stable")
+        ids = x.reshape(-1)[by]
+        first_of = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        d_embed[ids[first_of]] = np.add.reduceat(flat(d_e)[by], first_of)
+        grads = [d_embed, d_e.sum(0), flat(e).T @ flat(d_q), flat(e).T @ flat(d_k), flat(e).T @ flat(d_v), flat(mixed).T @ flat(d_pre), t @ g.T, g.sum(1), d_member, d_member_bias]
         grad = np.concatenate([z.ravel() for z in grads])
         rate = 0.01 * min(1, step / 50) * (1 - 0.9 * step / last)
         first += np.float32(0.1) * (grad - first)

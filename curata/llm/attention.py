@@ -21,6 +21,7 @@ CLASSES = GROUPS * MEMBERS
 END, SINGLE, BEGIN = 0, CLASSES - MEMBERS - 1, CLASSES
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 _CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+_ONES = np.ones(max(WINDOW, GROUPS, MEMBERS), np.float32)
 
 
 @dataclass
@@ -39,59 +40,99 @@ class Model:
     member_bias: np.ndarray
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """What predicts the class after each position of windows of input classes, and what training needs."""
-        e = self.embed[x] + self.place
-        q, k, v = _times(e, self.query), _times(e, self.key), _times(e, self.value)
-        a = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + _MASK
-        a -= a.max(-1, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
-        mixed = e + a @ v
-        h = np.tanh(_times(mixed, self.hidden))
-        top = mixed + h
-        return top, e, q, k, v, a, mixed, h
-
-    def tops(self, x: np.ndarray, scored: np.ndarray) -> np.ndarray:
-        """The ``top`` rows of ``forward`` at the scored positions, without what training needs.
+        """What predicts the class after each position of windows of input classes, and what training needs.
 
-        Keys are folded into the queries and values are mixed before their product, so that
-        products run over all windows at once; a column of ones sums the weights. Scores are
-        held within 60 of zero, where single precision neither overflows nor loses a window.
+        Keys are folded into the queries, and values are mixed before their product.
         """
-        e = np.ones((len(x), WINDOW, WIDTH + 1), np.float32)
-        e[..., :WIDTH] = self.embed.take(x, axis=0)
-        e[..., :WIDTH] += self.place
-        own = e[..., :WIDTH]
-        fold = self.query @ self.key.T * np.float32(WIDTH**-0.5)
-        a = (own.reshape(-1, WIDTH) @ fold).reshape(own.shape) @ own.transpose(0, 2, 1)
-        np.clip(a, -60, 60, out=a)
-        np.exp(a, out=a)
-        a *= _CAUSAL
-        mixed = (a @ e)[scored]
-        mixed = own[scored] + (mixed[:, :WIDTH] / mixed[:, WIDTH:]) @ self.value
-        return mixed + np.tanh(mixed @ self.hidden)
+        e = self._inputs(x)
+        f = _times(e, self.fold())
+        a, total = _weights(f, e)
+        a /= total.reshape(len(x), WINDOW, 1)
+        c = a @ e
+        mixed = _times(c, self.value)
+        mixed += e
+        h = _times(mixed, self.hidden)
+        np.tanh(h, out=h)
+        return mixed + h, e, f, a, c, mixed, h
+
+    def fold(self) -> np.ndarray:
+        """Queries times keys, scaled: what stands between two positions in their score."""
+        return self.query @ self.key.T * np.float32(WIDTH**-0.5)
+
+    def tops(self, x: np.ndarray, scored: np.ndarray) -> np.ndarray:
+        """The ``top`` rows of ``forward`` at the scored positions, without what training needs."""
+        e, kept = self._inputs(x), np.flatnonzero(scored)
+        a, total = _weights(_times(e, self.fold()), e)
+        mixed = (a @ e).reshape(-1, WIDTH).take(kept, axis=0)
+        mixed /= total.take(kept)[:, None]
+        mixed = mixed @ self.value
+        mixed += e.reshape(-1, WIDTH).take(kept, axis=0)
+        h = mixed @ self.hidden
+        np.tanh(h, out=h)
+        h += mixed
+        return h
+
+    def _inputs(self, x: np.ndarray) -> np.ndarray:
+        e = self.embed.take(x, axis=0)
+        e += self.place
+        return e
 
     def log_prob(self, top: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probability of class ``y`` for each row of ``top``."""
         g = (y // MEMBERS).astype(np.uint8)
         order = np.argsort(g, kind="stable")
-        top, g, k = np.ascontiguousarray(top[order].T), g[order], (y % MEMBERS)[order]
-        sorted_out = _log_softmax(self.group.T @ top + self.group_bias[:, None], g)
+        top, g, k = _with_ones(top, order), g[order], (y % MEMBERS)[order]
+        group, member = self.outputs()
+        sorted_out = np.empty(len(y), np.float32)
+        for at in range(0, len(y), 1024):
+            at = slice(at, at + 1024)
+            sorted_out[at] = _log_softmax(top[at] @ group, g[at])
         cuts = np.searchsorted(g, np.arange(GROUPS + 1))
         for n in np.flatnonzero(np.diff(cuts)):
-            at = slice(cuts[n], cuts[n + 1])
-            sorted_out[at] += _log_softmax(self.member[n].T @ top[:, at] + self.member_bias[n][:, None], k[at])
+            for at in range(cuts[n], cuts[n + 1], 1024):
+                at = slice(at, min(at + 1024, cuts[n + 1]))
+                sorted_out[at] += _log_softmax(top[at] @ member[n], k[at])
         out = np.empty_like(sorted_out)
         out[order] = sorted_out
         return out
 
+    def outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The output weights of groups and of each group's members, above their biases."""
+        return np.concatenate([self.group, self.group_bias[None]]), np.concatenate([self.member, self.member_bias[:, None]], 1)
+
+
+def _with_ones(top: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The ``rows`` of ``top``, with a column of ones for the biases."""
+    out = np.ones((len(rows), WIDTH + 1), np.float32)
+    out[:, :WIDTH] = top.take(rows, axis=0)
+    return out
+
+
+def _plain(x: np.ndarray) -> bool:
+    """Whether the exponentials of ``x`` and their sums are far from the bounds of single precision, so no maxima need be taken off."""
+    return bool(x.size) and x.max() < 60 and x.min() > -60
+
+
+def _weights(f: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of each position's past before they are divided by their sums, and the sums of all positions in a row."""
+    a = f @ e.transpose(0, 2, 1)
+    if _plain(a):
+        np.exp(a, out=a)
+        a *= _CAUSAL
+    else:
+        a += _MASK
+        a -= a.max(-1, keepdims=True)
+        np.exp(a, out=a)
+    return a, a.reshape(-1, WINDOW) @ _ONES[:WINDOW]
+
 
 def _log_softmax(logits: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of each column of ``logits``, at its row ``y``."""
-    logits -= logits.max(0)
-    chosen = logits[y, np.arange(len(y))]
+    """Of each row of ``logits``, at its column ``y``."""
+    if not _plain(logits):
+        logits -= logits.max(-1, keepdims=True)
+    chosen = logits[np.arange(len(y)), y]
     np.exp(logits, out=logits)
-    return chosen - np.log(logits.sum(0))
+    return chosen - np.log(logits @ _ONES[: logits.shape[1]])
 
 
 NAMES = ("embed", "place", "query", "key", "value", "hidden", "group", "group_bias", "member", "member_bias")
@@ -117,17 +158,20 @@ def window_counts(sizes: np.ndarray) -> np.ndarray:
     return 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
 
 
-def windows(seq: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(seq: np.ndarray, sizes: np.ndarray, pick: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, targets, rows and the scored positions of windows over texts of target classes in a row.
 
     ``seq`` holds each text's classes and its end; inputs are shifted by one, after a begin.
+    ``pick``: the numbers of the windows to return, in their order (all, if None).
     """
     ends = np.cumsum(sizes)
-    inputs = np.concatenate([[BEGIN], seq[:-1]]) if len(seq) else seq
+    inputs = np.concatenate([np.full(1, BEGIN, seq.dtype), seq[:-1]]) if len(seq) else seq
     inputs[(ends - sizes)[sizes > 0]] = BEGIN
     count = window_counts(sizes)
     row = np.repeat(np.arange(len(sizes)), count)
     number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    if pick is not None:
+        row, number = row[pick], number[pick]
     at = (ends - sizes)[row] + number * STRIDE
     place = at[:, None] + np.arange(WINDOW)
     inside = place < ends[row][:, None]
@@ -142,9 +186,11 @@ def _times(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def _softmax_columns(x: np.ndarray) -> np.ndarray:
-    x -= x.max(0)
+    """The softmax over the columns of each row, in place."""
+    if not _plain(x):
+        x -= x.max(-1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(0)
+    x /= (x @ _ONES[: x.shape[1]])[:, None]
     return x
 
 
@@ -178,70 +224,99 @@ def advance(m: Model, state: np.ndarray, seq: np.ndarray, sizes: np.ndarray, don
     state = state.copy()
     m = with_state(m, state)
     own, first, second = state
-    x_all, y_all, _, scored = windows(seq, sizes)
-    order_all = np.random.default_rng(seed).permutation(len(x_all))
+    n_windows = int(window_counts(sizes).sum())
+    pick = np.random.default_rng(seed).permutation(n_windows)[np.arange(done * batch, (done + steps) * batch) % n_windows]
+    x_all, y_all, _, scored = windows(seq, sizes, pick)
+    # Only scored positions have a loss. They come step by step, and by group in each.
+    kept_all = np.flatnonzero(scored)
+    target_all = y_all.reshape(-1)[kept_all].astype(np.intp)
+    turn = kept_all // (batch * WINDOW)
+    key = turn * GROUPS + target_all // MEMBERS
+    order = np.argsort(key.astype(np.uint16) if steps * GROUPS < 1 << 16 else key, kind="stable")
+    kept_all, target_all = kept_all[order] - turn * (batch * WINDOW), target_all[order]
+    cuts_all = np.searchsorted(key[order], np.arange(steps * GROUPS + 1)).tolist()
+    flat = lambda z: z.reshape(-1, z.shape[-1])
+    scale, entry = np.float32(WIDTH**-0.5), np.arange(m.embed.size).reshape(m.embed.shape)
+    grad, room = np.empty_like(own), np.empty_like(own)
+    d = with_state(m, grad[None])
+    d_member = np.empty((GROUPS, WIDTH + 1, MEMBERS), np.float32)
     for step in range(done + 1, done + steps + 1):
-        pick = order_all[np.arange((step - 1) * batch, step * batch) % len(x_all)]
-        x, y, w = x_all[pick], y_all[pick], scored[pick]
-        top, e, q, k, v, a, mixed, h = m.forward(x)
-        flat = lambda z: z.reshape(-1, z.shape[-1])
-        # Only scored positions have a loss. They come by group, a column each, so that sums run over whole rows.
-        kept = np.flatnonzero(w)
-        target = y.reshape(-1)[kept]
-        order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")
-        kept, target = kept[order], target[order]
-        of, one = target // MEMBERS, np.arange(len(target))
-        t, weight = np.ascontiguousarray(flat(top)[kept].T), np.float32(1 / len(kept))
-        g = _softmax_columns(m.group.T @ t + m.group_bias[:, None])
-        g[of, one] -= 1
-        g *= weight
-        d_kept = m.group @ g
-        cuts = np.searchsorted(of, np.arange(GROUPS + 1))
-        held = [(n_of, slice(cuts[n_of], cuts[n_of + 1])) for n_of in np.flatnonzero(np.diff(cuts))]
-        n = m.member_bias.T[:, of]
-        for n_of, at in held:
-            n[:, at] += m.member[n_of].T @ t[:, at]
+        turn = step - 1 - done
+        x = x_all[turn * batch : (turn + 1) * batch]
+        top, e, f, a, c, mixed, h = m.forward(x)
+        cuts = cuts_all[turn * GROUPS : (turn + 1) * GROUPS + 1]
+        kept, target = kept_all[cuts[0] : cuts[-1]], target_all[cuts[0] : cuts[-1]]
+        held = [(k, slice(cuts[k] - cuts[0], cuts[k + 1] - cuts[0])) for k in range(GROUPS) if cuts[k] < cuts[k + 1]]
+        t, weight, row = _with_ones(flat(top), kept), np.float32(1 / len(kept)), np.arange(len(kept))
+        group, member = m.outputs()
+        g = _softmax_columns(t @ group)
+        g.reshape(-1)[row * GROUPS + target // MEMBERS] -= 1
+        n = np.empty((len(kept), MEMBERS), np.float32)
+        for k, at in held:
+            np.dot(t[at], member[k], out=n[at])
         n = _softmax_columns(n)
-        n[target % MEMBERS, one] -= 1
+        n.reshape(-1)[row * MEMBERS + target % MEMBERS] -= 1
+        g *= weight
         n *= weight
-        d_member, d_member_bias = np.zeros_like(m.member), np.zeros_like(m.member_bias)
-        for n_of, at in held:
-            d_kept[:, at] += m.member[n_of] @ n[:, at]
-            d_member[n_of], d_member_bias[n_of] = t[:, at] @ n[:, at].T, n[:, at].sum(1)
-        d_top = np.zeros((x.size, WIDTH), np.float32)
-        d_top[kept] = d_kept.T
-        d_top = d_top.reshape(top.shape)
-        d_pre = d_top * (1 - h * h)
-        d_mixed = d_top + _times(d_pre, m.hidden.T)
-        d_a = d_mixed @ v.transpose(0, 2, 1)
-        d_v = a.transpose(0, 2, 1) @ d_mixed
-        d_s = a * (d_a - (d_a * a).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-        d_q, d_k = d_s @ k, d_s.transpose(0, 2, 1) @ q
-        d_e = d_mixed + _times(d_q, m.query.T) + _times(d_k, m.key.T) + _times(d_v, m.value.T)
-        d_embed, by = np.zeros_like(m.embed), np.argsort(x.reshape(-1), kind="stable")
-        ids = x.reshape(-1)[by]
-        first_of = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        d_embed[ids[first_of]] = np.add.reduceat(flat(d_e)[by], first_of)
-        grads = [d_embed, d_e.sum(0), flat(e).T @ flat(d_q), flat(e).T @ flat(d_k), flat(e).T @ flat(d_v), flat(mixed).T @ flat(d_pre), t @ g.T, g.sum(1), d_member, d_member_bias]
-        grad = np.concatenate([z.ravel() for z in grads])
+        d_group = t.T @ g
+        d_kept, d_more = g @ m.group.T, np.empty((len(kept), WIDTH), np.float32)
+        d_member[:] = 0
+        for k, at in held:
+            np.dot(n[at], m.member[k].T, out=d_more[at])
+            np.dot(t[at].T, n[at], out=d_member[k])
+        d_kept += d_more
+        d_mixed = np.zeros((x.size, WIDTH), np.float32)
+        d_mixed[kept] = d_kept
+        d_pre = np.square(flat(h))
+        np.subtract(1, d_pre, out=d_pre)
+        d_pre *= d_mixed
+        d_mixed += d_pre @ m.hidden.T
+        d_c = (d_mixed @ m.value.T).reshape(e.shape)
+        d_s = d_c @ e.transpose(0, 2, 1)
+        d_s *= a
+        d_s -= a * (flat(d_s) @ _ONES[:WINDOW]).reshape(len(x), WINDOW, 1)
+        d_f = d_s @ e
+        d_e = a.transpose(0, 2, 1) @ d_c
+        d_e += d_s.transpose(0, 2, 1) @ f
+        d_e += d_mixed.reshape(e.shape)
+        d_e += _times(d_f, m.fold().T)
+        d_fold = flat(e).T @ flat(d_f)
+        d_fold *= scale
+        grad[: m.embed.size] = 0
+        np.add.at(grad[: m.embed.size], entry.take(x, axis=0).ravel(), d_e.ravel())
+        np.add.reduce(d_e, 0, out=d.place)
+        np.matmul(d_fold, m.key, out=d.query)
+        np.matmul(d_fold.T, m.query, out=d.key)
+        np.matmul(flat(c).T, d_mixed, out=d.value)
+        np.matmul(flat(mixed).T, d_pre, out=d.hidden)
+        d.group[:], d.group_bias[:] = d_group[:WIDTH], d_group[WIDTH]
+        d.member[:], d.member_bias[:] = d_member[:, :WIDTH], d_member[:, WIDTH]
         rate = 0.01 * min(1, step / 50) * (1 - 0.9 * step / last)
-        first += np.float32(0.1) * (grad - first)
-        second += np.float32(0.01) * (grad * grad - second)
-        own -= np.float32(rate / (1 - 0.9**step)) * first / (np.sqrt(second * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-8))
+        first *= np.float32(0.9)
+        first += np.multiply(grad, np.float32(0.1), out=room)
+        second *= np.float32(0.99)
+        grad *= grad
+        grad *= np.float32(0.01)
+        second += grad
+        np.sqrt(np.multiply(second, np.float32(1 / (1 - 0.99**step)), out=room), out=room)
+        room += np.float32(1e-8)
+        np.divide(first, room, out=room)
+        room *= np.float32(rate / (1 - 0.9**step))
+        own -= room
     return state
 
 
 def sequence(m: Model, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The classes of texts in a row, each with its end, and their lengths."""
     ends = np.cumsum(sizes + 1)
-    seq = np.full(ends[-1] if len(ends) else 0, END, np.int64)
+    seq = np.full(ends[-1] if len(ends) else 0, END, np.int16)
     real = np.ones(len(seq), bool)
     real[ends - 1] = False
     seq[real] = m.class_of[ids]
     return seq, sizes + 1
 
 
-def score(m: Model, ids: np.ndarray, sizes: np.ndarray, batch: int = 256, together: int = 16) -> np.ndarray:
+def score(m: Model, ids: np.ndarray, sizes: np.ndarray, batch: int = 128, together: int = 32) -> np.ndarray:
     """log10 probability of each text, its end included; ``ids`` of all texts in a row."""
     seq, lengths = sequence(m, ids, sizes)
     out = np.zeros(len(sizes))

@@ -79,17 +79,22 @@ def _drawn(units: DataFrame, share: float, parts: int, n_ids: int) -> DataFrame:
     return units.select("held", "ids", "id_sizes", "draws").mapInArrow(apply, "part int, draw long, ids array<int>")
 
 
+def _training(batch: pa.RecordBatch, k: int, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a unit's training texts in a row, and the number of each text's."""
+    ids = _ids_of(batch, k, n_ids)
+    sizes, held = (batch.column(x)[k].values.to_numpy(zero_copy_only=False) for x in ("id_sizes", "held"))
+    train = ~held.astype(bool)
+    return ids[np.repeat(train, sizes)], sizes[train]
+
+
 def unit_parts(units: DataFrame, n_ids: int) -> DataFrame:
     """``part, ids, sizes`` of all training texts, a row for each unit."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ids = _ids_of(batch, k, n_ids)
-                sizes, held = (batch.column(x)[k].values.to_numpy(zero_copy_only=False) for x in ("id_sizes", "held"))
-                train = ~held.astype(bool)
-                own = ids[np.repeat(train, sizes)].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("unit").slice(k, 1), pa.array([own.tobytes()]), pa.array([sizes[train]], pa.list_(pa.int32()))], names=["part", "ids", "sizes"])
+                ids, sizes = _training(batch, k, n_ids)
+                yield pa.RecordBatch.from_arrays([batch.column("unit").slice(k, 1), pa.array([ids.astype(np.int32).tobytes()]), pa.array([sizes], pa.list_(pa.int32()))], names=["part", "ids", "sizes"])
         c.release()
 
     return units.select("unit", "held", "ids", "id_sizes").mapInArrow(apply, "part long, ids binary, sizes array<int>").where(F.size("sizes") > 0)
@@ -144,7 +149,12 @@ def trained_on(m: attention.Model, state: np.ndarray, number: int, least: int, p
 
 
 def _round(drawn: DataFrame, m: attention.Model, state: np.ndarray, number: int, parts: int) -> np.ndarray:
-    """The mean of the states that the parts reach from ``state``; sums meet 16 at a time, so the driver gets 16 at most."""
+    """The mean of the states that the parts reach from ``state``; sums meet 16 at a time, so the driver gets 16 at most.
+
+    ``drawn``: rows as ``drawn_parts`` has them, or units, which are then taken as parts in the same pass.
+    """
+    whole = "held" in drawn.columns
+    drawn = drawn.select("unit", "held", "ids", "id_sizes") if whole else drawn
     context = drawn.sparkSession.sparkContext
     sent, least = context.broadcast((m, state)), -(-ROUND_STEPS * LEAST_PARTS // max(parts, LEAST_PARTS))
 
@@ -152,9 +162,10 @@ def _round(drawn: DataFrame, m: attention.Model, state: np.ndarray, number: int,
         def states() -> Iterator[tuple[int, np.ndarray]]:
             m, state = sent.value
             for batch in batches:
-                for k, part in enumerate(batch.column("part").to_pylist()):
-                    ids, sizes = np.frombuffer(batch.column("ids")[k].as_buffer(), np.int32), batch.column("sizes")[k].values.to_numpy().astype(np.int64)
-                    yield 1, trained_on(m, state, number, least, part, ids, sizes)
+                for k, part in enumerate(batch.column(0).to_pylist()):
+                    ids, sizes = _training(batch, k, len(m.class_of)) if whole else (np.frombuffer(batch.column("ids")[k].as_buffer(), np.int32), batch.column("sizes")[k].values.to_numpy())
+                    if len(sizes):
+                        yield 1, trained_on(m, state, number, least, part, ids, sizes.astype(np.int64))
 
         yield from _sum(states())
 
@@ -184,7 +195,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str |
     v = bpe.vocabulary(path)
     counts = id_counts(units, len(v.lengths))
     spaced = (v.lengths > 0) & (v.bytes[np.minimum(v.begins, len(v.bytes) - 1)] == 32)
-    drawn, parts = drawn_parts(units, counts)
+    drawn, parts = (units, units.count()) if FIT_PART == 1 else drawn_parts(units, counts)
     m = attention.begin(counts.astype(float), spaced.astype(int))
     state = attention.state_of(m)
     for number in range(ROUNDS):

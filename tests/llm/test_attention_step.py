@@ -34,3 +34,35 @@ def _columns(m, state, seq, lengths, batch):
     finally:
         attention._softmax_columns = own
     return seen
+
+
+def test_a_call_builds_the_windows_of_its_own_steps_only(monkeypatch):
+    r = np.random.default_rng(6)
+    m = attention.begin(r.integers(0, 9, 3000).astype(float), r.integers(0, 2, 3000))
+    sizes = np.array([2000, 0, 700])
+    seq, lengths = attention.sequence(m, r.integers(0, 3000, sizes.sum()), sizes)
+    every, built, own = attention.windows(seq, lengths), [], attention.windows
+    monkeypatch.setattr(attention, "windows", lambda *a: built.append(own(*a)) or built[-1])
+    state = attention.state_of(m)
+    for done in range(0, 12, 3):
+        state = attention.advance(m, state, seq, lengths, done, 3, 12, 8, 20)
+    assert [len(x) for x, *_ in built] == [60] * 4  # it was all 227 windows each time
+    taken = np.concatenate([np.concatenate([x, y, s], 1) for x, y, _, s in built])
+    want = np.concatenate([every[0], every[1], every[3]], 1)
+    assert {w.tobytes() for w in taken} == {w.tobytes() for w in want}
+
+
+def test_scores_far_apart_are_weighed_as_they_are():
+    r = np.random.default_rng(7)
+    m = attention.begin(r.integers(0, 9, 3000).astype(float), r.integers(0, 2, 3000))
+    m.query *= 1000
+    sizes = np.array([60, 5])
+    x, _, _, scored = attention.windows(*attention.sequence(m, r.integers(0, 3000, sizes.sum()), sizes))
+    e = (m.embed[x] + m.place).astype(float)
+    a = (e @ m.query) @ (e @ m.key).transpose(0, 2, 1) / np.sqrt(attention.WIDTH)
+    assert abs(a).max() > 200  # they were held within 60 of zero
+    a = np.where(np.tri(attention.WINDOW, dtype=bool), a, -np.inf)
+    a = np.exp(a - a.max(-1, keepdims=True))
+    mixed = e + a / a.sum(-1, keepdims=True) @ (e @ m.value)
+    want = mixed + np.tanh(mixed @ m.hidden)
+    assert np.allclose(m.forward(x)[0], want, atol=0.02) and np.allclose(m.tops(x, scored), want[scored], atol=0.02)

@@ -77,3 +77,21 @@ def test_all_training_texts_are_fitted_on_and_each_window_is_taken(spark, monkey
     x = lm.attention.windows(*lm.attention.sequence(m, ids, sizes))[0]
     assert {w.tobytes() for w in np.concatenate(taken)} == {w.tobytes() for w in x}
     assert len(np.concatenate(taken)) < len(x) + 4 * 4 * 7
+
+
+def test_a_round_takes_its_parts_from_units_in_one_pass(spark, monkeypatch):
+    units = lm.encoded(spark.createDataFrame(chain(), "doc_id long, text string").repartition(3))
+    n_ids = len(bpe.vocabulary(public_tokenizers.path(bpe.VOCABULARY)).lengths)
+    counts = lm.id_counts(units, n_ids)
+    m = lm.attention.begin(counts.astype(float), np.zeros(n_ids, int))
+    state = lm.attention.state_of(m)
+    plans, collect = [], type(units).collect
+    monkeypatch.setattr(type(units), "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or collect(df))
+    monkeypatch.setattr(lm, "ROUNDS", 1)
+    monkeypatch.setattr(lm, "ROUND_STEPS", 2)
+    fitted = lm.fit(None, units=units)
+    assert plans[-1].count("MapInArrow") == 1  # it was one pass that made parts and one that trained on them
+    drawn, parts = lm.drawn_parts(units, counts)
+    fixed = lm.attention.begin(counts.astype(float), np.zeros(n_ids, int))
+    assert np.allclose(lm._round(units, fixed, state, 0, parts), lm._round(drawn, fixed, state, 0, parts), atol=1e-5)
+    assert not np.array_equal(fitted.embed, m.embed)
